@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat
+from . import bpe, chat, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_windows": chat.op2_chat_windows,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat_windows": chat.OP2_SQL,
 }
 
