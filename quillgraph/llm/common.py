@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -130,3 +131,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def within(at: np.ndarray, mask_sums: np.ndarray) -> np.ndarray:
     """Sums per text, from prefix sums over bytes."""
     return mask_sums[at[1:]] - mask_sums[at[:-1]]
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from learning: crc32 of its id as text is divisible by 5 (a null id counts as an empty text, and is)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def draw(doc_id: Column, salt: int) -> Column:
+    """A fixed number from 0 to 1 for an id, by which bounded samples are drawn."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing
+from . import bpe, chat, langid, mixing, repetition, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_windows": chat.op2_chat_windows,
+    "op3_exact_topk": topk.op3_exact_topk,
+    "op5_repetition_rules": repetition.op5_repetition_rules,
+    "op8_url_rules": urls.op8_url_rules,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat_windows": chat.OP2_SQL,
+    "op3_exact_topk": topk.OP3_SQL,
 }
 
 
