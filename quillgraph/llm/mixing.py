@@ -104,6 +104,8 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     d = d.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
     d = d.join(sources.select("src", "source_size", "target", "block", "n_shards", "n_groups", "source_quota"), "src")
     d = d.withColumn("shard", F.col("h") % F.col("n_shards")).withColumn("grp", F.col("shard") % F.col("n_groups"))
+    # else the windows below would keep the join's partitioning by source, with a hot source in one task
+    d = d.repartition("src", "shard")
     parts = d.groupBy("src", "grp", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
     groups = parts.groupBy("src", "grp").agg(F.sum("shard_size").alias("grp_size"), F.first("source_quota").alias("source_quota"))
     groups = sainte_lague(groups, ["src"], "source_quota", "grp_size", ["grp"]).select("src", "grp", F.col("quota").alias("grp_quota"))
