@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, repetition, topk, urls
+from . import bpe, chat, langid, mixing, repetition, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_windows": chat.op2_chat_windows,
     "op3_exact_topk": topk.op3_exact_topk,
     "op5_repetition_rules": repetition.op5_repetition_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_url_rules": urls.op8_url_rules,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
     "op10_language_id": langid.op10_language_id,
