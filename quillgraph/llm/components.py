@@ -1,0 +1,39 @@
+"""Connected components of links between documents, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+#: The stars need about log(n) squared rounds at worst; a count that no input reaches.
+MAX_ROUNDS = 64
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, component``: for every end of a link (a, b) the smallest node that it reaches.
+
+    Each round points nodes at the smallest node about them: the large star
+    moves a node's greater neighbours, the small star its lesser ones.  The
+    smallest neighbour is a partial aggregate joined back to the edges, so no
+    node's neighbours meet in one task.  Each round's edges are written to the
+    shared folder.  Links of a node to itself and repeated links do nothing.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    mark = None
+    for _ in range(MAX_ROUNDS):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: greater neighbours of u point at the smallest about u
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # small star: u and its lesser neighbours point at the smallest of them
+        joined = large.join(low, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = written(small, "edges")
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.max(F.lit(0)).alias("z")).first()
+        if (now["n"], now["h"]) == mark:
+            break
+        mark = (now["n"], now["h"])
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
