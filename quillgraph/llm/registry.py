@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, repetition, topk, toxicity, urls
+from . import bpe, chat, langid, mixing, neardup, repetition, substrings, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_chat_windows": chat.op2_chat_windows,
     "op3_exact_topk": topk.op3_exact_topk,
+    "op4_repeated_substrings": substrings.op4_repeated_substrings,
     "op5_repetition_rules": repetition.op5_repetition_rules,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_url_rules": urls.op8_url_rules,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
     "op10_language_id": langid.op10_language_id,
