@@ -20,7 +20,7 @@ from .common import WORD, read_table, written
 
 MAX_REPEATS = 3
 #: Blocks that the smallest source is cut into, if its words allow.
-LEAST_BLOCKS = 64
+LEAST_BLOCKS = 512
 #: Words of a block at most.
 BLOCK_WORDS = 2048
 #: Documents of a shard and shards of a group, about.
@@ -39,7 +39,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     Weights 1, 2, 3 repeat over sources by code point, null last.  Targets
     share all words by weight; what exceeds a source's limit is shared anew
     among the others.  The level at which that ends is where the sources,
-    ordered by limit per weight, stop being limited.  One row per source: the
+    ordered by limit per weight, stop being limited (further on it only falls).  One row per source: the
     windows hold as many rows as there are sources.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -51,7 +51,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
     limited = F.coalesce(F.sum("limit").over(low_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lighter = F.coalesce(F.sum("weight").over(low_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumn("level", (F.col("total") - limited) / (F.col("weights") - lighter)).withColumn("is_free", ratio >= F.col("level"))
-    s = s.withColumn("level", F.min(F.when(F.col("is_free"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("is_free"), F.col("level"))).over(every))
     target = F.least(F.col("limit").cast("double"), F.col("weight") * F.coalesce("level", F.lit(0.0)))
     return s.withColumn("target", F.coalesce(target, F.lit(0.0))).select("source", "source_size", "weight", "target", "total")
 
@@ -165,13 +165,10 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
         F.when(F.col("t.tail") > 0, F.array(part(F.lit(0), F.col("t.tail")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
     )
     j = j.select("d.*", F.explode(cut).alias("_cut"))
-    # up to {n} words with the white space before them, {start} words in
-    words_ = lambda n: F.concat(F.lit(r"(?s)^((?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("})"))
-    head = lambda n: F.regexp_extract("text", words_(n), 1)
     start, n = F.col("_cut.start"), F.col("_cut.n")
-    upto = F.when(start + n >= F.col("_size"), F.col("text")).otherwise(head(start + n))
-    text = F.when(n == F.col("_size"), F.col("text")).when(start == 0, upto).otherwise(F.substring(upto, F.length(head(start)) + 1, F.length("text")))
-    j = j.withColumn("text", F.when(n == F.col("_size"), F.col("text")).otherwise(F.ltrim(text)))
+    words_ = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    part_ = F.regexp_replace(F.array_join(F.slice(words_, start + 1, n), ""), r"^[\x20\x09-\x0D]+", "")
+    j = j.withColumn("text", F.when(n == F.col("_size"), F.col("text")).otherwise(part_))
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.when(n == F.col("_size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return j.select(*docs.columns)
@@ -204,7 +201,7 @@ s1 AS (SELECT *, (row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS weight, sourc
 s2 AS (
   SELECT *, sum(source_size) OVER () AS total, (sum(source_size) OVER () - coalesce(sum(limit_) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level_
   FROM s1 WINDOW w AS (ORDER BY limit_ / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, min(level_) FILTER (limit_ / weight >= level_) OVER () AS level1 FROM s2),
+s3 AS (SELECT *, max(level_) FILTER (limit_ / weight >= level_) OVER () AS level1 FROM s2),
 s4 AS (
   SELECT 0 AS root, src, source_size, n_docs, total, coalesce(least(CAST(limit_ AS DOUBLE), weight * coalesce(level1, 0)), 0) AS target,
     CAST(greatest(1, least({BLOCK_WORDS}, floor(coalesce(min(nullif(source_size, 0)) OVER (), 1) / {LEAST_BLOCKS}))) AS BIGINT) AS block_,
