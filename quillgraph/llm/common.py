@@ -51,7 +51,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about SLICE_BYTES of text; a longer text stands alone."""
     if not batch.num_rows:
         return

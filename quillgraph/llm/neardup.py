@@ -261,6 +261,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+#: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -45,7 +45,8 @@ _PLACE = np.uint64((1 << 27) - 1)
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """``chunk, ids, live, sizes, body``: documents in rows of about CHUNK bytes of text."""
+    """``chunk, ids, live, sizes, body, n_bytes, rest``: documents in rows of about CHUNK bytes of text; ``rest`` holds further columns."""
+    rest = [c for c in docs.columns if c not in ("id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -55,7 +56,11 @@ def _pack(docs: DataFrame) -> DataFrame:
             data, at = text_buffers(table.column("text"))
             ids = table.column("id").combine_chunks()
             packed = [ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), (~np.asarray(ids.is_null())).astype(np.uint8).tobytes(), np.diff(at).tobytes(), zstandard.ZstdCompressor(level=1).compress(data.tobytes())]
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(data)])], ["chunk", "ids", "live", "sizes", "body", "n_bytes"])
+            other = pa.BufferOutputStream()
+            with pa.ipc.new_stream(other, table.select(rest).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+                sink.write_table(table.select(rest))
+            packed.append(other.getvalue().to_pybytes() if rest else None)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), *(pa.array([x], pa.binary()) for x in packed), pa.array([len(data)])], ["chunk", "ids", "live", "sizes", "body", "rest", "n_bytes"])
 
         for batch in batches:
             _, at = text_buffers(batch.column("text"))
@@ -71,7 +76,7 @@ def _pack(docs: DataFrame) -> DataFrame:
         if held:
             yield row(held)
 
-    return docs.mapInArrow(run, "chunk long, ids binary, live binary, sizes binary, body binary, n_bytes long")
+    return docs.mapInArrow(run, "chunk long, ids binary, live binary, sizes binary, body binary, rest binary, n_bytes long")
 
 
 class Chunk:
@@ -266,8 +271,8 @@ def _smallest(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk").combine_chunks(), *arrays], ["chunk", "segment", "offset", "size", "doc"])
 
 
-def _cut(chunks: DataFrame, id_type: str, kept: bool) -> DataFrame:
-    """Results of the documents of chunks that know their runs."""
+def _cut(chunks: DataFrame, id_type: str, kept: bool, rest: str = "") -> DataFrame:
+    """Results of the documents of chunks that know their runs; ``rest`` is the schema of further columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,12 +310,31 @@ def _cut(chunks: DataFrame, id_type: str, kept: bool) -> DataFrame:
                 arrays = [ids, pa.array(np.diff(c.at)), pa.array(removed), pa.array(spans), pa.array(map(hexdigest, left), pa.string())]
                 if kept:
                     arrays.append(pa.array(left, pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)])
-
-    out = chunks.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(arrays)]
+                if rest:
+                    other = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
+                    arrays += [x.combine_chunks() for x in other.columns]
+                    names += other.column_names
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    out = chunks.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept + rest)
     return out.withColumn("id", F.col("id").cast(id_type))
 
 
+def _run(docs: DataFrame, id_type: str, kept: bool, rest: str = "") -> DataFrame:
+    chunks = written(_pack(docs), "cut-chunks")
+    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    n_anchor = total // COUNTED + 1
+    shared = written(_anchors(chunks, n_anchor).groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, h binary, hot binary").where(F.length("h") > 0), "cut-anchors")
+    entries = (shared.agg(F.sum(F.length("h"))).first()[0] or 0) // 4
+    n = entries * 64 // SORTED + 1
+    told = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h", "hot")).alias("told"))
+    found = _candidates(chunks.join(told, "chunk"), n_anchor, n)
+    runs = written(found.groupBy("bucket").applyInArrow(_smallest, "chunk long, segment binary, offset binary, size binary, doc binary").where(F.length("doc") > 0), "cut-runs")
+    told = runs.groupBy("chunk").agg(F.collect_list(F.struct("segment", "offset", "size", "doc")).alias("told"))
+    return _cut(chunks.join(told, "chunk", "left"), id_type, kept, rest)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept_sha256`` for each row, with ``kept=True`` also the bytes that stay.
 
@@ -322,17 +346,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    chunks = written(_pack(docs), "cut-chunks")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_anchor = total // COUNTED + 1
-    shared = written(_anchors(chunks, n_anchor).groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, h binary, hot binary").where(F.length("h") > 0), "cut-anchors")
-    entries = (shared.agg(F.sum(F.length("h"))).first()[0] or 0) // 4
-    n = entries * 64 // SORTED + 1
-    told = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h", "hot")).alias("told"))
-    found = _candidates(chunks.join(told, "chunk"), n_anchor, n)
-    runs = written(found.groupBy("bucket").applyInArrow(_smallest, "chunk long, segment binary, offset binary, size binary, doc binary").where(F.length("doc") > 0), "cut-runs")
-    told = runs.groupBy("chunk").agg(F.collect_list(F.struct("segment", "offset", "size", "doc")).alias("told"))
-    return _cut(chunks.join(told, "chunk", "left"), id_type, kept).withColumnRenamed("id", id_col)
+    return _run(docs, id_type, kept).withColumnRenamed("id", id_col)
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with repeats cut out of ``text``; ``n_chars`` of a cut text is counted anew.
+
+    A character that loses some of its bytes goes as a whole.  A text of which
+    nothing is left goes; texts that were empty or null stay as they are.
+    """
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    named = {f.name: f"c{k}" for k, f in enumerate(others)}
+    columns = [docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"), docs["text"].isNull().alias("was_null")]
+    rest = ", was_null boolean" + "".join(f", {named[f.name]} {f.dataType.simpleString()}" for f in others)
+    cut = _run(docs.select(*columns, *(docs[f.name].alias(named[f.name]) for f in others)), docs.schema["doc_id"].dataType.simpleString(), True, rest)
+    cut = cut.where("n_removed = 0 or n_removed < n_bytes")
+    # bytes of a cut character at an edge of what is left are no character of their own
+    text = F.when(F.col("n_removed") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("kept").cast("string"))
+    cut = cut.withColumn("text", F.when(~F.col("was_null"), text))
+    value = lambda f: F.when(F.col("n_removed") > 0, F.length("text").cast(f.dataType)).otherwise(F.col(named[f.name])) if f.name == "n_chars" else F.col(named[f.name])
+    by_name = {f.name: value(f).alias(f.name) for f in others} | {"doc_id": F.col("id").alias("doc_id"), "text": F.col("text")}
+    return cut.select(*(by_name[c] for c in docs.columns))
 
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, held_out, read_table, slices, text_buffers, within, words
+from .common import draw, held_out, read_table, slices, text_buffers, within, words, written
 
 #: Labelled documents of each class that are learned from at most, drawn by id.
 PER_CLASS = 6000
@@ -276,10 +276,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
-    sample = usable.withColumn("u", draw(F.col("doc_id"), 6)).where(F.col("u") < share)
-    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(61)), F.lit(FOLDS)).cast("int"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(sample, "doc_id")
+    drawn = usable.withColumn("u", draw(F.col("doc_id"), 6)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(61)), F.lit(FOLDS)).cast("int"))
+    # at most 2 * per_class rows of four numbers: under 1 MB, so it is broadcast and no text is shuffled
+    one = lambda y: drawn.where((F.col("toxic") == y) & (F.col("u") <= min(1.0, 1.2 * per_class / max(1, counts.get(y, 0))))).orderBy("u", "doc_id").limit(per_class)
+    sample = one(1).unionByName(one(0))
+    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id"), "toxic-sample")
     lexicon, others = mine(rows.select("text", "toxic", "fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +326,19 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, all columns as they are."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(m.score(features(part.column(at), m.lexicon)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     docs = read_table(spark, sf_dir, "documents")
