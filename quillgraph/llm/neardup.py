@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import BASE, mix, prefix_hash, read_table, run_hash, slices, text_buffers, words, written
-from .components import components
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
