@@ -24,10 +24,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
