@@ -60,7 +60,7 @@ def merge_links(old: DataFrame, new: DataFrame) -> DataFrame:
     """Links by (source, target, strategy) after targets of ``new`` were cleared; of repeated new links the last (by ``pos``) counts."""
     last = Window.partitionBy("source", "target", "strategy").orderBy(F.desc("pos"))
     fresh = new.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    return old.join(new.select("target").distinct(), "target", "left_anti").unionByName(fresh.select(*old.columns))
+    return old.join(new.select("target").distinct(), "target", "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 
 
 def common_tokens(left: DataFrame, right: DataFrame, limit: int = 96, least: int = 3, enough: int = 8) -> DataFrame:
