@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,31 @@ def support_status(benchmarks: DataFrame, integrations: DataFrame, runs: DataFra
     missing = F.array_except("tools", have)
     status = F.when(F.col("tools").isNull(), "unconfigured").when(F.size(missing) > 0, "blocked").otherwise("ready")
     return j.select("benchmark_id", status.alias("status"), F.coalesce(F.array_join(F.array_sort(missing), ","), F.lit("")).alias("missing"), F.coalesce("runs", F.lit(0)).cast("long").alias("runs"))
+
+
+# Where the components of a promoted target come from.
+SELECTIONS = ("template_only", "template_and_matched", "matched_only")
+
+
+def select_components(targets: DataFrame, components: DataFrame, selection: str, extra: list[str] | None = None) -> DataFrame:
+    """``target_id, component_id, pos``: components of targets (target_id, component_ids, benchmark_ids): the template's, those (component_id, benchmark_ids, pos) that share a benchmark, and named ones, each once, in that order."""
+    if selection not in SELECTIONS:
+        raise ValueError(f"unknown selection {selection!r}")
+    template = targets.select("target_id", F.posexplode("component_ids").alias("k", "component_id")).select("target_id", "component_id", F.lit(0).alias("part"), "k")
+    t = targets.select("target_id", F.explode("benchmark_ids").alias("b"))
+    c = components.select("component_id", F.col("pos").alias("k"), F.explode("benchmark_ids").alias("b"))
+    matched = t.join(c, "b").select("target_id", "component_id", F.lit(1).alias("part"), "k")
+    rows = {"template_only": template, "matched_only": matched}.get(selection) or template.unionByName(matched)
+    if extra:
+        named = F.posexplode(F.array(*map(F.lit, extra))).alias("k", "component_id")
+        rows = rows.unionByName(targets.select("target_id", named).select("target_id", "component_id", F.lit(2).alias("part"), "k"))
+    first = rows.groupBy("target_id", "component_id").agg(F.min(F.struct("part", "k")).alias("at"))
+    return first.withColumn("pos", (F.row_number().over(Window.partitionBy("target_id").orderBy("at", "component_id")) - 1).cast("long")).drop("at")
+
+
+def one_integration_each(benchmarks: DataFrame, integrations: DataFrame) -> DataFrame:
+    """``violation, key, n`` for benchmarks without, or with several, integrations, and for integrations of unknown benchmarks."""
+    n = integrations.groupBy("benchmark_id").agg(F.count(F.lit(1)).alias("n"))
+    j = benchmarks.select("benchmark_id", F.lit(1).alias("known")).join(n, "benchmark_id", "full")
+    violation = F.when(F.col("known").isNull(), "unknown_benchmark").when(F.col("n").isNull(), "no_integration").when(F.col("n") > 1, "several_integrations")
+    return j.select(violation.alias("violation"), F.col("benchmark_id").alias("key"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("violation is not null")

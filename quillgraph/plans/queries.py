@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, text
-from ..operators import bench, context, enrich, graph, identity, links, registry, search, stats
+from ..operators import bench, capabilities, context, enrich, graph, identity, layout, links, memory, qa, registry, search, stats, tabular
+from ..streaming import pipelines
 from .hosts import ASCII_LOWER, EDGES_SQL, LINES_SQL, NODES_SQL, graph_edges, graph_nodes, papers, table
 from .registry import register
 
@@ -505,3 +506,120 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 500).cast("string").alias("citation_key"), F.left("text", F.lit(30)).alias("arxiv_id"), (F.col("text") != "").alias("structured"), F.col("n_chars").alias("richness"))
     records = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("citation_key"), F.left("text", F.lit(30)).alias("arxiv_id"))
     return registry.best_matches(records, parsed)
+
+
+@register(
+    "node_view",
+    """SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'Paper' WHEN p_partkey % 3 = 1 THEN 'CodeSymbol' ELSE 'Concept' END AS kind,
+  CASE p_partkey % 3 WHEN 2 THEN p_brand ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) || ' · arXiv:' || p_brand WHEN 1 THEN 'function · src/' || p_brand ELSE '' END AS subtitle,
+  p_type AS description, CASE WHEN p_partkey % 3 = 1 THEN 'src/' || p_brand END AS path, CASE p_partkey % 3 WHEN 0 THEN 'literature' WHEN 1 THEN 'code' ELSE 'generated_context' END AS modality FROM part""",
+)
+def node_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    kind = F.when(k == 0, "Paper").when(k == 1, "CodeSymbol").otherwise("Concept")
+    size = F.col("p_size").cast("string")
+    props = F.when(k == 0, F.to_json(F.struct(F.col("p_name").alias("title"), size.alias("year"), F.col("p_brand").alias("arxiv_id"), F.col("p_type").alias("abstract"))))
+    props = props.when(k == 1, F.to_json(F.struct(F.col("p_name").alias("qualified_name"), F.lit("function").alias("symbol_kind"), F.concat(F.lit("src/"), "p_brand").alias("repo_path"), F.col("p_type").alias("doc_summary"))))
+    props = props.otherwise(F.to_json(F.struct(F.col("p_brand").alias("label"), F.col("p_type").alias("definition_short"))))
+    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.array(kind).alias("labels"), props.alias("properties"))
+    return tabular.node_view(nodes).select("id", "kind", "title", "subtitle", "description", "path", ranking.modality("labels", "properties").alias("modality"))
+
+
+@register(
+    "corpus_capability",
+    """WITH r AS (SELECT count(*) AS records, count(*) FILTER (doc_id % 2 = 0) AS arxiv_records, count(*) FILTER (doc_id % 6 = 0) AS local_tex, count(*) FILTER (doc_id % 4 = 0) AS expected_pdfs, count(l_id) AS enriched FROM documents LEFT JOIN (SELECT doc_id AS l_id FROM labels) ON doc_id = l_id),
+p AS (SELECT count(*) AS parsed FROM documents WHERE doc_id % 5 = 0)
+SELECT *, 'stale' AS download_state, 'stale' AS parse_state, 'stale' AS enrich_state, 'download,parse,build,enrich' AS next_steps FROM r, p""",
+)
+def corpus_capability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"))
+    r = d.join(lab, i == F.col("l_id"), "left").select(F.when(i % 2 == 0, i.cast("string")).alias("arxiv_id"), (i % 6 == 0).alias("has_local_tex"), F.when(i % 4 == 0, "x.pdf").alias("pdf_file"), F.col("l_id").isNotNull().alias("enriched"))
+    return capabilities.corpus_capability(r, d.where("doc_id % 5 = 0"))
+
+
+@register(
+    "component_selection",
+    """WITH t AS (SELECT r_name AS target_id, r_regionkey AS k FROM region), m AS (SELECT target_id, n_name AS component_id, 1 AS part, n_nationkey AS o FROM t JOIN nation ON n_regionkey = k UNION ALL SELECT target_id, 'BRAZIL', 0, 0 FROM t UNION ALL SELECT target_id, 'extra', 2, 0 FROM t),
+f AS (SELECT target_id, component_id, min(part * 1000 + o) AS o FROM m GROUP BY ALL)
+SELECT target_id, component_id, row_number() OVER (PARTITION BY target_id ORDER BY o, component_id) - 1 AS pos FROM f""",
+)
+def component_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "region").select(F.col("r_name").alias("target_id"), F.array(F.lit("BRAZIL")).alias("component_ids"), F.array(F.col("r_regionkey").cast("string")).alias("benchmark_ids"))
+    comps = table(spark, sf_dir, "nation").select(F.col("n_name").alias("component_id"), F.array(F.col("n_regionkey").cast("string")).alias("benchmark_ids"), F.col("n_nationkey").cast("int").alias("pos"))
+    return bench.select_components(targets, comps, "template_and_matched", ["extra"])
+
+
+@register(
+    "integration_violations",
+    """WITH b AS (SELECT CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey < 20), i AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, count(*) AS n FROM customer WHERE c_custkey <= 40 GROUP BY 1)
+SELECT CASE WHEN b.id IS NULL THEN 'unknown_benchmark' WHEN n IS NULL THEN 'no_integration' ELSE 'several_integrations' END AS violation, coalesce(b.id, i.id) AS key, coalesce(n, 0) AS n FROM b FULL JOIN i ON b.id = i.id WHERE b.id IS NULL OR n IS NULL OR n > 1""",
+)
+def integration_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("benchmark_id"))
+    i = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").cast("string").alias("benchmark_id"))
+    return bench.one_integration_each(b, i)
+
+
+@register(
+    "qa_summary",
+    """WITH a AS (SELECT d.source, 'q' || doc_id AS question_id, trim(string_split(trim(coalesce(d.text, '')), chr(10))[1]) AS answer, trim(string_split(trim(b.text), chr(10))[1]) AS accepted, doc_id % 10 AS latency, doc_id % 17 = 0 AS bad FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+o AS (SELECT *, answer <> '' AND contains(answer, accepted) AS ok FROM a)
+SELECT source, count(*) AS questions, round(avg(CAST(ok AS INT)), 6) AS exact_match, round(avg(CAST(answer <> '' AS INT)), 6) AS answered_rate, round(avg(latency), 6) AS average_latency, count(*) FILTER (bad) AS failures, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (NOT ok), '') AS incorrect FROM o GROUP BY source""",
+)
+def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
+    j = d.join(b, i % 40 == F.col("item_id"))
+    j = j.select("source", F.concat(F.lit("q"), i.cast("string")).alias("question_id"), F.col("text").alias("answer"), F.array("b").alias("accepted"), F.lit("text").alias("kind"), (i % 10).alias("latency"), F.when(i % 17 == 0, "bad").alias("error"))
+    return qa.summary(j, "source")
+
+
+_MODALITY_SQL = "CASE label WHEN 'part' THEN 'code' WHEN 'supplier' THEN 'literature' WHEN 'order' THEN 'backlog' WHEN 'customer' THEN 'memory' ELSE 'docs' END"
+
+
+@register(
+    "visible_nodes",
+    f"""WITH RECURSIVE e AS (SELECT source AS a, target AS b FROM {EDGES_SQL} UNION SELECT target, source FROM {EDGES_SQL}), r AS (SELECT 'supplier:1' AS id, 0 AS d UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id WHERE r.d < 2)
+SELECT id, {_MODALITY_SQL} AS modality FROM {NODES_SQL} WHERE id IN (SELECT id FROM r) AND {_MODALITY_SQL} IN ('code', 'literature', 'docs')""",
+)
+def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.create_map(*map(F.lit, ("part", "CodeSymbol", "supplier", "Paper", "order", "AgentBacklogIssue", "customer", "ProjectMemory")))
+    n = graph.union_nodes(graph_nodes(spark, sf_dir)).withColumn("labels", F.array(F.coalesce(named[F.col("label")], F.lit("Node")))).withColumn("props", F.create_map(F.lit("name"), "title"))
+    n = n.select("id", ranking.modality("labels", "props").alias("modality"))
+    focus = graph.neighborhood(graph_edges(spark, sf_dir), spark.range(1).select(F.lit("supplier:1").alias("id")), 2)
+    return capabilities.visible(n, capabilities.wanted_modalities({"code", "literature", "docs", "memory"}, {"memory"}), focus)
+
+
+@register(
+    "memory_relations",
+    """WITH c AS (SELECT 'm' || (page_id % 50) AS node_id, page_id % 4 AS k, page_id FROM pages),
+r AS (SELECT node_id, CASE k WHEN 0 THEN 'docs/' || (page_id % 9) || '.md' WHEN 1 THEN 'src/' || (page_id % 9) || '.py' WHEN 2 THEN '@key' || (page_id % 9) ELSE 'mod.f' || (page_id % 9) END AS evidence,
+  CASE k WHEN 0 THEN 'doc_surface:repo:docs/' || (page_id % 9) || '.md' WHEN 1 THEN 'code_surface:repo:src/' || (page_id % 9) || '.py' WHEN 2 THEN CASE WHEN page_id % 9 < 5 THEN 'paper:p' || (page_id % 9) ELSE 'paper_surface:ref:@key' || (page_id % 9) END ELSE 'code_surface:symbol:mod.f' || (page_id % 9) END AS target,
+  CASE k WHEN 0 THEN 'doc_surface' WHEN 2 THEN CASE WHEN page_id % 9 < 5 THEN 'paper' ELSE 'paper_surface' END ELSE 'code_surface' END AS target_kind, CASE CAST(substr(node_id, 2) AS INT) % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'project_state' ELSE 'note' END AS kind FROM c),
+x AS (SELECT *, unnest(list_filter([CASE WHEN target_kind = 'code_surface' AND kind IN ('decision', 'project_state') THEN 'DOCUMENTS_CODE' END, CASE WHEN kind = 'decision' AND target_kind NOT IN ('paper', 'paper_surface') THEN 'CONSTRAINS' END,
+  CASE WHEN target_kind IN ('paper', 'paper_surface') OR NOT ((target_kind = 'code_surface' AND kind IN ('decision', 'project_state')) OR kind = 'decision') THEN 'RELATES_TO' END], lambda v: v IS NOT NULL)) AS relation FROM r)
+SELECT node_id AS source, target, relation, target_kind, string_agg(DISTINCT evidence, '|' ORDER BY evidence) AS evidence FROM x GROUP BY ALL""",
+)
+def memory_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.concat(F.lit("m"), (F.col("page_id") % 50).cast("string")).alias("node_id"), (F.col("page_id") % 4).alias("k"), (F.col("page_id") % 9).cast("string").alias("n"))
+    raw = F.when(F.col("k") == 0, F.concat(F.lit("docs/"), "n", F.lit(".md"))).when(F.col("k") == 1, F.concat(F.lit("src/"), "n", F.lit(".py"))).when(F.col("k") == 2, F.concat(F.lit("key"), "n")).otherwise(F.concat(F.lit("mod.f"), "n"))
+    kind = F.when(F.col("k") <= 1, "path").when(F.col("k") == 2, "citation_key").otherwise("symbol")
+    papers_ = spark.createDataFrame([(f"p{i}", f"key{i}", None, None) for i in range(5)], "paper_id string, citation_key string, arxiv_id string, stem string")
+    m = F.substring("node_id", F.lit(2), F.lit(9)).cast("int") % 3
+    nodes = p.select("node_id", F.when(m == 0, "decision").when(m == 1, "project_state").otherwise("note").alias("kind")).distinct()
+    return memory.relations(nodes, memory.resolve(p.select("node_id", raw.alias("raw"), kind.alias("kind")), papers_))
+
+
+@register("event_windows", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.event_counts(table(spark, sf_dir, "events")).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+@register("graph_layout")
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = graph.union_nodes(graph_nodes(spark, sf_dir)[1:4])
+    kinds = F.create_map(*map(F.lit, ("nation", "Paper", "customer", "Citation", "supplier", "PaperSection")))
+    e = graph_edges(spark, sf_dir).where("rel_type = 'IN_NATION'")
+    turned = e.select(F.col("target").alias("source"), F.when(F.startswith("source", F.lit("customer")), "CITES").otherwise("HAS_SECTION").alias("rel_type"), F.col("source").alias("target"))
+    return layout.semantic_layout(n.select("id", kinds[F.col("label")].alias("kind"), "title"), turned)

@@ -133,3 +133,59 @@ def test_merge_links(spark):
     old = spark.createDataFrame([("a", "t", "s", 0.1), ("b", "u", "s", 0.2)], schema)
     new = spark.createDataFrame([("c", "t", "s", 0.3, 1), ("c", "t", "s", 0.4, 2)], schema + ", pos int")
     assert sorted(map(tuple, links.merge_links(old, new).collect())) == [("b", "u", "s", 0.2), ("c", "t", "s", 0.4)]
+
+
+def test_layout_places_every_node_once(spark):
+    from quillgraph.plans import queries
+
+    rows = queries.graph_layout(spark, "/root/testdata/sf0.001").collect()
+    assert len({r["id"] for r in rows}) == len(rows) > 25 and all(r["x"] == r["x"] for r in rows)
+    ring = [(r["x"] ** 2 + r["y"] ** 2) ** 0.5 for r in rows if r["id"].startswith("nation:")]
+    assert max(ring) - min(ring) < 1e-6
+
+
+def test_questions(spark):
+    from quillgraph.operators import qa
+
+    facts = spark.createDataFrame([(t, f"{t}{i % 12}", i) for t in ("symbol_definition", "make_target", "readme_command") for i in range(30)], "question_type string, expected_answer string, n int")
+    a, b = qa.choose(facts, 25).collect(), qa.choose(facts.repartition(5), 25).collect()
+    assert a == b and len(a) == 25
+    got = [r["question_type"] for r in a]
+    assert got.count("symbol_definition") == got.count("make_target") == 10
+    assert len({(r["question_type"], r["expected_answer"]) for r in a}) == 25
+
+
+def test_tabular_bundle(spark):
+    from quillgraph.operators import tabular
+
+    papers = spark.createDataFrame([("p", "T", None, [(1, "S", "c")], [], ["t"], ["Key A", "é"])], "paper_id string, title string, abstract string, sections array<struct<level:int,title:string,content:string>>, figures array<string>, tables array<string>, citations array<string>")
+    books = spark.createDataFrame([("n", "p", [(0, "code", "x")])], "notebook_id string, paper_id string, cells array<struct<index:int,kind:string,source:string>>")
+    more = spark.createDataFrame([("p", "CITES", "q"), ("p", "MENTIONS", "p:citation:0")], "source string, rel_type string, target string")
+    b = tabular.bundle(papers, books, more)
+    assert [tuple(r) for r in b["papers"].collect()] == [("p", "T", None, 1, 0, 1, 2)]
+    assert [r["citation_id"] for r in b["citations"].orderBy("citation_row_id").collect()] == ["keya", "citation_1"]
+    assert sorted(r["edge_id"] for r in b["edges"].collect()) == ["p:CITES:q", "p:MENTIONS:p:citation:0", "p:MENTIONS:p:citation:1"]
+    nodes, edges = tabular.graph_of(papers)
+    assert nodes.count() == 4 and edges.count() == 3
+    view = {r["id"]: r for r in tabular.node_view(nodes).collect()}
+    assert view["paper:p"]["title"] == "T" and view["paper:p:section:0"]["subtitle"] == "Level 1 · p"
+
+
+def test_service_retries():
+    from quillgraph.sources import service
+
+    answers, slept = [(429, {"retry-after": "3"}, ""), (500, {}, ""), (200, {}, '[{"externalIds": {"A": 1, "B": [2]}}, null]')], []
+    got = service.request(lambda ids: answers.pop(0), ["a", "b"], slept.append)
+    assert slept == [3.0, 2.0]
+    assert service.plain_paper(got[0])["externalIds"] == {"A": "1"} and service.plain_paper(got[1]) is None
+    with pytest.raises(OSError):
+        service.request(lambda ids: (404, {}, ""), ["a"], slept.append)
+
+
+def test_modalities():
+    from quillgraph.operators import capabilities
+
+    assert capabilities.wanted_modalities() == set(capabilities.MODALITIES)
+    assert capabilities.wanted_modalities({"code"}, {"code"}) == set()
+    with pytest.raises(ValueError):
+        capabilities.wanted_modalities({"nothing"})
