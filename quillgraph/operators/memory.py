@@ -9,7 +9,7 @@ from ..functions import text
 
 # Kinds of memory nodes that describe code, and those that bind what they mention.
 DESCRIBES = ("project_state", "decision", "gotcha")
-BINDS = ("decision", "gotcha", "open_question")
+BINDS = ("decision", "gotcha")
 
 
 def relation_types(kind: Column, target_kind: Column) -> Column:
