@@ -189,3 +189,40 @@ def test_modalities():
     assert capabilities.wanted_modalities({"code"}, {"code"}) == set()
     with pytest.raises(ValueError):
         capabilities.wanted_modalities({"nothing"})
+
+
+def test_episodes(spark):
+    import datetime
+
+    from quillgraph.operators import episodes
+
+    now = datetime.datetime(2024, 1, 2)
+    rows = [("a/one_two.qmd", "---\ntitle: 'T'\n---\n# H\ntext\n```{python}\nrun()\n```\nend", now), ("b/long_name.md", "line\n" * 3000, now)]
+    got = {r["path"]: r for r in episodes.episodes(spark.createDataFrame(rows, "path string, text string, mtime timestamp")).collect()}
+    assert got["a/one_two.qmd"]["body"] == "Source Path: a/one_two.qmd\nDocument Title: T\nDocument Kind: qmd\n\n# H\ntext\nend"
+    assert got["b/long_name.md"]["title"] == "long name" and got["b/long_name.md"]["body"].endswith("line" + episodes.CUT_NOTE)
+
+
+def test_model_answers(spark):
+    from quillgraph.operators import episodes
+
+    items = spark.createDataFrame([('{"subject": " A ", "to": "B", "predicate": "is part-of"}',), ('{"source": "x", "target": "y", "relation": "r", "fact": "f"}',)], "item string")
+    assert [tuple(r) for r in episodes.repaired_edges(items).collect()] == [("A", "B", "IS_PART_OF", "A is part-of B"), ("x", "y", "R", "f")]
+    items = spark.createDataFrame([('{"entity": "E", "type_id": "7"}',), ('{"name": "N", "entity_type_id": "x"}',), ('{"name": "M", "type": "t"}',)], "item string")
+    assert [tuple(r) for r in episodes.repaired_entities(items).collect()] == [("E", 7), ("N", 0), ("M", 0)]
+
+
+def test_embedding_texts(spark):
+    from quillgraph.operators import episodes
+
+    df = spark.createDataFrame([(["Function"], {"name": "f", "path": "p", "module": "m", "source": "x" * 900, "other": "o"})], "l array<string>, p map<string,string>")
+    r = df.select(episodes.code_text(F.col("l"), F.col("p")).alias("c"), episodes.graph_text(F.col("l"), F.col("p")).alias("g")).first()
+    assert r["c"].startswith("kind: Function\nname: f\npath: p\n") and '{"module":"m"}' in r["c"] and r["c"].endswith("snippet: " + "x" * 800)
+    assert 'attributes: {"module":"m","other":"o","path":"p"' in r["g"]
+
+
+def test_cited_by(spark):
+    from quillgraph.operators import episodes
+
+    p = spark.createDataFrame([("a", "Key", ["z"]), ("b", None, ["KEY", "key"]), ("c", "z", [])], "paper_id string, citation_key string, citations array<string>")
+    assert {r["paper_id"]: r["cited_by"] for r in episodes.cited_by(p).collect()} == {"a": ["b"], "b": [], "c": ["a"]}
