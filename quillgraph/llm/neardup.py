@@ -4,13 +4,14 @@
    the set and a sketch: for each of 72 buckets the smallest hash, kept as its
    count of leading zeros and ten bits of mantissa.  Equal sets form a class
    and go on as one row.
-2. Bands of three registers are keys.  A key that many classes share is joined
-   with every other band's key, again and again finer, which splits classes
-   that merely have a passage in common: alike classes share most bands.
-3. In each key's group, all are compared with the smallest; what that doesn't
-   link is compared in blocks with the rest of the group.  Pairs go on if the
-   collision-corrected estimate allows the threshold within five deviations.
-4. Links are confirmed on the full sets and joined to components.
+2. Bands of three registers are keys.  A key that very many classes share is
+   joined with the keys of the next bands, which splits classes that merely
+   have a passage in common: alike classes share most bands.
+3. In each key's group classes are joined to clusters if the collision-corrected
+   estimate allows the threshold within five deviations.  Only the links that
+   hold a cluster together leave a task, not all its pairs.
+4. In each cluster links are confirmed on the full sets, again in blocks of
+   which only the links that join components leave.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ SHINGLE = 5
 PERCENT = 85
 REGISTERS, BAND, MANTISSA = 72, 3, 10
 EMPTY = np.uint16(0xFFFF)
-#: Classes that may share a key before it is made finer, and members of a block.
-SHARED, BLOCK = 64, 1024
+#: Classes that may share a key before it is made finer, and the following bands that it is joined with.
+SHARED, FINER = 4096, 6
+#: Sketches and full sets of a block.
+SKETCHES, SETS = 8192, 1024
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -106,8 +109,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 sets, sizes = shingles(*text_buffers(part.column("text")))
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
-                keys = [(s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums]
+                keys = _set_keys(sets, cuts)
                 registers = sketch(sets, sizes)
                 key, count = bands(registers)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(key))
@@ -117,111 +119,126 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, sig binary, bands array<long>")
 
 
+def _set_keys(sets: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """Two numbers that are equal for equal sets alone (but for a chance of 2**-128)."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
+    return [(s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in sums]
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """``id, shingles``: packed sorted hashes of each text."""
+    """``id, k1, k2, shingles``: packed sorted hashes of each text and the keys of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, sizes = shingles(*text_buffers(part.column("text")))
-                cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([sets[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["id", "shingles"])
+                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                packed = [sets[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, _set_keys(sets, cuts)), pa.array(packed, pa.binary())], ["id", "k1", "k2", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, shingles binary")
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose sketches allow a link."""
-    kind = classes.schema["id"].dataType.simpleString()
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ok = may_link(*(_signatures(batch.column(c)) for c in ("sa", "sb")), *(batch.column(c).to_numpy() for c in ("na", "nb")))
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are links by their full sets."""
-    kind = docs.schema["id"].dataType.simpleString()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # a repeated id counts with its least text
-    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = written(_sets(texts), "near-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-    return full.select("a", "b", "xa", "xb").mapInArrow(run, f"a {kind}, b {kind}")
+class _Forest:
+    """Components of the members of a block, and the links that joined them."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.of, self.links = ids, np.arange(len(ids)), []
+
+    def join(self, r: int, others: np.ndarray) -> None:
+        """Link member ``r`` with ``others``; a link within a component isn't kept."""
+        for o in others[np.unique(self.of[others], return_index=True)[1]].tolist():
+            if self.of[o] != self.of[r]:
+                self.of[self.of == self.of[o]] = self.of[r]
+                self.links.append((self.ids[o], self.ids[r]))
+
+    def table(self) -> pa.Table:
+        a, b = np.array(self.links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Add ``part``, ``i`` and ``j``: every two parts of a key's members, of about ``size`` members each, meet in one block."""
+    n = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    rows = rows.join(n, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+
+
+def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Members' ids and parts, and whether the block is of one part."""
+    ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+    return ids, part, table.column("i")[0].as_py() == table.column("j")[0].as_py()
+
+
+def _by_sketch(table: pa.Table) -> pa.Table:
+    """Links that join a block's members whose sketches allow a link."""
+    table = table.sort_by("id").combine_chunks()
+    (ids, part, own), n = _across(table), table.column("n").to_numpy()
+    sig, forest = _signatures(table.column("sig")), _Forest(ids)
+    for r in range(len(ids)):
+        others = np.flatnonzero((forest.of != forest.of[r]) & (True if own else part != part[r]))
+        if len(others):
+            forest.join(r, others[may_link(sig[others], sig[r], n[others], n[r])])
+    return forest.table()
+
+
+def _by_set(table: pa.Table) -> pa.Table:
+    """Links that join a block's members by their full sets."""
+    table = table.sort_by("id").combine_chunks()
+    ids, part, own = _across(table)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    _, every = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    there, forest = np.zeros(every.max(initial=0) + 1, np.uint8), _Forest(ids)
+    for r in range(len(ids)):
+        fits = (100 * np.minimum(size, size[r]) >= PERCENT * np.maximum(size, size[r])) & (forest.of != forest.of[r])
+        others = np.flatnonzero(fits & (True if own else part != part[r]))
+        if not len(others):
+            continue
+        mine = every[at[r] : at[r + 1]]
+        there[mine] = 1
+        if 4 * len(others) < len(ids):
+            common = np.array([there[every[at[o] : at[o + 1]]].sum(dtype=np.int64) for o in others])
+        else:
+            sums = np.concatenate([[0], np.cumsum(there[every], dtype=np.int64)])
+            common = (sums[at[1:]] - sums[at[:-1]])[others]
+        there[mine] = 0
+        forest.join(r, others[100 * common >= PERCENT * (size[others] + size[r] - common)])
+    return forest.table()
 
 
 def _groups(classes: DataFrame) -> DataFrame:
-    """``key, id``: classes by the keys that at least two share.
+    """``key, id, k1``: classes by the keys that at least two share.
 
-    A key of more than SHARED classes gives way to its combinations with the
-    other bands of its members, once; alike classes share about 15 of the 24
-    bands, so at least two but for one pair in a hundred million.
+    A key of more than SHARED classes gives way to its pairs with the next
+    FINER bands' keys.  At the threshold 15 of 24 bands agree; that so few do
+    that no two of them are that close happens once in a hundred million.
     """
-    rows = classes.select("id", F.explode("bands").alias("key"))
+    rows = classes.select("id", "k1", F.posexplode("bands").alias("p", "key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(rows.join(sizes, "key"), "near-bands")
-    few, many = rows.where(F.col("size") <= SHARED).select("key", "id"), rows.where(F.col("size") > SHARED).select("key", "id")
-    finer = many.join(classes.select("id", "bands"), "id").select("id", "key", F.explode("bands").alias("other")).where("other <> key")
-    finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+    few, many = rows.where(F.col("size") <= SHARED).select("key", "id", "k1"), rows.where(F.col("size") > SHARED)
+    n = F.size("bands")
+    following = F.transform(F.sequence(F.lit(1), F.least(F.lit(FINER), n - 1)), lambda k: F.element_at("bands", ((F.col("p") + k) % n + 1).cast("int")))
+    finer = many.join(classes.select("id", "k1", "bands").where(n > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
+    finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "k1").distinct()
     sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return few.unionByName(finer.join(sizes, "key").select("key", "id"))
+    return few.unionByName(finer.join(sizes, "key").select("key", "id", "k1"))
 
 
-def _unlinked(groups: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Likely pairs between members of one group that are in different components so far.
+#: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
-    Members of a group that isn't one component are compared in blocks of
-    BLOCK by BLOCK; only pairs that the sketches allow leave a task.
-    """
-    kind = classes.schema["id"].dataType.simpleString()
-    rows = groups.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(open_.select("key", "size"), "key")
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = rows.join(classes.select("id", "n", "sig"), "id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, part, n = (table.column(c).to_numpy() for c in ("id", "component", "part", "n"))
-        sig = _signatures(table.column("sig").combine_chunks() if table.num_rows else table.column("sig"))
-        own = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        low = table.column("i")[0].as_py()
-        out_a, out_b = [], []
-        for r in range(len(ids)):
-            if not own and part[r] != low:
-                continue
-            other = np.flatnonzero((comp != comp[r]) & ((ids > ids[r]) if own else (part != low)))
-            if len(other):
-                ok = other[may_link(sig[other], sig[r], n[other], n[r])]
-                out_a.append(np.minimum(ids[ok], ids[r]))
-                out_b.append(np.maximum(ids[ok], ids[r]))
-        join = lambda x: np.concatenate(x) if x else ids[:0]
-        return pa.table({"a": join(out_a), "b": join(out_b)})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids for a join with texts, which needn't be shuffled if the ids are few; counted from the written table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,41 +251,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Further columns are ignored; an empty table gives no rows.  Ids are
     integers.
     """
-    docs = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = written(_sketches(docs), "near-sketches")
     # sets of fewer than 6 shingles are only like equal ones, which are one class already
     by_set = base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = by_set.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("rep").alias("id"), "k.k1", "k.k2")
-    classes = written(base.join(reps, ["id", "k1", "k2"]).where("n >= 6").groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
+    # a row for each set; an id that stands for several sets has several
+    own = base.join(by_set.withColumnRenamed("rep", "id"), ["id", "k1", "k2"]).where("n >= 6")
+    classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
     groups = written(_groups(classes), "near-groups")
 
-    leaders = groups.groupBy("key").agg(F.min("id").alias("a"))
-    stars = groups.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    texts = docs.where("id is not null")
-    links = written(_confirmed(written(_likely(stars, classes), "near-pairs"), texts), "near-links")
-    found = components(links)
-    more = written(_unlinked(groups, classes, found).join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    links = written(links.unionByName(_confirmed(more, texts)), "near-links")
+    links = "a long, b long"
+    likely = _blocks(groups, "key", SKETCHES).join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("key", "i", "j").applyInArrow(_by_sketch, links)
+    clusters = written(components(likely).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "near-clusters")
+    texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
+    sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets")
+    links = _blocks(clusters, "cluster", SETS).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_by_set, links)
     # rows of one id with several sets tie their classes together
-    ids = base.where("id is not null and n > 0").select("id", "k1", "k2").join(by_set, ["k1", "k2"])
-    same = ids.where("id <> rep").join(by_set.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    ids = base.where("id is not null and n > 0").select("id", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "rep").distinct()
+    several = ids.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    same = ids.join(several, "id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
     found = components(links.unionByName(same))
 
     by_set = by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = base.join(by_set, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     out = out.select("id", "n", component.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-#: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
     gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,10 @@ def test_repeats_are_removed(spark, monkeypatch, limits):
 def test_nothing_to_remove(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(none).count() == 0 and substrings.cut_documents(none).count() == 0
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b = ("%s %s" % (p, " ".join(f"{p}{k}" for k in range(60))) for p in "ab")
+    rows = [(9, a), (9, b), (4, a + " x"), (7, b + " y"), (7, b + " y"), (8, "other words of another kind here")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(4, 4), (7, 4), (7, 4), (8, 8), (9, 4), (9, 4)]
