@@ -35,9 +35,9 @@ from .suffix import common_prefixes, suffix_array, words_at
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text of a chunk, of the text whose anchors a bucket counts, and of segments that a bucket sorts.
-CHUNK, COUNTED, SORTED = 12 << 20, 16 << 20, 3 << 20
+CHUNK, COUNTED, SORTED = 4 << 20, 16 << 20, 2 << 20
 #: Windows that are hashed at a time.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Documents that may share an anchor before its strings are dealt out one by one.
 SHARED = 4096
 
@@ -173,8 +173,24 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
 
 
+def _pack_segments(segment: np.ndarray, offset: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray) -> bytes:
+    """Columns of segments, compressed; ``segment`` rises, so neighbours are of one document."""
+    columns = (np.diff(segment, prepend=0).astype(np.uint32), offset.astype(np.uint8), size.astype(np.uint8), np.diff(low, prepend=0), high - low, body)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(c.tobytes() for c in columns))
+
+
+def _unpack_segments(packed: bytes, n: int) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    at, out = 0, []
+    for kind in (np.uint32, np.uint8, np.uint8, np.int64, np.int64):
+        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        at += n * np.dtype(kind).itemsize
+    low = np.cumsum(out[3])
+    return np.cumsum(out[0]), out[1], out[2], low, low + out[4], np.frombuffer(raw, np.uint8, -1, at)
+
+
 def _candidates(chunks: DataFrame, n_anchor: int, n: int) -> DataFrame:
-    """``bucket, chunk, segment, offset, size, low, high, body``: distinct segments of each chunk at shared anchors."""
+    """``bucket, chunk, n, packed``: distinct segments of each chunk at shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,28 +225,25 @@ def _candidates(chunks: DataFrame, n_anchor: int, n: int) -> DataFrame:
                     first, low, high = again(first), again(low), again(high)
                     offset, start = np.concatenate([offset[~split], each]), np.concatenate([start[~split], where])
                     size = np.concatenate([size[~split], np.full(len(each), LENGTH)])
-                o = np.argsort(to, kind="stable")
+                o = np.lexsort((first, to))
                 cuts = np.searchsorted(to[o], np.arange(n + 1))
                 rows = []
                 for k in np.flatnonzero(np.diff(cuts)):
                     p = o[cuts[k] : cuts[k + 1]]
-                    rows.append((k, row["chunk"], *(x[p].astype(t).tobytes() for x, t in ((first, np.int32), (offset, np.int32), (size, np.int32), (low, np.int64), (high, np.int64))), c.data[_runs(start[p], size[p])].tobytes()))
+                    rows.append((k, row["chunk"], len(p), _pack_segments(*(x[p] for x in (first, offset, size, low, high)), c.data[_runs(start[p], size[p])])))
                 if rows:
-                    names = ["bucket", "chunk", "segment", "offset", "size", "low", "high", "body"]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 2 else pa.binary()) for k, x in enumerate(zip(*rows))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.binary()) for k, x in enumerate(zip(*rows))], ["bucket", "chunk", "n", "packed"])
 
-    return chunks.mapInArrow(run, "bucket long, chunk long, segment binary, offset binary, size binary, low binary, high binary, body binary")
+    return chunks.mapInArrow(run, "bucket long, chunk long, n long, packed binary")
 
 
 def _smallest(table: pa.Table) -> pa.Table:
     """For each chunk of a bucket the windows that also stand in a smaller document than some document of the chunk: runs ``(segment, offset, size, doc)``."""
     rows = table.num_rows
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    segment = read("segment", np.int32)
-    owner = np.repeat(np.arange(rows), [len(s) for s in segment])
-    segment, offset = np.concatenate(segment), np.concatenate(read("offset", np.int32)).astype(np.int64)
-    size, low, high = (np.concatenate(read(c, k)).astype(np.int64) for c, k in (("size", np.int32), ("low", np.int64), ("high", np.int64)))
-    text = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
+    parts = [_unpack_segments(*x) for x in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+    owner = np.repeat(np.arange(rows), table.column("n").to_numpy())
+    segment, offset, size, low, high, text = (np.concatenate(x) for x in zip(*parts))
+    del parts
     start = np.cumsum(size) - size
     # equal segments of several chunks are sorted once
     content = run_hash(prefix_hash(text), start, start + size)
