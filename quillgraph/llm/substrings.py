@@ -55,7 +55,7 @@ def _pack(docs: DataFrame) -> DataFrame:
             table = pa.Table.from_batches(parts).combine_chunks()
             data, at = text_buffers(table.column("text"))
             ids = table.column("id").combine_chunks()
-            packed = [ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), (~np.asarray(ids.is_null())).astype(np.uint8).tobytes(), np.diff(at).tobytes(), zstandard.ZstdCompressor(level=1).compress(data.tobytes())]
+            packed = [ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), (~np.asarray(ids.is_null())).astype(np.uint8).tobytes(), np.diff(at).tobytes(), zstandard.ZstdCompressor(level=6).compress(data.tobytes())]
             other = pa.BufferOutputStream()
             with pa.ipc.new_stream(other, table.select(rest).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
                 sink.write_table(table.select(rest))
