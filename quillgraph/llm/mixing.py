@@ -5,7 +5,10 @@ Sainte-Laguë then hands out blocks of equal words by highest quotient
 ``target / (2 k + 1)``: first among the sources, then among the groups of a
 source, then among the shards of a group.  In a shard, documents stand in a
 seeded order and a seeded run of blocks, as long as the shard's quota, is
-taken; whole rounds repeat the shard.
+taken; whole rounds repeat the shard.  Shards of short texts have more
+documents, so that they hold many blocks; one that still holds few (its texts
+differ much in size) is counted in words instead of blocks, and what a full
+shard can't take goes to the others of its source.
 
 The highest quotients are found without listing a block: seats that a party is
 sure of follow from its share, and only the few seats about its share compete.
@@ -23,8 +26,9 @@ MAX_REPEATS = 3
 LEAST_BLOCKS = 512
 #: Words of a block at most.
 BLOCK_WORDS = 2048
-#: Documents of a shard and shards of a group, about.
+#: Documents of a shard, blocks that a shard holds at least, and shards of a group, about.
 SHARD_DOCS = 256
+SHARD_BLOCKS = 32
 GROUP_SHARDS = 1024
 
 
@@ -77,6 +81,24 @@ def sainte_lague(parties: DataFrame, keys: list[str], seats: str, size: str, ord
     return q.select(*parties.columns, "quota")
 
 
+def _dealt_out(parts: DataFrame) -> DataFrame:
+    """Cap each shard's quota at ``MAX_REPEATS`` rounds and share the words that this cuts off among the source's other shards, by their room.
+
+    A shard that gets some is counted in words from then on.  The window holds
+    a source's shards, not its documents.
+    """
+    source, upto = Window.partitionBy("src"), Window.partitionBy("src").orderBy("grp", "shard").rowsBetween(Window.unboundedPreceding, 0)
+    most = F.col("shard_size") * MAX_REPEATS
+    p = parts.withColumn("want", F.floor(F.col("quota") * F.col("shard_size") / F.col("blocks")))
+    p = p.withColumn("room", F.greatest(most - F.col("want"), F.lit(0))).withColumn("room_to", F.sum("room").over(upto)).withColumn("room_all", F.sum("room").over(source))
+    p = p.withColumn("cut", F.least(F.sum(F.greatest(F.col("want") - most, F.lit(0))).over(source), F.col("room_all")))
+    upto_ = lambda room: F.floor(F.col("cut").cast("decimal(19,0)") * room / F.col("room_all"))
+    p = p.withColumn("extra", F.when(F.col("cut") > 0, upto_(F.col("room_to")) - upto_(F.col("room_to") - F.col("room"))).otherwise(0).cast("long"))
+    some = F.col("extra") > 0
+    p = p.withColumn("quota", F.when(some, F.col("want") + F.col("extra")).otherwise(F.col("quota"))).withColumn("blocks", F.when(some, F.col("shard_size")).otherwise(F.col("blocks")))
+    return p.withColumn("quota", F.least("quota", F.col("blocks") * MAX_REPEATS)).select(*parts.columns)
+
+
 def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, copies, lead, lead_start, tail`` for each row of ``docs``.
 
@@ -95,23 +117,27 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.coalesce(least, F.lit(1)) / LEAST_BLOCKS))).cast("long")
-    shards = F.ceil(F.col("n_docs") / SHARD_DOCS)
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("n_docs") / SHARD_DOCS), F.floor(F.col("source_size") / (block * SHARD_BLOCKS))))
     sources = sources.withColumns({"block": block, "n_shards": shards, "n_groups": F.ceil(shards / GROUP_SHARDS), "root": F.lit(0)})
     sources = sources.withColumn("seats", F.round(F.col("total") / F.col("block")).cast("long")).withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
     sources = sainte_lague(sources, ["root"], "seats", "target", ["src"]).withColumnRenamed("quota", "source_quota")
 
     # Spark broadcasts the sources if their measured size allows, and splits a hot source otherwise
     d = d.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))
-    d = d.join(sources.select("src", "source_size", "target", "block", "n_shards", "n_groups", "source_quota"), "src")
+    d = d.join(sources.select("src", "source_size", "target", "n_docs", "block", "n_shards", "n_groups", "source_quota"), "src")
     d = d.withColumn("shard", F.col("h") % F.col("n_shards")).withColumn("grp", F.col("shard") % F.col("n_groups"))
     # else the windows below would keep the join's partitioning by source, with a hot source in one task
-    d = d.repartition("src", "shard")
+    # documents without a word take nothing and stand apart, as there may be any number of them to a shard
+    d = d.withColumn("apart", F.when(F.col("size") == 0, F.col("h") % F.ceil(F.col("n_docs") / SHARD_DOCS) + 1).otherwise(0))
+    d = d.repartition("src", "shard", "apart")
     parts = d.groupBy("src", "grp", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota"))
     groups = parts.groupBy("src", "grp").agg(F.sum("shard_size").alias("grp_size"), F.first("source_quota").alias("source_quota"))
     groups = sainte_lague(groups, ["src"], "source_quota", "grp_size", ["grp"]).select("src", "grp", F.col("quota").alias("grp_quota"))
     parts = sainte_lague(parts.join(groups, ["src", "grp"]), ["src", "grp"], "grp_quota", "shard_size", ["shard"])
-    blocks = F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("block"))).cast("long")
-    parts = parts.withColumn("blocks", blocks).withColumn("quota", F.least("quota", blocks * MAX_REPEATS))
+    few = F.col("shard_size") < F.col("block") * SHARD_BLOCKS
+    parts = parts.withColumn("quota", F.when(few, F.col("quota") * F.col("block")).otherwise(F.col("quota")))
+    parts = parts.withColumn("blocks", F.greatest(F.lit(1), F.when(few, F.col("shard_size")).otherwise(F.round(F.col("shard_size") / F.col("block")))).cast("long"))
+    parts = _dealt_out(parts)
     start = _hash(seed, F.col("src"), F.col("shard").cast("string")) % F.col("blocks")
     run = F.col("quota") % F.col("blocks")
     edge = lambda block: F.floor(block * F.col("shard_size") / F.col("blocks"))
@@ -123,7 +149,7 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
         edge(F.least(start + run, F.col("blocks"))).alias("to_"),
         edge(F.greatest(start + run - F.col("blocks"), F.lit(0))).alias("wrap"),
     )
-    seeded = Window.partitionBy("src", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    seeded = Window.partitionBy("src", "shard", "apart").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("end", F.sum("size").over(seeded)).join(parts, ["src", "shard"])
     a = F.col("end") - F.col("size")
     lead_from = F.greatest(a, F.col("from_"))

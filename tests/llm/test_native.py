@@ -63,6 +63,26 @@ def test_mix_meets_targets(spark, rows):
         assert taken[s] == pytest.approx(t, rel=0.01, abs=3)
 
 
+#: Words of a text, by its id.
+LENGTHS = {"4": "4", "2 to 15": "2 + id % 14", "mostly empty": "if(id % 5 = 0, 13, 0)", "few long ones": "if(id % 4096 = 0, 20000, 2)"}
+
+
+@pytest.mark.parametrize("length", LENGTHS)
+def test_mix_of_short_texts_meets_targets(spark, length):
+    """The smallest source has over 2048 * 512 words, so blocks are of 2048 words."""
+    mean = {"4": 4, "2 to 15": 8.5, "mostly empty": 2.6, "few long ones": 6.8}[length]
+    docs = None
+    for k, words in enumerate((3_700_000, 2_200_000, 1_100_000)):
+        part = spark.range(int(words / mean)).selectExpr(f"id * 3 + {k} AS doc_id", f"repeat('w ', cast({LENGTHS[length]} AS int)) AS text", f"'s{k}' AS source")
+        docs = part if docs is None else docs.unionByName(part)
+    rows = mixing.mix(docs).selectExpr("*", "taken <= 3 * size AS fits").groupBy("source", "source_size").agg({"taken": "sum", "fits": "min"}).collect()
+    target = water_fill({r["source"]: r["source_size"] for r in rows})
+    assert min(r["source_size"] for r in rows) >= 2048 * 512 and target["s2"] == 3 * min(r["source_size"] for r in rows)
+    for r in rows:
+        assert r["min(fits)"]
+        assert r["sum(taken)"] == pytest.approx(target[r["source"]], rel=0.01)
+
+
 def test_sainte_lague_takes_the_highest_quotients(spark):
     rng = random.Random(5)
     rows = [(g, i, rng.choice([0.0, rng.random() * 10 ** rng.randrange(4)]), 37 * g) for g in range(1, 6) for i in range(1 + 4 * g)]
