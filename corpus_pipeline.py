@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group."""
+    """The document of smallest id of each near-duplicate group, linked from a similarity of 0.85 on as in op7."""
     return neardup.one_of_each(docs)
 
 

@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash, confirmed on full shingle sets.
 
 1. Whole texts give the set of their 5-word shingles (64-bit hashes), a key of
-   the set and a sketch: for each of 72 buckets the smallest hash, kept as its
-   count of leading zeros and ten bits of mantissa.  Equal sets form a class
-   and go on as one row.
-2. Bands of three registers are keys.  A key that very many classes share is
+   the set and a sketch: for each of 72 buckets (more for a threshold under
+   0.85) the smallest hash, kept as its count of leading zeros and ten bits of
+   mantissa.  Equal sets form a class and go on as one row.
+2. Bands of three registers are keys, and of small sets also the first hashes,
+   of which alike sets share one.  A key that very many classes share is
    joined with the keys of the next bands, which splits classes that merely
    have a passage in common: alike classes share most bands.
 3. In each key's group classes are joined to clusters if the collision-corrected
@@ -16,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,12 @@ from ..operators.components import components
 from .common import BASE, mix, prefix_hash, read_table, run_hash, slices, text_buffers, words, written
 
 SHINGLE = 5
-#: A link needs 100 * intersection >= PERCENT * union.
+#: A link needs 100 * intersection >= percent * union; this if nothing else is asked for, as in op7 and the corpus pipeline.
 PERCENT = 85
+#: Registers at PERCENT; a lower threshold has more, see registers().
 REGISTERS, BAND, MANTISSA = 72, 3, 10
+#: Shingles of a set whose first hashes are keys too, as its few shared ones may all fall into bands that differ.
+SMALL = 16
 EMPTY = np.uint16(0xFFFF)
 #: Classes that may share a key before it is made finer, and the following bands that it is joined with.
 SHARED, FINER = 4096, 6
@@ -64,18 +69,28 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found) if found else h[:0], np.array([len(s) for s in found], np.int64)
 
 
-def sketch(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def registers(percent: int) -> int:
+    """Registers at which a pair at the threshold misses all bands in fewer than one of 10^9 cases."""
+    return max(REGISTERS, BAND * math.ceil(math.log(1e-9) / math.log(1 - (percent / 100) ** BAND)))
+
+
+def finer(percent: int) -> int:
+    """Following bands that a hot key is joined with: fewer bands agree at a lower threshold, and twice as many keep the rate."""
+    return FINER if percent >= PERCENT else 2 * FINER
+
+
+def sketch(sets: np.ndarray, sizes: np.ndarray, n_registers: int = REGISTERS) -> np.ndarray:
     """HyperMinHash registers of each set: leading zeros, then the mantissa; EMPTY where no hash fell."""
     n = len(sizes)
     doc = np.repeat(np.arange(n), sizes)
-    bucket = ((sets >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-    least = np.full(n * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, doc * REGISTERS + bucket, mix(sets ^ BASE))
+    bucket = ((sets >> np.uint64(32)) * np.uint64(n_registers) >> np.uint64(32)).astype(np.int64)
+    least = np.full(n * n_registers, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, doc * n_registers + bucket, mix(sets ^ BASE))
     zeros = np.uint64(64) - np.frexp(least.astype(np.float64))[1].astype(np.uint64)
     mantissa = (least << (np.minimum(zeros, np.uint64(62)) + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     out = (np.minimum(zeros, np.uint64(62)) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     out[least == np.iinfo(np.uint64).max] = EMPTY
-    return out.reshape(n, REGISTERS)
+    return out.reshape(n, n_registers)
 
 
 def bands(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +103,23 @@ def bands(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[full].view(np.int64), full.sum(1)
 
 
+def first_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first hashes of sets of at most SMALL, text after text, and how many each text has.
+
+    Of two sets at the threshold, each shares all but n - ceil(percent * n / 100)
+    hashes, so the first hash that both have is among one more than these.
+    """
+    count = np.where(sizes <= SMALL, sizes - -(-percent * sizes // 100) + (sizes > 0), 0)
+    at = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return mix(sets[at < np.repeat(count, sizes)] * BASE).view(np.int64), count
+
+
+def _together(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``a`` and then those of ``b``, text after text."""
+    text = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (na, nb)])
+    return np.concatenate([a, b])[np.argsort(text, kind="stable")], na + nb
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard similarity from registers, less the chance collisions of truncated hashes, and the registers it rests on."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(-1)
@@ -96,24 +128,26 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return (same - chance) / (1 - chance), used
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     found, used = estimate(a, b, na, nb)
-    goal = PERCENT / 100
-    fits = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+    goal = percent / 100
+    fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
     return fits & (found >= goal - 5 * np.sqrt(goal * (1 - goal) / np.maximum(used, 1)))
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def _sketches(docs: DataFrame, percent: int) -> DataFrame:
+    n_registers = registers(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, sizes = shingles(*text_buffers(part.column("text")))
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 keys = _set_keys(sets, cuts)
-                registers = sketch(sets, sizes)
-                key, count = bands(registers)
+                sig = sketch(sets, sizes, n_registers)
+                key, count = _together(*bands(sig), *first_hashes(sets, sizes, percent))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(key))
-                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(sizes), [None, pa.py_buffer(registers.tobytes())]).cast(pa.binary())
+                sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_registers), len(sizes), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), *map(pa.array, keys), sig, lists], ["id", "n", "k1", "k2", "sig", "bands"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, sig binary, bands array<long>")
@@ -140,7 +174,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 class _Forest:
@@ -175,7 +209,7 @@ def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return ids, part, table.column("i")[0].as_py() == table.column("j")[0].as_py()
 
 
-def _by_sketch(table: pa.Table) -> pa.Table:
+def _by_sketch(table: pa.Table, percent: int) -> pa.Table:
     """Links that join a block's members whose sketches allow a link."""
     table = table.sort_by("id").combine_chunks()
     (ids, part, own), n = _across(table), table.column("n").to_numpy()
@@ -183,11 +217,11 @@ def _by_sketch(table: pa.Table) -> pa.Table:
     for r in range(len(ids)):
         others = np.flatnonzero((forest.of != forest.of[r]) & (True if own else part != part[r]))
         if len(others):
-            forest.join(r, others[may_link(sig[others], sig[r], n[others], n[r])])
+            forest.join(r, others[may_link(sig[others], sig[r], n[others], n[r], percent)])
     return forest.table()
 
 
-def _by_set(table: pa.Table) -> pa.Table:
+def _by_set(table: pa.Table, percent: int) -> pa.Table:
     """Links that join a block's members by their full sets."""
     table = table.sort_by("id").combine_chunks()
     ids, part, own = _across(table)
@@ -197,7 +231,7 @@ def _by_set(table: pa.Table) -> pa.Table:
     at = np.concatenate([[0], np.cumsum(size)])
     there, forest = np.zeros(every.max(initial=0) + 1, np.uint8), _Forest(ids)
     for r in range(len(ids)):
-        fits = (100 * np.minimum(size, size[r]) >= PERCENT * np.maximum(size, size[r])) & (forest.of != forest.of[r])
+        fits = (100 * np.minimum(size, size[r]) >= percent * np.maximum(size, size[r])) & (forest.of != forest.of[r])
         others = np.flatnonzero(fits & (True if own else part != part[r]))
         if not len(others):
             continue
@@ -209,27 +243,28 @@ def _by_set(table: pa.Table) -> pa.Table:
             sums = np.concatenate([[0], np.cumsum(there[every], dtype=np.int64)])
             common = (sums[at[1:]] - sums[at[:-1]])[others]
         there[mine] = 0
-        forest.join(r, others[100 * common >= PERCENT * (size[others] + size[r] - common)])
+        forest.join(r, others[100 * common >= percent * (size[others] + size[r] - common)])
     return forest.table()
 
 
-def _groups(classes: DataFrame) -> DataFrame:
+def _groups(classes: DataFrame, percent: int) -> DataFrame:
     """``key, id, k1``: classes by the keys that at least two share.
 
     A key of more than SHARED classes gives way to its pairs with the next
-    FINER bands' keys.  At the threshold 15 of 24 bands agree; that so few do
-    that no two of them are that close happens once in a hundred million.
+    finer() bands' keys.  At the threshold 15 of 24 bands agree (of 29 at 0.80);
+    that so few do that no two of them are that close happens about once in
+    ten million.
     """
     rows = classes.select("id", "k1", F.posexplode("bands").alias("p", "key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = written(rows.join(sizes, "key"), "near-bands")
     few, many = rows.where(F.col("size") <= SHARED).select("key", "id", "k1"), rows.where(F.col("size") > SHARED)
     n = F.size("bands")
-    following = F.transform(F.sequence(F.lit(1), F.least(F.lit(FINER), n - 1)), lambda k: F.element_at("bands", ((F.col("p") + k) % n + 1).cast("int")))
-    finer = many.join(classes.select("id", "k1", "bands").where(n > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
-    finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "k1").distinct()
-    sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return few.unionByName(finer.join(sizes, "key").select("key", "id", "k1"))
+    following = F.transform(F.sequence(F.lit(1), F.least(F.lit(finer(percent)), n - 1)), lambda k: F.element_at("bands", ((F.col("p") + k) % n + 1).cast("int")))
+    closer = many.join(classes.select("id", "k1", "bands").where(n > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
+    closer = closer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "k1").distinct()
+    sizes = closer.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return few.unionByName(closer.join(sizes, "key").select("key", "id", "k1"))
 
 
 #: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
@@ -241,8 +276,8 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for each row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` for each row; a link needs ``percent`` of the shingles of both in common.
 
     Rows with equal shingle sets and rows linked to each other form a
     component, named by its smallest id.  Texts that are null or have no words
@@ -253,20 +288,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    base = written(_sketches(docs), "near-sketches")
-    # sets of fewer than 6 shingles are only like equal ones, which are one class already
+    base = written(_sketches(docs, percent), "near-sketches")
+    # smaller sets (of fewer than 6 shingles at 85 %) are only like equal ones, which are one class already
+    least = -(-percent // (100 - percent))
     by_set = base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     # a row for each set; an id that stands for several sets has several
-    own = base.join(by_set.withColumnRenamed("rep", "id"), ["id", "k1", "k2"]).where("n >= 6")
+    own = base.join(by_set.withColumnRenamed("rep", "id"), ["id", "k1", "k2"]).where(F.col("n") >= least)
     classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
-    groups = written(_groups(classes), "near-groups")
+    groups = written(_groups(classes, percent), "near-groups")
 
     links = "a long, b long"
-    likely = _blocks(groups, "key", SKETCHES).join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("key", "i", "j").applyInArrow(_by_sketch, links)
+    likely = _blocks(groups, "key", SKETCHES).join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("key", "i", "j").applyInArrow(lambda t: _by_sketch(t, percent), links)
     clusters = written(components(likely).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "near-clusters")
     texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
     sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets")
-    links = _blocks(clusters, "cluster", SETS).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_by_set, links)
+    links = _blocks(clusters, "cluster", SETS).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(lambda t: _by_set(t, percent), links)
     # rows of one id with several sets tie their classes together
     ids = base.where("id is not null and n > 0").select("id", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "rep").distinct()
     several = ids.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
@@ -280,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    gone = written(near_duplicates(docs, percent=percent).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
     return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

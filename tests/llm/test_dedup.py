@@ -168,3 +168,25 @@ def test_an_id_with_several_texts_is_one_document(spark):
     rows = [(9, a), (9, b), (4, a + " x"), (7, b + " y"), (7, b + " y"), (8, "other words of another kind here")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(4, 4), (7, 4), (7, 4), (8, 8), (9, 4), (9, 4)]
+
+
+def test_links_from_80_percent_on(spark):
+    """Pairs of 0.80 to 0.85, and some just under 0.80, of 4 to 200 shingles."""
+    rows, gone = [], set()
+    for size in (4, 5, 8, 9, 12, 13, 14, 17, 19, 20, 25, 36, 41, 42, 60, 100, 200):
+        for k in range(20):
+            w = [f"w{size}_{k}_{i}" for i in range(size + 4)]
+            # size of size + more shingles are common
+            more = [m for m in range(1, size) if size >= 0.8 * (size + m)][-1] + (k % 4 == 3)
+            i = len(rows)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(w + [f"x{i}_{m}" for m in range(more)]))]
+            if 100 * size >= 80 * (size + more):
+                assert size < 8 or 100 * size < 85 * (size + more)
+                gone.add(i + 1)
+    # one changed word of 50: 41 of 51 shingles
+    w = [f"v{i}" for i in range(50)]
+    rows += [(9000, " ".join(w)), (9001, " ".join(w[:25] + ["changed"] + w[26:]))]
+    gone.add(9001)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.one_of_each(df, 80)
+    assert {r["doc_id"] for r in got.collect()} == {i for i, _ in rows} - gone
