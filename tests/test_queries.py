@@ -30,6 +30,18 @@ def test_topic_links_are_the_greedy_choice(spark):
     assert {(r["source"], r["target"]) for r in registry.QUERIES["topic_links"](spark, SF).collect()} == want
 
 
+def test_every_benchmark_item_is_scored(spark, tmp_path):
+    items = [(i * i + 3, f"answer {i}") for i in range(130)]
+    # document i holds the answer of the item in its place; documents of source b hold a wrong one
+    docs = [(i, f"so answer {i % 130}" if i % 3 else "wrong", "b" if i % 3 == 0 else "a") for i in range(390)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["item_id"]: (r["questions"], r["exact_match"]) for r in registry.QUERIES["qa_scores"](spark, str(tmp_path)).collect()}
+    assert got == {i: (3, 0.666667) for i, _ in items}
+    summary = {r["source"]: (r["questions"], r["exact_match"]) for r in registry.QUERIES["qa_summary"](spark, str(tmp_path)).collect()}
+    assert summary == {"a": (260, 1.0), "b": (130, 0.0)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
