@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import WORD, read_table, written
 
@@ -174,23 +175,33 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     A cut part holds the taken words with the white space between them.  A
     document without a word is in no block; it stays once, as it uses none of
-    the budget.  The rows of a repeated doc_id are told apart by size.
+    the budget.  The rows of a repeated doc_id are told apart by size, and
+    those of equal size are given their parts in the order of their other
+    columns.
     """
-    taken = mix(docs.select("doc_id", "text", "source"), seed).dropDuplicates(["doc_id", "source", "size"])
+    alike = Window.partitionBy("doc_id", "source", "size")
+    parts = mix(docs.select("doc_id", "text", "source"), seed)
+    taken = written(parts.withColumn("alike", F.count(F.lit(1)).over(alike)).withColumn("number", F.row_number().over(alike.orderBy("copies", "lead", "lead_start", "tail"))), "mix-taken")
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("_size", size).alias("d")
-    t = taken.alias("t")
+    d, t = docs.withColumn("_size", size).alias("d"), taken.where("alike = 1").alias("t")
     same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size"))
-    j = d.join(t, same)
+    j = d.join(t, same).select("d.*", F.struct("t.size", "t.copies", "t.lead", "t.lead_start", "t.tail").alias("_t"))
+    # only rows that repeat are numbered, so that the other texts needn't be sorted
+    u = taken.where("alike > 1").alias("t")
+    repeated = d.join(u.where("number = 1"), same, "left_semi")
+    order = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
+    repeated = repeated.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text", *order))).alias("d")
+    again = repeated.join(u, same & (F.col("d._number") == F.col("t.number"))).select(*[f"d.{c}" for c in (*docs.columns, "_size")], F.struct("t.size", "t.copies", "t.lead", "t.lead_start", "t.tail").alias("_t"))
+    j = j.unionByName(again)
     part = lambda start, n: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
-    whole = F.col("t.size")
-    rounds = F.array_repeat(part(F.lit(0), whole), F.when(whole == 0, 1).otherwise(F.col("t.copies")).cast("int"))
+    whole = F.col("_t.size")
+    rounds = F.array_repeat(part(F.lit(0), whole), F.when(whole == 0, 1).otherwise(F.col("_t.copies")).cast("int"))
     cut = F.concat(
         rounds,
-        F.when(F.col("t.lead") > 0, F.array(part(F.col("t.lead_start"), F.col("t.lead")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
-        F.when(F.col("t.tail") > 0, F.array(part(F.lit(0), F.col("t.tail")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
+        F.when(F.col("_t.lead") > 0, F.array(part(F.col("_t.lead_start"), F.col("_t.lead")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
+        F.when(F.col("_t.tail") > 0, F.array(part(F.lit(0), F.col("_t.tail")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
     )
-    j = j.select("d.*", F.explode(cut).alias("_cut"))
+    j = j.select(*docs.columns, "_size", F.explode(cut).alias("_cut"))
     start, n = F.col("_cut.start"), F.col("_cut.n")
     words_ = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     part_ = F.regexp_replace(F.array_join(F.slice(words_, start + 1, n), ""), r"^[\x20\x09-\x0D]+", "")

@@ -109,6 +109,25 @@ def test_mixed_documents_hold_the_taken_words(spark):
         assert max(counts.values(), default=0) <= 3
 
 
+def test_mixed_documents_tell_repeated_ids_apart(spark):
+    """Rows of one id and size get the parts that the mix gives them, each its own."""
+    rows = [(i // 8, " ".join(f"w{i}_{k}" for k in range(20)), f"s{i // 8 % 3}") for i in range(240)] + [(None, f"n{i} m{i}", None) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    taken, words = {}, {}
+    for r in mixing.mix(df).collect():
+        taken.setdefault(r["doc_id"], []).append(r["taken"])
+    first, again = (sorted(map(tuple, mixing.mixed_documents(x).collect()), key=str) for x in (df, df.repartition(5)))
+    assert first == again
+    for _, text, _ in first:
+        for w in text.split():
+            of = w.split("_")[0].replace("m", "n")
+            words[of] = words.get(of, 0) + 1
+    got = {}
+    for i, (doc, _, _) in enumerate(rows):
+        got.setdefault(doc, []).append(words.get(f"w{i}" if i < 240 else f"n{i - 240}", 0))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+
+
 TURNS = "conv_id long, turn long, role string, text string, extra string, formatted string"
 
 
