@@ -110,8 +110,9 @@ def first_hashes(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.
     hashes, so the first hash that both have is among one more than these.
     """
     count = np.where(sizes <= SMALL, sizes - -(-percent * sizes // 100) + (sizes > 0), 0)
-    at = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return mix(sets[at < np.repeat(count, sizes)] * BASE).view(np.int64), count
+    # the k-th of all keys is as far from its text's first hash as from its text's first key
+    at = np.arange(count.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(count) + count, count)
+    return mix(sets[at] * BASE).view(np.int64), count
 
 
 def _together(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
