@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 #: The stars need about log(n) squared rounds at worst; a count that no input reaches.
 MAX_ROUNDS = 64
 
 
+def _least_about(edges: DataFrame) -> DataFrame:
+    """``w, m``: the smallest v about each u.
+
+    ``w`` is u, put so that a join shuffles these rows anew: Spark splits a
+    hub's edges only if neither side of the join is already dealt out.
+    """
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not(F.bitwise_not(F.col("u"))).alias("w"), "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: for every end of a link (a, b) the smallest node that it reaches.
 
@@ -18,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     moves a node's greater neighbours, the small star its lesser ones.  The
     smallest neighbour is a partial aggregate joined back to the edges, so no
     node's neighbours meet in one task.  Each round's edges are written to the
-    shared folder.  Links of a node to itself and repeated links do nothing.
+    shared folder and deleted when the next are there; the result is a table
+    of written().  Links of a node to itself and repeated links do nothing.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
@@ -27,12 +37,14 @@ def components(links: DataFrame) -> DataFrame:
         if twice.join(edges.select(F.col("v").alias("u"), F.lit(1).alias("below")).distinct(), "u", "left").where("lo <> hi or below is not null").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: greater neighbours of u point at the smallest about u
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # large star: greater neighbours of u point at the smallest of u and all about it
+        large = both.join(_least_about(both), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.least("w", "m").alias("v")).distinct()
+        low = _least_about(large)
         # small star: u and its lesser neighbours point at the smallest of them
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        small = large.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        before, edges = edges, written(small, "edges")
+        discard(before)
+    ends = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found = written(ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return found

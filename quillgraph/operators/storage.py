@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as the session names it; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder as the session names it; where it names none, a local one, if all runs on this machine."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -17,4 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
