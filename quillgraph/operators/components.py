@@ -20,7 +20,7 @@ def _least_about(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not(F.bitwise_not(F.col("u"))).alias("w"), "m")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, component``: for every end of a link (a, b) the smallest node that it reaches.
 
     Each round points nodes at the smallest node about them: the large star
@@ -29,8 +29,9 @@ def components(links: DataFrame) -> DataFrame:
     node's neighbours meet in one task.  Each round's edges are written to the
     shared folder and deleted when the next are there; the result is a table
     of written().  Links of a node to itself and repeated links do nothing.
+    ``rows`` says how many links there are at most, about.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", rows)
     for _ in range(MAX_ROUNDS):
         # done when no node has two lesser neighbours and none that is one has one
         twice = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -42,9 +43,9 @@ def components(links: DataFrame) -> DataFrame:
         low = _least_about(large)
         # small star: u and its lesser neighbours point at the smallest of them
         small = large.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        before, edges = edges, written(small, "edges")
+        before, edges = edges, written(small, "edges", rows)
         discard(before)
     ends = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    found = written(ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    found = written(ends.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", rows)
     discard(edges)
     return found
