@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.storage import written  # noqa: F401
+from ..operators.storage import discard, written  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of an Arrow batch that numpy works on at a time, in bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +42,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str | int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about SLICE_BYTES of text; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, text: str | int, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows of about SLICE_BYTES of text; a longer text stands alone."""
     if not batch.num_rows:
         return
     _, at = text_buffers(batch.column(text))
     cuts = [0]
     while cuts[-1] < batch.num_rows:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(at, at[cuts[-1]] + SLICE_BYTES, "right")) - 1))
+        end = int(np.searchsorted(at, at[cuts[-1]] + SLICE_BYTES, "right")) - 1
+        cuts.append(min(max(cuts[-1] + 1, end), cuts[-1] + rows))
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
 
@@ -116,6 +120,80 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.diff(np.searchsorted(start, at))
 
 
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Spark uses a Python worker again, for other operators too, and the worker
+    would keep what its largest task took.
+    """
+    _powers.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, TypeError, AttributeError):  # a C library without it
+    _trim = None
+
+Batches = Iterator[pa.RecordBatch]
+
+
+#: Bytes of an Arrow batch, unless the session says otherwise: ten thousand rows, Spark's own bound, are too many if their texts are long.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(run: Callable[[Batches], Batches], schema: str | StructType) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: ``run`` by mapInArrow, over batches of bounded bytes, giving memory back at the end of each task."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    def map_(df: DataFrame) -> DataFrame:
+        conf, bound = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        if bound not in conf.getAll:
+            conf.set(bound, str(BATCH_BYTES))
+        return df.mapInArrow(task, schema)
+
+    return map_
+
+
+#: Bytes of groups after which a worker gives memory back.
+GROUPS_BYTES = 1 << 20
+_grouped = 0
+
+
+def _after(n_bytes: int) -> None:
+    global _grouped
+    _grouped += n_bytes
+    if _grouped > GROUPS_BYTES:
+        _grouped = 0
+        give_back()
+
+
+def released_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``run`` for applyInArrow, giving memory back after every GROUPS_BYTES of groups."""
+    if len(inspect.signature(run).parameters) == 1:
+
+        def one(table: pa.Table) -> pa.Table:
+            out = run(table)
+            _after(table.nbytes)
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        _after(left.nbytes + right.nbytes)
+        return out
+
+    return two
+
+
 def within(at: np.ndarray, mask_sums: np.ndarray) -> np.ndarray:
     """Sums per text, from prefix sums over bytes."""
     return mask_sums[at[1:]] - mask_sums[at[:-1]]

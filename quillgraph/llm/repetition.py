@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BASE, mix, prefix_hash, read_table, run_hash, slices, text_buffers, within, words
+from .common import BASE, in_batches, mix, prefix_hash, read_table, run_hash, slices, text_buffers, within, words
 
 #: Largest share of a text's word characters inside repeated n-grams, by n (twice the limits of the Gopher rules, so that one repeated line doesn't fail a short text).
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -132,9 +132,48 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, {', '.join(f'{c} long' for c in _COUNTS)}, base_failed boolean, kept boolean, repetition double"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).transform(in_batches(run, schema)).withColumnRenamed("id", id_col)
 
 
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     return judge_documents(read_table(spark, sf_dir, "documents"))
+
+
+def _sql_ngrams() -> str:
+    """Words' rows with a flag for each n: whether the n-gram that starts there repeats (for 3: stands twice or more), then whether it covers the word."""
+    gram = {n: "concat_ws(' ', " + ", ".join("w" if k == 0 else f"lead(w, {k}) OVER o" for k in range(n)) + f") AS g{n}, lead(w, {n - 1}) OVER o IS NOT NULL AS whole{n}" for n in (3, *NGRAM_LIMITS)}
+    again = {n: f"g.whole{n} AND row_number() OVER (PARTITION BY r, whole{n}, g{n} ORDER BY i) > 1 AS f{n}" for n in NGRAM_LIMITS}
+    again[3] = "g.whole3 AND count(*) OVER (PARTITION BY r, whole3, g3) > 1 AS f3"
+    inside = {n: f"bool_or(f{n}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS in{n}" for n in again}
+    return f"""
+g AS (SELECT *, {", ".join(gram.values())} FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, i, w, {", ".join(again.values())} FROM g),
+c AS (SELECT r, w, {", ".join(inside.values())} FROM f),
+n AS (
+  SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (in3) AS n_repeat_words,
+    {", ".join(f"coalesce(sum(length(w)) FILTER (in{n}), 0) AS c{n}" for n in NGRAM_LIMITS)} FROM c GROUP BY r)"""
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT r, regexp_extract_all(text, '[^ 	-
+]+') AS ws FROM d)),{_sql_ngrams()},
+l AS (
+  SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again
+  FROM (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT r, string_split(text, chr(10)) AS ls FROM d)) WHERE regexp_matches(line, '[^ 	-
+]')),
+m AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[ 	-
+]+', '', 'g'))) FILTER (again), 0) AS line_chars FROM l GROUP BY r),
+a AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(coalesce(n_lines, 0), 1) AS lines, coalesce(line_chars, 0) AS line_chars, {", ".join(f"coalesce(c{n}, 0) AS c{n}" for n in NGRAM_LIMITS)}
+  FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)),
+b AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(
+    {", ".join(f"c{n}::DOUBLE / greatest(word_chars, 1) / {limit}::DOUBLE" for n, limit in NGRAM_LIMITS.items())},
+    n_dup_lines::DOUBLE / lines / {LINE_LIMIT}::DOUBLE, line_chars::DOUBLE / greatest(word_chars, 1) / {LINE_CHARS_LIMIT}::DOUBLE, n_symbols::DOUBLE / greatest(n_words, 1) / {SYMBOLS_PER_WORD}::DOUBLE) AS repetition FROM a)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND repetition <= 1 AS kept, repetition FROM b
+"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, held_out, read_table, slices, text_buffers, within, words, written
+from .common import draw, held_out, in_batches, read_table, slices, text_buffers, within, words, written
 
 #: Labelled documents of each class that are learned from at most, drawn by id.
 PER_CLASS = 6000
@@ -49,6 +49,10 @@ NAMES = (
 )
 
 
+#: Words whose weights a task remembers before it starts over; about 15 MB.
+CACHED = 100_000
+
+
 class Lexicon:
     """Weights of words, looked up through a bounded cache."""
 
@@ -56,13 +60,17 @@ class Lexicon:
         self.weights = weights
         self.cache: dict[str, float] = {}
 
+    def fresh(self) -> Lexicon:
+        """With a cache of its own, which goes with the task."""
+        return Lexicon(self.weights)
+
     def weight(self, word: str) -> float:
         return max([self.weights.get(word + "$", 0.0), *[self.weights.get(word[:n], 0.0) for n in STEMS if n <= len(word)]])
 
     def __call__(self, word: str) -> float:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) >= CACHED:
                 self.cache.clear()
             found = self.cache[word] = self.weight(word)
         return found
@@ -122,6 +130,8 @@ def features(part: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return x
 
 
+#: Token counts that a task holds before it hands them on, to be summed later.
+COUNTED = 200_000
 #: Log odds and likelihood ratio that a mined token needs.
 LEAST_ODDS, LEAST_RATIO = 2.5, 20.0
 #: Weight of a word that only the seed list knows.
@@ -158,21 +168,28 @@ def mine(rows: DataFrame) -> tuple[Lexicon, list[Lexicon]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in range(2 * FOLDS)]
+
+        def so_far() -> pa.RecordBatch:
+            tokens = list(set().union(*seen))
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([c[w] for w in tokens], pa.int64()) for c in seen)], ["token", *names])
+
         for batch in batches:
-            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
-                found = {w for w in _WORD.findall((text or "").lower()) if len(w) <= 40}
-                seen[2 * fold + toxic].update({w + "$" for w in found} | {w[:n] for w in found for n in STEMS if n <= len(w)})
-        tokens = list(set().union(*seen))
-        for lo in range(0, len(tokens), 50_000):
-            t = tokens[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), *(pa.array([c[w] for w in t], pa.int64()) for c in seen)], ["token", *names])
+            for part in slices(batch, "text"):
+                for text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+                    found = {w for w in _WORD.findall((text or "").lower()) if len(w) <= 40}
+                    seen[2 * fold + toxic].update({w + "$" for w in found} | {w[:n] for w in found for n in STEMS if n <= len(w)})
+                if sum(map(len, seen)) > COUNTED:
+                    yield so_far()
+                    for c in seen:
+                        c.clear()
+        yield so_far()
 
     names = [f"{kind}{k}" for k in range(FOLDS) for kind in ("neg", "pos")]
     totals = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
     p, n = (sum(v for (_, y), v in totals.items() if y == k) for k in (1, 0))
     if not p or not n:
         return _choose([], p, n), [_choose([], p, n)] * FOLDS
-    sums = rows.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in names)).groupBy("token").agg(*[F.sum(c).alias(c) for c in names])
+    sums = rows.transform(in_batches(count, "token string, " + ", ".join(f"{c} long" for c in names))).groupBy("token").agg(*[F.sum(c).alias(c) for c in names])
     pos, neg = (sum(F.col(f"{kind}{k}") for k in range(FOLDS)) for kind in ("pos", "neg"))
     odds = F.log((pos + 0.5) / (p + 1)) - F.log((neg + 0.5) / (n + 1))
     found = sums.where((pos >= max(3, math.ceil(0.003 * p))) & (odds > 0.8 * LEAST_ODDS)).orderBy(F.desc(odds * F.sqrt(pos)), "token").limit(40 * LEXICON).collect()
@@ -271,10 +288,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` labelled documents of each class, none of them held out.
 
-    Null labels and texts teach nothing.  Without both classes the seed list
-    alone decides.
+    Null labels and texts teach nothing; of several labels of a document the
+    larger one counts.  Without both classes the seed list alone decides.
     """
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     drawn = usable.withColumn("u", draw(F.col("doc_id"), 6)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(61)), F.lit(FOLDS)).cast("int"))
     # at most 2 * per_class rows of four numbers: under 1 MB, so it is broadcast and no text is shuffled
@@ -284,14 +301,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     lexicon, others = mine(rows.select("text", "toxic", "fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicons = [x.fresh() for x in others]
         for batch in batches:
-            folds = batch.column("fold").to_numpy()
-            for k in range(FOLDS):
-                part = batch.filter(pa.array(folds == k))
-                x = features(part.column("text"), others[k])
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("toxic"), part.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["u", "toxic", "fold", "x"])
-
-    got = rows.select("u", "toxic", "fold", "text").mapInArrow(run, "u double, toxic int, fold int, x array<double>").collect()
+            for piece in slices(batch, "text"):
+                folds = piece.column("fold").to_numpy()
+                for k in range(FOLDS):
+                    part = piece.filter(pa.array(folds == k))
+                    x = features(part.column("text"), lexicons[k])
+                    yield pa.RecordBatch.from_arrays([part.column("u"), part.column("toxic"), part.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["u", "toxic", "fold", "x"])
+
+    got = rows.select("u", "toxic", "fold", "text").transform(in_batches(run, "u double, toxic int, fold int, x array<double>")).collect()
     got.sort(key=lambda r: (r["u"], r["toxic"], r["x"]))
     y = np.array([r["toxic"] for r in got], float)
     if not len(y) or y.min() == y.max():
@@ -315,14 +334,14 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, lexicon = sent.value, sent.value.lexicon.fresh()
         for batch in batches:
             for part in slices(batch, "text"):
-                s = m.score(features(part.column("text"), m.lexicon))
+                s = m.score(features(part.column("text"), lexicon))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches(run, f"doc_id {kind}, score double, predicted int"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -331,12 +350,12 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, lexicon = sent.value, sent.value.lexicon.fresh()
         for batch in batches:
             for part in slices(batch, at):
-                yield part.filter(pa.array(m.score(features(part.column(at), m.lexicon)) < 0.5))
+                yield part.filter(pa.array(m.score(features(part.column(at), lexicon)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches(run, docs.schema))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
