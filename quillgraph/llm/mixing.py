@@ -183,32 +183,34 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     parts = mix(docs.select("doc_id", "text", "source"), seed)
     taken = written(parts.withColumn("alike", F.count(F.lit(1)).over(alike)).withColumn("number", F.row_number().over(alike.orderBy("copies", "lead", "lead_start", "tail"))), "mix-taken")
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
-    d, t = docs.withColumn("_size", size).alias("d"), taken.where("alike = 1").alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size"))
-    j = d.join(t, same).select("d.*", F.struct("t.size", "t.copies", "t.lead", "t.lead_start", "t.tail").alias("_t"))
+    # a row's columns stand apart, as they may have any names
+    d = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).alias("d")
+    # a row for each document: never broadcast, however small its file is when compressed; and texts needn't be sorted
+    t = taken.where("alike = 1").hint("shuffle_hash").alias("t")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.size") == F.col("t.size"))
+    j = d.join(t, same).select("d.row", "t.size", "t.copies", "t.lead", "t.lead_start", "t.tail")
     # only rows that repeat are numbered, so that the other texts needn't be sorted
     u = taken.where("alike > 1").alias("t")
-    repeated = d.join(u.where("number = 1"), same, "left_semi")
-    order = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]
-    repeated = repeated.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text", *order))).alias("d")
-    again = repeated.join(u, same & (F.col("d._number") == F.col("t.number"))).select(*[f"d.{c}" for c in (*docs.columns, "_size")], F.struct("t.size", "t.copies", "t.lead", "t.lead_start", "t.tail").alias("_t"))
-    j = j.unionByName(again)
+    order = [F.col("row").getField(c) for c in ("text", *docs.columns) if not isinstance(docs.schema[c].dataType, MapType)]
+    repeated = d.join(u.where("number = 1"), same, "left_semi").withColumn("number", F.row_number().over(alike.orderBy(*order))).alias("d")
+    j = j.unionByName(repeated.join(u, same & (F.col("d.number") == F.col("t.number"))).select("d.row", "t.size", "t.copies", "t.lead", "t.lead_start", "t.tail"))
     part = lambda start, n: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
-    whole = F.col("_t.size")
-    rounds = F.array_repeat(part(F.lit(0), whole), F.when(whole == 0, 1).otherwise(F.col("_t.copies")).cast("int"))
+    none = F.array().cast("array<struct<start:int,n:int>>")
     cut = F.concat(
-        rounds,
-        F.when(F.col("_t.lead") > 0, F.array(part(F.col("_t.lead_start"), F.col("_t.lead")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
-        F.when(F.col("_t.tail") > 0, F.array(part(F.lit(0), F.col("_t.tail")))).otherwise(F.array().cast("array<struct<start:int,n:int>>")),
+        F.array_repeat(part(F.lit(0), F.col("size")), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")),
+        F.when(F.col("lead") > 0, F.array(part(F.col("lead_start"), F.col("lead")))).otherwise(none),
+        F.when(F.col("tail") > 0, F.array(part(F.lit(0), F.col("tail")))).otherwise(none),
     )
-    j = j.select(*docs.columns, "_size", F.explode(cut).alias("_cut"))
-    start, n = F.col("_cut.start"), F.col("_cut.n")
-    words_ = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
-    part_ = F.regexp_replace(F.array_join(F.slice(words_, start + 1, n), ""), r"^[\x20\x09-\x0D]+", "")
-    j = j.withColumn("text", F.when(n == F.col("_size"), F.col("text")).otherwise(part_))
-    if "n_chars" in docs.columns:
-        j = j.withColumn("n_chars", F.when(n == F.col("_size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return j.select(*docs.columns)
+    j = j.select("row", "size", F.explode(cut).alias("cut"))
+    text = F.col("row").getField("text")
+    words_ = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    part_ = F.regexp_replace(F.array_join(F.slice(words_, F.col("cut.start") + 1, F.col("cut.n")), ""), r"^[\x20\x09-\x0D]+", "")
+    whole = F.col("cut.n") == F.col("size")
+    j = j.withColumn("text", F.when(whole, text).otherwise(part_))
+    value = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.when(whole, value["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return j.select(*(value[c].alias(c) for c in docs.columns))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
