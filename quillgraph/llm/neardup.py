@@ -9,24 +9,29 @@
    joined with the keys of the next bands, which splits classes that merely
    have a passage in common: alike classes share most bands.
 3. In each key's group classes are joined to clusters if the collision-corrected
-   estimate allows the threshold within five deviations.  Only the links that
-   hold a cluster together leave a task, not all its pairs.
-4. In each cluster links are confirmed on the full sets, again in blocks of
-   which only the links that join components leave.
+   estimate isn't lower than pairs at the threshold have it in all but one of
+   10^10 cases.  Only the links that hold a cluster together leave a task, not
+   all its pairs.
+4. In each cluster links are confirmed on the full sets: first those with the
+   cluster's smallest document, which nearly all copies of one text have, then
+   those of the members that lack it, in blocks of bounded bytes of which only
+   the links that join components leave.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..operators.components import components
-from .common import BASE, mix, prefix_hash, read_table, run_hash, slices, text_buffers, words, written
+from .common import BASE, discard, in_batches, mix, prefix_hash, read_table, released_group, run_hash, slices, text_buffers, words, written
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= percent * union; this if nothing else is asked for, as in op7 and the corpus pipeline.
@@ -38,8 +43,12 @@ SMALL = 16
 EMPTY = np.uint16(0xFFFF)
 #: Classes that may share a key before it is made finer, and the following bands that it is joined with.
 SHARED, FINER = 4096, 6
-#: Sketches and full sets of a block.
-SKETCHES, SETS = 8192, 1024
+#: Sketches of a block; full sets of a part of a cluster, and hashes in them (2 MB), two parts making a block.
+SKETCHES, SETS, SET_HASHES = 8192, 1024, 1 << 18
+#: Chance that a pair at the threshold has a lower estimate than is asked for.
+MISS = 1e-10
+#: A class with more than this share of all rows is hot; there can't be more hot ones than 1 / HOT.
+HOT = 1 / 1000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -121,19 +130,37 @@ def _together(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> t
     return np.concatenate([a, b])[np.argsort(text, kind="stable")], na + nb
 
 
+def _corrected(share: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """A share of equal registers less the chance collisions of truncated hashes."""
+    chance = 0.1699 * 2.0**-MANTISSA * 4 * na * nb / np.maximum(na + nb, 1) ** 2
+    return (share - chance) / (1 - chance)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity from registers, less the chance collisions of truncated hashes, and the registers it rests on."""
+    """Collision-corrected Jaccard similarity from registers, and the registers it rests on."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(-1)
     same = ((a == b) & (a != EMPTY)).sum(-1) / np.maximum(used, 1)
-    chance = 0.1699 * 2.0**-MANTISSA * 4 * na * nb / np.maximum(na + nb, 1) ** 2
-    return (same - chance) / (1 - chance), used
+    return _corrected(same, na, nb), used
+
+
+@lru_cache
+def least_equal(percent: int, n_registers: int) -> np.ndarray:
+    """By the registers used: how many equal ones a pair at the threshold has at least, but for MISS of all cases (the exact binomial tail)."""
+    p, out = percent / 100, []
+    for used in range(n_registers + 1):
+        k, tail = 0, (1 - p) ** used
+        while tail < MISS and k < used:
+            k += 1
+            tail += math.comb(used, k) * p**k * (1 - p) ** (used - k)
+        out.append(k)
+    return np.array(out)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     found, used = estimate(a, b, na, nb)
-    goal = percent / 100
+    least = least_equal(percent, a.shape[-1])[used] / np.maximum(used, 1)
     fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return fits & (found >= goal - 5 * np.sqrt(goal * (1 - goal) / np.maximum(used, 1)))
+    return fits & (found >= _corrected(least, na, nb) - 1e-12)
 
 
 def _sketches(docs: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +178,7 @@ def _sketches(docs: DataFrame, percent: int) -> DataFrame:
                 sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * n_registers), len(sizes), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), *map(pa.array, keys), sig, lists], ["id", "n", "k1", "k2", "sig", "bands"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, sig binary, bands array<long>")
+    return docs.transform(in_batches(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, sig binary, bands array<long>"))
 
 
 def _set_keys(sets: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -171,7 +198,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 packed = [sets[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, _set_keys(sets, cuts)), pa.array(packed, pa.binary())], ["id", "k1", "k2", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, shingles binary")
+    return docs.transform(in_batches(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, shingles binary"))
 
 
 def _signatures(column: pa.ChunkedArray) -> np.ndarray:
@@ -204,36 +231,77 @@ def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     return rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
 
 
-def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Members' ids and parts, and whether the block is of one part."""
-    ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
-    return ids, part, table.column("i")[0].as_py() == table.column("j")[0].as_py()
+def _by_sketch(table: pa.Table, percent: int) -> pa.Table:
+    """Links that join members of a block (of equal key, i and j) whose sketches allow a link; a table has many blocks."""
+    names = ("key", "i", "j", "id", "part", "n")
+    order = np.lexsort([table.column(c).to_numpy() for c in reversed(names[:4])])
+    key, i, j, ids, part, n = (table.column(c).to_numpy()[order] for c in names)
+    sig = _signatures(table.column("sig"))[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    size = np.diff(np.append(first, len(key)))
+    # most blocks have two members
+    a = first[size == 2]
+    a = a[(i[a] == j[a]) | (part[a] != part[a + 1])]
+    a = a[may_link(sig[a], sig[a + 1], n[a], n[a + 1], percent)]
+    links = [pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[a + 1])})]
+    for lo, hi in zip(first[size > 2].tolist(), (first + size)[size > 2].tolist()):
+        forest, s, m, p = _Forest(ids[lo:hi]), sig[lo:hi], n[lo:hi], part[lo:hi]
+        for r in range(hi - lo):
+            others = np.flatnonzero((forest.of != forest.of[r]) & (True if i[lo] == j[lo] else p != p[r]))
+            if len(others):
+                forest.join(r, others[may_link(s[others], s[r], m[others], m[r], percent)])
+        links.append(forest.table())
+    return pa.concat_tables(links)
+
+
+def _near_first(members: DataFrame, percent: int) -> DataFrame:
+    """``id, cluster, n, near`` from rows of (id, cluster, shingles, pivot): whether a set is like its cluster's pivot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, near = [], []
+            for mine, pivot in zip(batch.column("shingles"), batch.column("pivot")):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (mine, pivot))
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                n.append(len(a))
+                near.append(100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), pa.array(n, pa.int64()), pa.array(near, pa.bool_())], ["id", "cluster", "n", "near"])
 
-def _by_sketch(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join a block's members whose sketches allow a link."""
-    table = table.sort_by("id").combine_chunks()
-    (ids, part, own), n = _across(table), table.column("n").to_numpy()
-    sig, forest = _signatures(table.column("sig")), _Forest(ids)
-    for r in range(len(ids)):
-        others = np.flatnonzero((forest.of != forest.of[r]) & (True if own else part != part[r]))
-        if len(others):
-            forest.join(r, others[may_link(sig[others], sig[r], n[others], n[r], percent)])
-    return forest.table()
+    return members.select("id", "cluster", "shingles", "pivot").transform(in_batches(run, "id long, cluster long, n long, near boolean"))
+
+
+def _set_blocks(members: DataFrame) -> DataFrame:
+    """``id, cluster, near, i, j, asks, answers``: blocks in which every member that isn't near its pivot meets all members of its cluster.
+
+    The former are dealt into parts i, all members into parts j, each of at
+    most SETS sets and about SET_HASHES hashes.  Clusters whose members are
+    all near have no block.
+    """
+    far = ~F.col("near")
+    parts = lambda some: F.greatest(F.ceil(F.count_if(some) / SETS), F.ceil(F.sum(F.when(some, F.col("n")).otherwise(0)) / SET_HASHES)).cast("int")
+    sizes = members.groupBy("cluster").agg(parts(far).alias("pi"), parts(F.lit(True)).alias("pj")).where("pi > 0")
+    m = members.join(sizes, "cluster")
+    m = m.withColumn("own_i", F.pmod(F.xxhash64("id", F.lit(4)), F.col("pi")).cast("int")).withColumn("own_j", F.pmod(F.xxhash64("id", F.lit(3)), F.col("pj")).cast("int"))
+    block = lambda i, j, asks, answers: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    answering = F.transform(every("pi"), lambda i: block(i, F.col("own_j"), far & (i == F.col("own_i")), F.lit(True)))
+    asking = F.transform(F.filter(every("pj"), lambda j: far & (j != F.col("own_j"))), lambda j: block(F.col("own_i"), j, F.lit(True), F.lit(False)))
+    return m.select("id", "cluster", "near", F.explode(F.concat(answering, asking)).alias("b")).select("id", "cluster", "near", "b.*")
 
 
 def _by_set(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join a block's members by their full sets."""
+    """Links of the members that ask with those that answer, by their full sets; members near the pivot are linked already."""
     table = table.sort_by("id").combine_chunks()
-    ids, part, own = _across(table)
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    ids, near, asks, answers = (table.column(c).to_numpy() for c in ("id", "near", "asks", "answers"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
     size = np.array([len(x) for x in sets])
     _, every = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
     there, forest = np.zeros(every.max(initial=0) + 1, np.uint8), _Forest(ids)
-    for r in range(len(ids)):
+    forest.of[near] = np.argmax(near)
+    for r in np.flatnonzero(asks).tolist():
         fits = (100 * np.minimum(size, size[r]) >= percent * np.maximum(size, size[r])) & (forest.of != forest.of[r])
-        others = np.flatnonzero(fits & (True if own else part != part[r]))
+        others = np.flatnonzero(fits & answers)
         if not len(others):
             continue
         mine = every[at[r] : at[r + 1]]
@@ -241,15 +309,14 @@ def _by_set(table: pa.Table, percent: int) -> pa.Table:
         if 4 * len(others) < len(ids):
             common = np.array([there[every[at[o] : at[o + 1]]].sum(dtype=np.int64) for o in others])
         else:
-            sums = np.concatenate([[0], np.cumsum(there[every], dtype=np.int64)])
-            common = (sums[at[1:]] - sums[at[:-1]])[others]
+            common = np.add.reduceat(there[every], at[:-1], dtype=np.int64)[others]
         there[mine] = 0
         forest.join(r, others[100 * common >= percent * (size[others] + size[r] - common)])
     return forest.table()
 
 
 def _groups(classes: DataFrame, percent: int) -> DataFrame:
-    """``key, id, k1``: classes by the keys that at least two share.
+    """``key, id, k1``, written: classes by the keys that at least two share.
 
     A key of more than SHARED classes gives way to its pairs with the next
     finer() bands' keys.  At the threshold 15 of 24 bands agree (of 29 at 0.80);
@@ -265,7 +332,9 @@ def _groups(classes: DataFrame, percent: int) -> DataFrame:
     closer = many.join(classes.select("id", "k1", "bands").where(n > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
     closer = closer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "k1").distinct()
     sizes = closer.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return few.unionByName(closer.join(sizes, "key").select("key", "id", "k1"))
+    groups = written(few.unionByName(closer.join(sizes, "key").select("key", "id", "k1")), "near-groups")
+    discard(rows)
+    return groups
 
 
 #: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
@@ -277,6 +346,47 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: ``id, n, k1, k2`` for each row, and ``k1, k2, size, component_id`` for each distinct set."""
+    docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    sketches = written(_sketches(docs, percent), "near-sketches")
+    rows = sketches.count()
+    base = written(sketches.select("id", "n", "k1", "k2"), "near-keys", rows)
+    # smaller sets (of fewer than 6 shingles at 85 %) are only like equal ones, which are one class already
+    least = -(-percent // (100 - percent))
+    by_set = written(base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-texts", rows)
+    # a row for each set; an id that stands for several sets has several
+    own = sketches.where(F.col("n") >= least).join(by_set.select("k1", "k2", F.col("rep").alias("id")), ["id", "k1", "k2"])
+    classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
+    discard(sketches)
+    groups = _groups(classes, percent)
+
+    links = "a long, b long"
+    # blocks are small: as many meet in a task's table as make up its size
+    blocks = _blocks(groups, "key", SKETCHES).withColumn("table", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups.count() // SKETCHES + 1)))
+    likely = blocks.join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("table").applyInArrow(released_group(lambda t: _by_sketch(t, percent)), links)
+    likely = components(likely, rows)
+    clusters = likely.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
+    sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets")
+    pivots = sets.join(clusters.where("id = cluster"), "id").groupBy("cluster").agg(F.max("shingles").alias("pivot"))
+    # put so that the join shuffles the pivots anew: Spark splits a cluster of very many members only then
+    pivots = pivots.select(F.bitwise_not(F.bitwise_not(F.col("cluster"))).alias("of"), "pivot")
+    members = written(_near_first(clusters.join(sets, "id").join(pivots, F.col("cluster") == F.col("of")), percent), "near-members", rows)
+    near = members.where("near and id <> cluster").select(F.col("id").alias("a"), F.col("cluster").alias("b"))
+    far = _set_blocks(members).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(released_group(lambda t: _by_set(t, percent)), links)
+    # rows of one id with several sets tie their classes together
+    keys = F.struct("k1", "k2")
+    several = base.where("id is not null and n > 0").groupBy("id").agg(F.min(keys).alias("lo"), F.max(keys).alias("hi")).where("lo <> hi").select("id")
+    ids = base.where("n > 0").select("id", "k1", "k2").join(several, "id").join(by_set.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep").distinct()
+    same = ids.join(ids.groupBy("id").agg(F.min("rep").alias("b")), "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    found = components(near.unionByName(far).unionByName(same), rows)
+
+    named = written(by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id")), "near-named", rows)
+    discard(by_set, classes, groups, likely, sets, members, found)
+    return base, named
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for each row; a link needs ``percent`` of the shingles of both in common.
 
@@ -287,42 +397,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Further columns are ignored; an empty table gives no rows.  Ids are
     integers.
     """
-    id_type = docs.schema[id_col].dataType
-    docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    base = written(_sketches(docs, percent), "near-sketches")
-    # smaller sets (of fewer than 6 shingles at 85 %) are only like equal ones, which are one class already
-    least = -(-percent // (100 - percent))
-    by_set = base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    # a row for each set; an id that stands for several sets has several
-    own = base.join(by_set.withColumnRenamed("rep", "id"), ["id", "k1", "k2"]).where(F.col("n") >= least)
-    classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
-    groups = written(_groups(classes, percent), "near-groups")
+    return _verdicts(*_components(docs, id_col, text_col, percent), id_col, docs.schema[id_col].dataType)
 
-    links = "a long, b long"
-    likely = _blocks(groups, "key", SKETCHES).join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("key", "i", "j").applyInArrow(lambda t: _by_sketch(t, percent), links)
-    clusters = written(components(likely).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "near-clusters")
-    texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
-    sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets")
-    links = _blocks(clusters, "cluster", SETS).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(lambda t: _by_set(t, percent), links)
-    # rows of one id with several sets tie their classes together
-    ids = base.where("id is not null and n > 0").select("id", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", "rep").distinct()
-    several = ids.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    same = ids.join(several, "id").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    found = components(links.unionByName(same))
-
-    by_set = by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = base.join(by_set, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    out = out.select("id", "n", component.alias("component_id"))
+
+def _verdicts(base: DataFrame, named: DataFrame, id_col: str, id_type: DataType) -> DataFrame:
+    # rows of hot classes and rows without a word don't meet by their key; there are at most 1 / HOT hot classes
+    total = named.agg(F.sum("size")).first()[0] or 0
+    hot = F.broadcast(named.where(F.col("size") > HOT * total).drop("size"))
+    worded = base.where("n > 0").select("id", "n", "k1", "k2")
+    out = worded.join(hot, ["k1", "k2"]).unionByName(worded.join(hot, ["k1", "k2"], "left_anti").join(named.where(F.col("size") <= HOT * total).drop("size"), ["k1", "k2"], "left"))
+    out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = out.unionByName(base.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
-    gone = written(near_duplicates(docs, percent=percent).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    base, named = _components(docs, "doc_id", "text", percent)
+    gone = written(_verdicts(base, named, "doc_id", docs.schema["doc_id"].dataType).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    discard(base, named)
     return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: All links by the shingles that documents share, then what reaches what.
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {SHINGLE} THEN list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: hash(array_to_string(ws[i:i + {SHINGLE - 1}], ' '))) WHEN len(ws) > 0 THEN [hash(array_to_string(ws, ' '))] ELSE [] END) AS h
+  FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= {PERCENT} * (x.n + y.n - common)),
+both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, both_.b FROM r JOIN both_ ON r.b = both_.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
