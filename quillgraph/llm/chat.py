@@ -1,8 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions alone.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans.  The
-window of a span is the leading system turn, the last turns of the span before
-(as many as the history budget holds) and the span's own turns.  Only
+Prefix sums of turn tokens cut a conversation into turn-aligned spans: a turn
+belongs to the stride that it ends in, and one that crosses into its stride
+stands alone if it and the others there don't fit together.  The window of a
+span is the leading system turn, the last turns of the span before (as many as
+the history budget and the room left hold) and the span's own turns.  Only
 assistant texts among a span's own turns are targets; repeated turns are
 masked.
 
@@ -51,9 +53,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     Rows with a null conv_id form one conversation; a null turn comes first;
     rows of equal turn go by role and text, repeated rows stay; null roles and
-    texts count as empty.  A turn is never cut: one that crosses a span's
-    bound belongs to the later span, so a window exceeds the budget by less
-    than its longest turn.  An empty table gives no rows.
+    texts count as empty.  A turn is never cut: a window exceeds the budget
+    only if it holds a single turn that doesn't fit beside the system turn, and
+    then nothing is repeated in it.  An empty table gives no rows.
     """
     turns = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -62,16 +64,25 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     system = first & (F.col("role") == "system")
     t = turns.withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_TOKENS).withColumn("pos", F.row_number().over(ordered))
     t = t.withColumn("head_tokens", F.first(F.when(system, F.col("tokens")).otherwise(0)).over(so_far)).withColumn("is_head", system)
-    t = t.withColumn("end", F.sum(F.when(F.col("is_head"), 0).otherwise(F.col("tokens"))).over(so_far))
-    stride = F.greatest(F.lit(budget) - history - F.col("head_tokens"), F.lit(max(1, budget // 4)))
-    t = t.withColumn("span", F.when(~F.col("is_head"), F.floor((F.col("end") - 1) / stride)))
+    t = t.withColumn("own", F.when(F.col("is_head"), 0).otherwise(F.col("tokens"))).withColumn("end", F.sum("own").over(so_far))
+    room = F.lit(budget) - F.col("head_tokens")
+    t = t.withColumn("stride", F.greatest(room - history, F.floor(room / 2), F.lit(1)))
+    t = t.withColumn("step", F.when(~F.col("is_head"), F.floor((F.col("end") - 1) / F.col("stride"))))
+    t = t.withColumn("step", F.coalesce("step", F.lead("step").over(ordered), F.lit(0)))
+    alike = lambda c: Window.partitionBy("conv_id").orderBy(c).rangeBetween(0, 0)
+    t = t.withColumn("step_start", F.min(F.col("end") - F.col("own")).over(alike("step"))).withColumn("step_end", F.max("end").over(alike("step")))
+    alone = (F.col("end") - F.col("own") == F.col("step_start")) & (F.col("step_end") - F.col("step_start") > F.col("stride"))
+    t = t.withColumn("span", F.when(~F.col("is_head"), 2 * F.col("step") + F.when(alone, 0).otherwise(1)))
     t = t.withColumn("span", F.coalesce("span", F.lead("span").over(ordered), F.lit(0)))
 
     t = t.withColumn("piece", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n")))
     t = t.withColumn("head", F.first(F.when(F.col("is_head"), F.col("piece")).otherwise("")).over(so_far)).withColumn("first_span", F.first("span").over(so_far))
-    by_span = Window.partitionBy("conv_id").orderBy("span")
-    t = t.withColumn("next_span", F.min("span").over(by_span.rangeBetween(1, Window.unboundedFollowing))).withColumn("span_end", F.max("end").over(by_span.rangeBetween(0, 0)))
-    kept = F.col("next_span").isNotNull() & ~F.col("is_head") & (F.col("span_end") - F.col("end") + F.col("tokens") <= history)
+    t = t.withColumn("span_end", F.max("end").over(alike("span"))).withColumn("span_tokens", F.sum("own").over(alike("span")))
+    # the next span is the last one before a turn's own when read backwards
+    back = Window.partitionBy("conv_id").orderBy(F.desc("span")).rangeBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("next_span", F.last("span").over(back)).withColumn("next_tokens", F.last("span_tokens").over(back))
+    left = F.least(F.lit(history), room - F.col("next_tokens"))
+    kept = F.col("next_span").isNotNull() & ~F.col("is_head") & (F.col("span_end") - F.col("end") + F.col("tokens") <= left)
     own = F.struct(F.col("span").alias("span"), F.lit(False).alias("repeated"))
     again = F.struct(F.col("next_span").alias("span"), F.lit(True).alias("repeated"))
     t = t.select("conv_id", "pos", "role", "piece", "head", "first_span", F.explode(F.when(kept, F.array(own, again)).otherwise(F.array(own))).alias("copy")).select(
@@ -140,7 +151,7 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LENGTH = f"{len(START)} + length(role) + {1 + len(END) + 1} + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) + len(regexp_extract_all(role, '<\\\\*\\|')) + 2 * len(regexp_extract_all(role, '[%\\n]'))"
-_STRIDE = f"greatest({BUDGET} - {HISTORY} - head_tokens, {max(1, BUDGET // 4)})"
+_ROOM = f"({BUDGET} - head_tokens)"
 OP2_SQL = f"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -149,20 +160,23 @@ WITH rows_ AS (
 t0 AS (
   SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {TURN_TOKENS} AS tokens, {_LENGTH} AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM rows_),
-t1 AS (SELECT *, pos = 1 AND role = 'system' AS is_head FROM t0),
+t1 AS (SELECT *, pos = 1 AND role = 'system' AS is_head, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS own FROM t0),
 t2 AS (
   SELECT *, first(CASE WHEN is_head THEN tokens ELSE 0 END) OVER w AS head_tokens, first(CASE WHEN is_head THEN chars ELSE 0 END) OVER w AS head_chars,
-    sum(CASE WHEN is_head THEN 0 ELSE tokens END) OVER w AS end_ FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-t3 AS (SELECT *, CASE WHEN NOT is_head THEN CAST((end_ - 1) // {_STRIDE} AS BIGINT) END AS span0 FROM t2),
-t4 AS (SELECT *, coalesce(span0, lead(span0) OVER (PARTITION BY conv_id ORDER BY pos), 0) AS span FROM t3),
-t5 AS (
-  SELECT *, first(span) OVER (PARTITION BY conv_id ORDER BY pos) AS first_span, max(end_) OVER (PARTITION BY conv_id, span) AS span_end,
-    max(span) OVER (PARTITION BY conv_id) > span AS more FROM t4)
+    sum(own) OVER w AS end_ FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+t3 AS (SELECT *, CAST(greatest({_ROOM} - {HISTORY}, floor({_ROOM} / 2), 1) AS BIGINT) AS stride FROM t2),
+t4 AS (SELECT *, CASE WHEN NOT is_head THEN CAST((end_ - 1) // stride AS BIGINT) END AS step0 FROM t3),
+t5 AS (SELECT *, coalesce(step0, lead(step0) OVER (PARTITION BY conv_id ORDER BY pos), 0) AS step FROM t4),
+t6 AS (SELECT *, min(end_ - own) OVER w AS step_start, max(end_) OVER w AS step_end FROM t5 WINDOW w AS (PARTITION BY conv_id, step)),
+t7 AS (SELECT *, CASE WHEN NOT is_head THEN 2 * step + CASE WHEN end_ - own = step_start AND step_end - step_start > stride THEN 0 ELSE 1 END END AS span0 FROM t6),
+t8 AS (SELECT *, coalesce(span0, lead(span0) OVER (PARTITION BY conv_id ORDER BY pos), 0) AS span FROM t7),
+t9 AS (SELECT *, max(end_) OVER w AS span_end, sum(own) OVER w AS span_tokens FROM t8 WINDOW w AS (PARTITION BY conv_id, span)),
+t10 AS (SELECT *, first(span_tokens) OVER (PARTITION BY conv_id ORDER BY span RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_tokens FROM t9)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars + CASE WHEN more AND NOT is_head AND span_end - end_ + tokens <= {HISTORY} THEN chars ELSE 0 END)
+  CAST(sum(chars + CASE WHEN next_tokens IS NOT NULL AND NOT is_head AND span_end - end_ + tokens <= least({HISTORY}, {_ROOM} - next_tokens) THEN chars ELSE 0 END)
     + any_value(head_chars) * (count(DISTINCT span) - 1) AS BIGINT) AS formatted_chars
-FROM t5 GROUP BY conv_id
+FROM t10 GROUP BY conv_id
 """
