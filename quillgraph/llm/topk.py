@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, written
 
 K = 10
 SEGMENT_BITS = 16
-#: Rows and queries that meet in one task.
-BLOCK_ROWS = 1 << 17
-BLOCK_QUERIES = 1 << 12
+#: Rows and codes of queries that meet in one task.
+BLOCK_ROWS = 1 << 18
+BLOCK_QUERIES = 1 << 15
 
 
 def sign_code(vector: Column, dims: int) -> Column:
@@ -93,31 +93,36 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id
 
     Codes are hex strings of equal length in multiples of 4.  Rows with a null
     id or code are left out; a query isn't its own neighbour; equal rows are
-    neighbours only under different ids (of a repeated id, one row of smallest
-    code counts).  Fewer than k rows give fewer ranks; empty tables no rows.
+    neighbours only under different ids; a repeated id is one row, of its
+    smallest code.  Fewer than k rows give fewer ranks; empty tables no rows.
+
+    Of rows of one code only the k + 1 smallest ids can be among a query's k
+    nearest, and queries of one code are searched for once, so a code that
+    very many rows have costs no more than others.
     """
     clean = lambda df: df.select(df[id_col].cast("long").alias("id"), df[code_col].alias("code")).where("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
-    rows, queries = clean(rows), clean(queries)
+    of_code = Window.partitionBy("code").orderBy("id")
+    rows, queries = clean(rows).withColumn("r", F.row_number().over(of_code)).where(F.col("r") <= k + 1).drop("r"), clean(queries)
+    rows, codes = written(rows, "topk-rows"), written(queries.select("code").distinct(), "topk-codes")
     blocks = lambda df, size: max(1, -(-df.count() // size))
-    n, m = blocks(rows, BLOCK_ROWS), blocks(queries, BLOCK_QUERIES)
+    n, m = blocks(rows, BLOCK_ROWS), blocks(codes, BLOCK_QUERIES)
     left = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    right = codes.withColumn("q", F.pmod(F.xxhash64("code"), F.lit(m)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def block(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if r.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}).astype("int64")
+            return pd.DataFrame({"code": pd.Series(dtype=str), "neighbor_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int64")})
         index = MultiIndex(r["id"].to_numpy(np.int64), _words(r["code"]))
-        out = []
-        for query, code in zip(q["id"].to_numpy(np.int64), _words(q["code"]).astype(np.int64)):
-            at, d = index.search(code, k + 1)
-            other = index.ids[at] != query
-            at, d = at[other][:k], d[other][:k]
-            out.append((np.full(len(at), query), index.ids[at], d))
-        return pd.DataFrame(dict(zip(("query_id", "neighbor_id", "distance"), map(np.concatenate, zip(*out)))))
+        found = [index.search(code, k + 1) for code in _words(q["code"]).astype(np.int64)]
+        sizes = [len(at) for at, _ in found]
+        return pd.DataFrame({"code": np.repeat(q["code"].to_numpy(), sizes), "neighbor_id": np.concatenate([index.ids[at] for at, _ in found]), "distance": np.concatenate([d for _, d in found])})
 
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(block, "query_id long, neighbor_id long, distance long")
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(block, "code string, neighbor_id long, distance long")
+    best = Window.partitionBy("code").orderBy("distance", "neighbor_id")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x.neighbor_id != F.col("id")), 1, k)
+    out = queries.join(found, "code").select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "x.neighbor_id", "x.distance")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +133,8 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH c AS (
-  SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
-  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+  SELECT vec_id, min(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', ''))::BIT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64 GROUP BY vec_id),
 d AS (
   SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, r.code)) AS BIGINT) AS distance
   FROM c q JOIN c r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
