@@ -1,9 +1,10 @@
 """Language identification with error-correcting output codes.
 
 Each language has a codeword of bits.  One binary classifier over hashed byte
-n-grams predicts each bit; decoding weighs each bit's loss by how well that
-bit's classifier tells the language in training, and takes the codeword of
-least loss.  Texts whose two nearest codewords are close are flagged.
+n-grams predicts each bit; decoding weighs each bit's loss by how surely that
+bit's classifier tells texts of the language that it hasn't learned from, and
+takes the codeword of least loss.  Texts whose two nearest codewords are close
+are flagged.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, held_out, read_table, slices, text_buffers, within
+from .common import draw, held_out, in_batches, read_table, slices, text_buffers, within
 
 DIM = 4096
 NGRAMS = (2, 3, 4)
-#: Training documents of each language and languages at most; what is learned from is a bounded sample.
-PER_LANG, MAX_LANGS = 500, 256
-RIDGE = 0.05
+#: Training documents of each language and of all together; what is learned from is a bounded sample, of which every language has a share.
+PER_LANG, LEARNED = 500, 8000
+#: Rows whose features stand in memory at a time.
+ROWS = 512
+RIDGE, FOLDS = 0.05, 4
 SHARPNESS = 8.0
 AMBIGUOUS_BELOW = 0.6
 
@@ -96,43 +99,60 @@ class Model:
         return p.argmax(1), score, score < AMBIGUOUS_BELOW
 
 
+def _ridge(x: np.ndarray, target: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of all bits at once, from one system in the smaller of rows and features; ``cost`` is a row's share of the penalty."""
+    one = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    if len(x) <= x.shape[1]:
+        alpha = np.linalg.solve((one @ one.T).astype(np.float64) + np.diag(RIDGE * cost), target)
+        both = one.T @ alpha.astype(x.dtype)
+    else:
+        gram = (one.T @ (one / cost[:, None].astype(x.dtype))).astype(np.float64)
+        gram[np.diag_indices_from(gram)] += RIDGE
+        both = np.linalg.solve(gram, one.T.astype(np.float64) @ (target / cost[:, None]))
+    return both[:-1].astype(np.float32), both[-1].astype(np.float64)
+
+
+def _chance(margin: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Chance that a classifier's margin gives to the bits."""
+    return 1 / (1 + np.exp(-4 * margin * bits))
+
+
 def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
-    """Ridge classifiers of all bits, each text weighed so that the two sides of a bit count alike."""
+    """Ridge classifiers of all bits, in which all languages weigh alike, and the mean chance that those of the other folds give to a language's bits."""
     code = codewords(len(langs))
-    target = code[y]
-    kernel = (x @ x.T).astype(np.float64) + 1.0
-    weights, bias, trust = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape)
-    share = np.bincount(y, minlength=len(langs))
-    for b in range(code.shape[1]):
-        t = target[:, b]
-        side = {s: max(1, (t == s).sum()) for s in (-1, 1)}
-        cost = np.where(t > 0, side[1], side[-1]) * 2 / len(t)
-        alpha = np.linalg.solve(kernel + np.diag(RIDGE * cost), t)
-        weights[:, b], bias[b] = x.T @ alpha.astype(np.float32), alpha.sum()
-        right = (np.sign(kernel @ alpha) == t).astype(float)
-        trust[:, b] = (np.bincount(y, right, len(langs)) + 1) / (share + 2)
-    return Model(langs, code, weights, bias, trust / trust.sum(1, keepdims=True))
+    target, share = code[y], np.bincount(y, minlength=len(langs))
+    cost = share[y] * len(langs) / len(y)
+    sure = np.zeros(code.shape)
+    fold = np.arange(len(y)) % FOLDS
+    for k in range(FOLDS):
+        rest = fold != k
+        if rest.any() and not rest.all():
+            weights, bias = _ridge(x[rest], target[rest], cost[rest])
+            np.add.at(sure, y[~rest], _chance(x[~rest] @ weights + bias, target[~rest]))
+    trust = (sure + 0.5) / (share[:, None] + 1)
+    return Model(langs, code, *_ridge(x, target, cost), trust / trust.sum(1, keepdims=True))
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Learn from at most ``per_lang`` documents of each language, drawn by id, none of them held out; None if there are none."""
+    """Learn from at most ``per_lang`` documents of each language (fewer if there are many languages), drawn by id, none of them held out; None if there are none."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = usable.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
+    per_lang = min(per_lang, max(1, LEARNED // len(counts)))
     langs = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * per_lang / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, (1.2 * per_lang + 8) / r["count"]))])
     sample = usable.withColumn("u", draw(F.col("doc_id"), 5)).where(F.col("u") < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ROWS):
                 data, at = text_buffers(part.column("text"))
                 x = features(data, at).astype(np.float16)
                 ok = has_letter(part.column("text"), data, at)
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(pa.array(ok)), part.column("lang").filter(pa.array(ok)), pa.array([r.tobytes() for r in x[ok]], pa.binary())], ["u", "lang", "x"])
 
-    rows = sample.select("u", "lang", "text").mapInArrow(run, "u double, lang string, x binary").collect()
+    rows = sample.select("u", "lang", "text").transform(in_batches(run, "u double, lang string, x binary")).collect()
     rows.sort(key=lambda r: (r["u"], r["lang"], bytes(r["x"])))
     kept, seen = [], dict.fromkeys(langs, 0)
     for r in rows:
@@ -158,7 +178,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ROWS):
                 data, at = text_buffers(part.column("text"))
                 known = has_letter(part.column("text"), data, at) if m else np.zeros(part.num_rows, bool)
                 lang, score, doubt = np.full(part.num_rows, "und", object), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
@@ -168,7 +188,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(doubt)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(in_batches(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
