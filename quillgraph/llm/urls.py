@@ -1,24 +1,32 @@
 """URL filtering by stated rules and by association rules.
 
 Stated rules name a host and a path prefix.  Where none fits, mined rules
-decide: FP-growth finds token combinations of labelled URLs that come with the
-label "block"; those with enough support and confidence, and without a more
+decide: single tokens and, by FP-growth over the blocked URLs, combinations of
+tokens that labelled URLs have together with the label "block".  Those with
+enough support and confidence that chance doesn't explain, and without a more
 general rule, match URLs through an inverted index on their rarest token.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, written
 
 #: (host, path, verdict)
 STATED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Share of the labelled URLs, and number of them, that a rule blocks rightly at least.
 MIN_SUPPORT = 0.002
+MIN_PAGES = 5
 MIN_CONFIDENCE = 0.5
-BLOCK = "label=block"
+#: Chance at most that any rule is mined where labels don't follow URLs.
+CHANCE = 0.01
+#: Items of a URL that combinations are made of, those that come with the label most: bounds the combinations of a long URL.
+COMBINED = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,25 +63,68 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
+def _telling(n: Column, blocked: Column, least: int, base: float, tests: int, min_confidence: float) -> Column:
+    """Whether ``blocked`` of ``n`` URLs are enough, many enough of them, and more than chance gives at the rate ``base`` in ``tests`` tests (Chernoff's bound)."""
+    p = blocked / n
+    apart = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / max(1 - base, 1e-300))).otherwise(0.0)
+    return (blocked >= least) & (p >= min_confidence) & (p > base) & (n * apart >= math.log(max(tests, 1) / CHANCE))
+
+
+def _rarest(rules: DataFrame, key: str) -> DataFrame:
+    """Add ``token`` to rows of (key, tokens): the token of each rule that fewest rules share, its only posting in the index."""
+    t = rules.withColumn("token", F.explode("tokens"))
+    per_token = t.groupBy("token").agg(F.count(F.lit(1)).alias("n_"))
+    return rules.join(t.join(per_token, "token").groupBy(key).agg(F.min_by("token", F.struct("n_", "token")).alias("token")), key)
+
+
+def _has(tokens: str, all_: str) -> Column:
+    return F.size(F.array_except(tokens, all_)) == 0
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens, confidence, support`` from rows of (url, blocked); of nested rules only the most general stays.
 
-    Null urls and null labels teach nothing.  An empty table gives no rule.
+    A token that is telling by itself is a rule.  Of the others, those that
+    the same blocked URLs have are one item, and FP-growth over the blocked
+    URLs finds the combinations of items; their confidence is counted over all
+    labelled URLs.  Null urls and null labels teach nothing; repeated rows
+    count as often as they stand.  An empty table gives no rule.
     """
     spark = labelled.sparkSession
-    rows = labelled.where("url is not null and blocked is not null").select(F.concat(url_tokens(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    if rows.isEmpty():
-        return spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    found = written(found, "url-rules")
-    wide, narrow = found.alias("w"), found.alias("n")
-    inside = (F.size("n.tokens") < F.size("w.tokens")) & (F.size(F.array_except("n.tokens", "w.tokens")) == 0)
-    # a more general rule shares a token with the narrower one, so an equi-join on tokens finds it
-    w = wide.withColumn("token", F.explode("w.tokens"))
-    n = narrow.withColumn("token", F.explode("n.tokens"))
-    covered = w.join(n, (w.token == n.token) & inside, "left_semi").select("w.tokens").distinct()
-    return found.join(covered, "tokens", "left_anti")
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    rows = labelled.where("url is not null and blocked is not null").select(F.monotonically_increasing_id().alias("row"), F.col("blocked").cast("boolean").alias("blocked"), F.xxhash64("url").alias("h"), url_tokens(F.col("url")).alias("all"))
+    rows = written(rows, "url-labelled")
+    n_rows, n_blocked = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
+    if not n_blocked:
+        return none
+    base, least = n_blocked / n_rows, max(MIN_PAGES, math.ceil(min_support * n_rows))
+    t = rows.select("row", "blocked", "h", F.explode("all").alias("token"))
+    # sums of hashes tell whether two tokens stand in the same blocked urls
+    same = [F.sum(F.when(F.col("blocked"), F.pmod(F.xxhash64("h", F.lit(k)), F.lit(1 << 30)))).alias(f"s{k}") for k in (1, 2)]
+    tokens = written(t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"), *same).where(F.col("b") >= least), "url-tokens")
+    n_tokens = tokens.count()
+    telling = _telling(F.col("n"), F.col("b"), least, base, n_tokens, min_confidence)
+    rule = lambda df: df.select("tokens", (F.col("b") / F.col("n")).alias("confidence"), (F.col("b") / n_rows).alias("support"))
+    single = rule(tokens.where(telling).withColumn("tokens", F.array("token")))
+
+    item = F.min("token").over(Window.partitionBy("b", "s1", "s2"))
+    items = written(tokens.where(~telling).withColumn("item", item), "url-items")
+    found = t.where("blocked").join(items, "token").groupBy("row", "item").agg(F.max(F.col("b") / F.col("n")).alias("p"))
+    best = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("p"), "item"))
+    baskets = found.withColumn("place", best).where(F.col("place") <= COMBINED).groupBy("row").agg(F.collect_list("item").alias("items"))
+    baskets = written(baskets.select("items"), "url-baskets")
+    if not (n_baskets := baskets.count()):
+        return written(single, "url-rules")
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_baskets)).fit(baskets).freqItemsets
+    sets = sets.select(F.xxhash64(F.array_sort("items")).alias("set"), F.explode("items").alias("item")).join(items.select("item", "token"), "item")
+    sets = written(sets.groupBy("set").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") > 1), "url-sets")
+    hits = t.join(_rarest(sets, "set"), "token").join(rows.select("row", "all"), "row").where(_has("tokens", "all"))
+    counts = hits.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"))
+    several = sets.join(counts, "set").where(_telling(F.col("n"), F.col("b"), least, base, n_tokens + sets.count(), min_confidence))
+    several = written(several, "url-several")
+    inner = _rarest(several.select("set", "tokens"), "set").select(F.col("tokens").alias("inner"), "token")
+    covered = several.select("set", F.col("tokens").alias("all"), F.explode("tokens").alias("token")).join(inner, "token").where((F.size("inner") < F.size("all")) & _has("inner", "all")).select("set").distinct()
+    return written(single.unionByName(rule(several.join(covered, "set", "left_anti"))), "url-rules")
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -83,11 +134,9 @@ def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     share; a url looks its tokens up and the posting's other tokens are checked
     on the spot, so a url meets few rules and no list of urls is gathered.
     """
-    t = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    per_token = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    index = t.join(per_token, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    index = _rarest(rules.withColumn("rule_key", F.array_join("tokens", " ")), "rule_key").select("tokens", "confidence", "token")
     found = urls.select("url", url_tokens(F.col("url")).alias("all")).withColumn("token", F.explode("all")).join(index, "token")
-    return found.where(F.size(F.array_except("tokens", "all")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    return found.where(_has("tokens", "all")).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -108,7 +157,11 @@ def judge(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_co
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every url of pages; rules are mined from the pages whose document has a quality label, 0 meaning block."""
+    """Every url of pages; rules are mined from the pages whose document has a quality label, 0 meaning block.
+
+    Page i is taken for the page of document i, as pages have no other key to
+    labels.
+    """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
     return judge(pages, pages.join(labels, "page_id"))
