@@ -25,6 +25,9 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat_windows": chat.OP2_SQL,
     "op3_exact_topk": topk.OP3_SQL,
+    "op4_repeated_substrings": substrings.OP4_SQL,
+    "op5_repetition_rules": repetition.OP5_SQL,
+    "op7_near_duplicates": neardup.OP7_SQL,
 }
 
 
