@@ -190,3 +190,49 @@ def test_links_from_80_percent_on(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.one_of_each(df, 80)
     assert {r["doc_id"] for r in got.collect()} == {i for i, _ in rows} - gone
+
+
+@pytest.mark.parametrize("meet", [1, 2])
+def test_repeats_are_removed_in_two_steps(spark, monkeypatch, meet):
+    """Many small chunks, dealt into parts of which a bucket sees one row each; with strings that very many documents share."""
+    for name, value in (("MEET", meet), ("CHUNK", 1500), ("SHARED", 3)):
+        monkeypatch.setattr(substrings, name, value)
+    rows = passages()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(plain_cut(rows), key=key)
+
+
+def test_a_text_of_ten_thousand_copies(spark, monkeypatch):
+    """Exact copies, near copies and their common passage, in parts of chunks and over blocks of sets."""
+    monkeypatch.setattr(substrings, "MEET", 2)
+    monkeypatch.setattr(substrings, "CHUNK", 200_000)
+    monkeypatch.setattr(neardup, "SETS", 500)
+    base = [f"w{k}" for k in range(40)]
+    near, far = " ".join(base[:39]), " ".join(base[:20])
+    ids = spark.range(10_000)
+    docs = ids.selectExpr("id AS doc_id", f"'{' '.join(base)}' AS text")
+    docs = docs.unionByName(ids.limit(2000).selectExpr("10000 + id AS doc_id", f"concat('{near} x', id) AS text")).unionByName(ids.limit(50).selectExpr("20000 + id AS doc_id", f"concat('{far} y', id, ' z', id) AS text"))
+    found = neardup.near_duplicates(docs).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in found} == {0: 12_000} | {20_000 + k: 1 for k in range(50)}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect())) == sorted(plain_cut(rows))
+
+
+def test_chance_of_a_missed_estimate():
+    """The least number of equal registers is the exact binomial tail."""
+    from math import comb
+
+    for percent, n in ((85, 72), (80, 87)):
+        least, p = neardup.least_equal(percent, n), percent / 100
+        for used in range(n + 1):
+            below = lambda k: sum(comb(used, i) * p**i * (1 - p) ** (used - i) for i in range(k))  # noqa: B023,E731
+            assert below(least[used]) < neardup.MISS and (least[used] == used or below(least[used] + 1) >= neardup.MISS)
+
+
+def test_members_far_from_the_first_document_are_compared(spark, monkeypatch):
+    """A chain of texts, each like the next but not like the first, in small parts."""
+    monkeypatch.setattr(neardup, "SETS", 3)
+    w = [f"c{k}" for k in range(260)]
+    rows = [(k, " ".join(w[4 * k : 4 * k + 100])) for k in range(40)] + [(100 + k, " ".join(f"{a}q" for a in w[4 * k : 4 * k + 100])) for k in range(40)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)

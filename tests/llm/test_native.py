@@ -169,3 +169,36 @@ def test_chat_reads_back(spark, budget):
 
 def test_chat_of_nothing(spark):
     assert chat.digests(chat.format_windows(spark.createDataFrame([], TURNS))).count() == 0
+
+
+@pytest.mark.parametrize("budget", [512, 60])
+def test_chat_windows_keep_the_budget(spark, budget):
+    """A window is over the budget only if a single turn doesn't fit beside the system turn; history keeps its own."""
+    history = budget // 4
+    tokens = lambda piece: len(re.findall(r"[^\x20\x09-\x0D]+", chat_text(piece))) + 4
+
+    def chat_text(piece):
+        return re.sub(r"<\\\\(\\\\*)\|", r"<\1|", piece[len("<|im_start|>") : -len("<|im_end|>\n")].split("\n", 1)[1])
+
+    rows = conversations() + [(200, k, "user" if k % 2 else "assistant", "w " * (k * 37 % 300)) for k in range(400)] + [(201, 0, "system", "s " * 300)] + [(201, k, "user", "w " * (k * 53 % 200)) for k in range(1, 90)]
+    df = spark.createDataFrame([(*r[:4], None, None) if len(r) == 4 else r for r in rows], TURNS)
+    heads = {r[0]: r for r in rows if r[1] == 0 and r[2] == "system"}
+    over = 0
+    for w in chat.format_windows(df, budget, history).collect():
+        pieces = [(t, w["formatted"][t["start"] : t["start"] + t["length"]]) for t in w["turns"]]
+        head = heads.get(w["conv_id"])
+        head_tokens = len((head[3] or "").split()) + 4 if head else 0
+        rest = [(t, p) for t, p in pieces if not (head and t["pos"] == 1)]
+        own, again = [tokens(p) for t, p in rest if not t["repeated"]], [tokens(p) for t, p in rest if t["repeated"]]
+        if head_tokens + sum(own) + sum(again) > budget:
+            over += 1
+            assert len(own) == 1 and not again and head_tokens + own[0] > budget
+        assert sum(again) <= history
+    assert over or budget == 512
+
+
+def test_a_hot_conversation_is_formatted(spark):
+    turns = spark.range(20_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('w ', int(id % 90)) AS text")
+    got = chat.digests(chat.format_windows(turns)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(7, 20_000)]
+    assert got[0]["loss_chars"] == sum(2 * (k % 90) for k in range(1, 20_000, 2))

@@ -1,5 +1,7 @@
 """Operators on whole texts: repetition rules, toxicity, languages, tokens, URLs, top-k."""
 
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -95,14 +97,73 @@ def test_isotonic_rises():
 def test_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs)
-    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.97
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", langid.held_out(F.col("doc_id"))).collect()
+    held = [r for r in rows if r["held"]]
+    assert len(held) > 100 and sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.97
     odd = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edges(spark), model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= odd and (4, "und") not in odd
     assert langid.train(docs.where("lang is null")) is None
     assert {r["lang_pred"] for r in langid.identify(docs.limit(5), None).collect()} == {"und"}
 
 
+def plain_language_features(text):
+    """Square roots of hashed n-gram counts at unit length, gram by gram."""
+    data = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    x = np.zeros(langid.DIM)
+    for n in langid.NGRAMS:
+        for i in range(len(data) - n + 1):
+            h = data[i]
+            for b in data[i + 1 : i + n]:
+                h = (h * 0x01000193 ^ b) & 0xFFFFFFFF
+            x[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    x = np.sqrt(x)
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
+def test_languages_are_decoded_by_weighted_loss(spark):
+    """Held-out texts against features gram by gram and codewords one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    assert len(np.unique(model.trust.round(6))) > 1 and np.allclose(model.trust.sum(1), 1)
+    texts = {r["doc_id"]: r["text"] for r in docs.where(langid.held_out(F.col("doc_id"))).limit(120).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).where(F.col("doc_id").isin(list(texts))).collect()}
+    for i, t in texts.items():
+        if not any(map(str.isalpha, t)):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        margin = plain_language_features(t) @ model.weights + model.bias
+        loss = [sum(w * np.log1p(np.exp(-4 * m * c)) for m, c, w in zip(margin, code, trust)) for code, trust in zip(model.code, model.trust)]
+        near = [np.exp(-langid.SHARPNESS * (v - min(loss))) for v in loss]
+        assert got[i]["lang_pred"] == model.langs[int(np.argmin(loss))]
+        assert got[i]["score"] == pytest.approx(max(near) / sum(near), abs=1e-4)
+
+
+def test_a_hundred_languages():
+    """Every language keeps a share of the sample; rows and features give the same classifiers, and trust tells bits apart."""
+    rng = np.random.default_rng(4)
+    means = rng.random((100, 60)) ** 6
+    y = np.repeat(np.arange(100), 12)
+    x = np.sqrt(rng.poisson(80 * means[y])).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shuffled = rng.permutation(len(y))
+    model = langid.fit(x[shuffled], y[shuffled], [f"l{k}" for k in range(100)])
+    fresh = np.sqrt(rng.poisson(80 * means[y])).astype(np.float32)
+    best, _, _ = model.predict(fresh / np.linalg.norm(fresh, axis=1, keepdims=True))
+    assert (best == y).mean() > 0.9
+    assert len(np.unique(model.trust.round(4))) > 50
+    cost, code = np.ones(len(y)), model.code[y]
+    by_features = langid._ridge(x, code, cost)
+    by_rows = langid._ridge(np.hstack([x, np.zeros((len(x), 2000), np.float32)]), code, cost)
+    assert np.allclose(by_features[0], by_rows[0][:60], atol=2e-2) and np.allclose(by_features[1], by_rows[1], atol=2e-2)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEARNED", 600)
+    rows = [(100 * k + i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)}{chr(0x4E02 + 40 * k)} " * 9, f"l{k}") for k in range(300) for i in range(4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 6, 7, 40])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
@@ -180,6 +241,82 @@ def test_urls_by_mined_rules(spark):
     assert urls.judge(df.limit(0), df.limit(0)).count() == 0
 
 
+def plain_rules(rows):
+    """All telling tokens, and all minimal telling sets of the other tokens where those of the same blocked urls go together."""
+    least, n, base = max(urls.MIN_PAGES, math.ceil(urls.MIN_SUPPORT * len(rows))), len(rows), sum(b for _, b in rows) / len(rows)
+
+    def counts(tokens):
+        hits = [b for t, b in rows if tokens <= t]
+        return len(hits), sum(hits)
+
+    def telling(tokens, tests):
+        m, b = counts(tokens)
+        if b < least or b / m < urls.MIN_CONFIDENCE or b / m <= base:
+            return False
+        p = b / m
+        return m * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)) >= math.log(tests / urls.CHANCE)
+
+    every = {x for t, _ in rows for x in t if counts({x})[1] >= least}
+    found = [{x} for x in every if telling({x}, len(every))]
+    items = {}
+    for x in every - set().union(*found):
+        items.setdefault(tuple(k for k, (t, b) in enumerate(rows) if b and x in t), set()).add(x)
+    sets = [set().union(*c) for n in range(1, len(items) + 1) for c in itertools.combinations(items.values(), n)]
+    sets = [s for s in sets if len(s) > 1 and counts(s)[1] >= least]
+    several = [s for s in sets if telling(s, len(every) + len(sets))]
+    return found + [s for s in several if not any(o < s for o in several)]
+
+
+def test_rules_are_those_of_a_plain_miner(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(700):
+        # neither the host nor the section tells, both together do
+        host, part = rng.choice("abc"), rng.choice(["x", "y", "z"])
+        bad = (host, part) == ("a", "x") if rng.random() > 0.03 else rng.random() < 0.1
+        extra = "/promo/deal" if rng.random() < (0.6 if bad else 0.25) else ""
+        rows.append((i, f"http://{host}.net/{part}{extra}/{i}", bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    tokens = {r["page_id"]: set(r["t"]) for r in df.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    want = plain_rules([(tokens[i], b) for i, _, b in rows])
+    got = [frozenset(r["tokens"]) for r in urls.mine_rules(df).collect()]
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want)) and any(len(w) > 1 for w in want)
+    assert all(sum(b for i, _, b in rows if r <= tokens[i]) >= urls.MIN_PAGES for r in got)
+
+
+def test_no_rules_by_chance(spark):
+    """Labels that don't follow the urls give no rule, and all pages without a stated rule are allowed."""
+    rng = random.Random(2)
+    rows = [(i, f"https://h{i % 60}.net/p{rng.randrange(200)}/{i}", rng.random() < 0.15) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    assert urls.mine_rules(df).count() == 0
+    few = spark.createDataFrame([(i, f"http://only.net/{'bad' if i < 4 else 'good'}", i < 4) for i in range(40)], "page_id long, url string, blocked boolean")
+    assert urls.mine_rules(few).count() == 0
+
+
+@pytest.mark.parametrize("drop", [0, 1])
+def test_long_shared_paths_end(spark, drop):
+    """Twenty segments in all blocked urls, or in all but one in turn, are no explosion of combinations."""
+    segments = [f"s{chr(97 + k)}" for k in range(20)]
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        some = [s for k, s in enumerate(segments) if not (drop and k == i // 4 % 20)] if bad else rng.sample(segments, 14)
+        rows.append((i, f"http://h.net/{'/'.join(some)}", bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, df).collect()}
+    assert all(got[i] == "block" for i, _, b in rows if b)
+
+
+def test_urls_without_labels_and_long_ones(spark):
+    rows = [(1, "http://a.net/" + "x/" * 20000, "u"), (1, "http://a.net/" + "x/" * 20000, "u"), (2, None, "u"), (3, "http://e.org/q", "u")]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    none = df.select("url", F.lit(True).alias("blocked")).limit(0)
+    got = sorted((r["page_id"], len(r["path"]), r["rule"], r["verdict"]) for r in urls.judge(df, none).collect())
+    assert got == [(1, 40001, None, "allow"), (1, 40001, None, "allow"), (2, 0, None, "allow"), (3, 2, "org/", "allow")]
+
+
 @pytest.mark.parametrize("blocks", [(1 << 17, 1 << 12), (70, 9)])
 def test_topk_is_exact(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "BLOCK_ROWS", blocks[0])
@@ -202,3 +339,89 @@ def test_topk_is_exact(spark, monkeypatch, blocks):
 def test_sign_codes(spark):
     df = spark.createDataFrame([([1.0, -1.0, None, float("nan")] * 4,), ([1.0],), (None,)], "v array<float>")
     assert [r["c"] for r in df.select(topk.sign_code(F.col("v"), 16).alias("c")).collect()] == ["8888", None, None]
+
+
+def test_topk_of_repeated_ids_and_a_hot_code(spark):
+    """An id's smallest code counts; a code that most rows have gives its smallest ids."""
+    rows = [(i, "f" * 16) for i in range(500)] + [(700, "0" * 16), (700, "f" * 16), (701, "0" * 15 + "1"), (702, "f" * 15 + "e"), (3, "f" * 15 + "0")]
+    df = spark.createDataFrame(rows, "vec_id long, code string")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id in (0, 3, 700)"), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"], r["distance"]))
+    assert sorted(got[0]) == [(1, 1, 0), (2, 2, 0), (3, 4, 0), (4, 5, 0), (5, 6, 0)]
+    assert sorted(got[3]) == [(1, 702, 3), (2, 0, 4), (3, 1, 4), (4, 2, 4), (5, 4, 4)]
+    assert sorted(got[700])[:1] == [(1, 701, 1)] and sorted(got[700])[1][1:] == (3, 60)
+
+
+def plain_toxicity_features(text, lexicon):
+    """The features of one text, one by one."""
+    ws = words(text)
+    raw = (text or "").encode()
+    letters = [b for b in raw if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128]
+    found = re.findall(r"\w+", (text or "").lower())
+    hits = [(k, w, lexicon.weight(w)) for k, w in enumerate(found) if lexicon.weight(w)]
+    mined = [v for _, _, v in hits if v < toxicity.SEED_ONLY]
+    n, you = max(len(ws), 1), toxicity.SECOND_PERSON
+    upper = sum(65 <= b <= 90 for b in raw)
+    x = dict.fromkeys(toxicity.NAMES, 0.0)
+    x["log_words"], x["upper_share"] = math.log1p(len(ws)), upper / max(len(letters), 1)
+    caps = lambda w: sum(65 <= b <= 90 for b in w.encode())
+    x["all_caps_share"] = sum(caps(w) > 1 and caps(w) == sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in w.encode()) for w in ws) / n
+    for name, chars in (("bang_density", "!"), ("query_density", "?"), ("punct_density", ".,;:!?-\"'()"), ("digit_density", "0123456789")):
+        x[name] = sum((text or "").count(c) for c in chars) / n
+    if hits:
+        x["seed_hits"] = sum(w in toxicity.SEED_WORDS for _, w, _ in hits)
+        x["seed_density"] = x["seed_hits"] / len(found)
+        x["mined_density"], x["mined_weight"], x["mined_hits"], x["top_weight"] = len(mined) / len(found), sum(mined), len(mined), max(v for _, _, v in hits)
+        x["near_second_person"] = sum(any(w in you for w in found[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]) for k, _, _ in hits)
+        x["second_person_density"] = sum(w in you for w in found) / len(found)
+    return x
+
+
+def test_toxicity_features_one_by_one(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + [t for _, t in EDGES if t is not None] + ["You IDIOT! you are a fool, FOOL? (yes)", "idiots", "THE END."]
+    lexicon = toxicity.Lexicon({w + "$": toxicity.SEED_ONLY for w in toxicity.SEED_WORDS} | {"fool": 3.0, "lore$": 2.6})
+    got = toxicity.features(pa.array(texts), lexicon)
+    plain = [n for n in toxicity.NAMES if not n.startswith("obfuscated")]
+    for t, row in zip(texts, got):
+        want = plain_toxicity_features(t, lexicon)
+        assert {n: row[toxicity.NAMES.index(n)] for n in plain} == pytest.approx({n: want[n] for n in plain}), t
+    odd = toxicity.features(pa.array(["you 1d1ot and m.o.r.o.n", "a-b c", "no"]), lexicon)
+    assert odd[:, toxicity.NAMES.index("obfuscated_hits")].tolist() == [2, 0, 0]
+
+
+def test_trees_one_by_one():
+    """Scores by walking each tree, and the first cut by trying all."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, len(toxicity.NAMES)))
+    y = (x[:, 3] + 0.5 * x[:, 9] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    model = toxicity.boost(x, y)
+    bins = model.bins(x)
+    for i in range(0, 400, 37):
+        score = model.start
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+            node = 0
+            for _ in range(toxicity.DEPTH):
+                node = 2 * node + (2 if bins[i, feature[node]] > cut[node] else 1)
+            score += leaf[node - len(feature)]
+        assert model.raw(x[i : i + 1])[0] == pytest.approx(score)
+    p = np.full(400, y.mean())
+    g, h = p - y, p * (1 - p)
+
+    def gain(f, c):
+        left = bins[:, f] <= c
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+        return part(left) + part(~left) - part(np.ones(400, bool)) if min(h[left].sum(), h[~left].sum()) >= 0.5 else -1
+
+    best = max(((gain(f, c), f, c) for f in range(x.shape[1]) for c in range(bins[:, f].max() + 1)), key=lambda v: v[0])
+    assert gain(model.feature[0][0], model.cut[0][0]) == pytest.approx(best[0]) and model.feature[0][0] == 3
+    assert ((model.raw(x) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_toxicity_of_conflicting_labels(spark):
+    """The larger label of a document counts, whatever the order of the rows."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} text {'vile' if i % 2 else 'kind'} thing") for i in range(200)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(200)] + [(i, 0) for i in range(200)]
+    one, two = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels[::-1]))
+    scores = [[r["score"] for r in toxicity.score_documents(docs, m).orderBy("doc_id").collect()] for m in (one, two)]
+    assert scores[0] == scores[1] and min(scores[0][1::2]) > 0.5 > max(scores[0][::2])
