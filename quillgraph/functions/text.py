@@ -96,7 +96,7 @@ def author_key(c: Column | str) -> Column:
 
 
 def split_authors(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(col(c), " and "), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(col(c), " and "), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def paper_id(citation_key: Column, arxiv: Column, title: Column) -> Column:
@@ -283,5 +283,5 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def snippet(c: Column | str, query: str, n: int = 160) -> Column:
     """The first line that has the query, else the text; white space squeezed; clipped."""
     c = col(c)
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: (x != "") & F.contains(F.lower(x), F.lit(query.lower())))
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & F.contains(F.lower(x), F.lit(query.lower())))
     return clip_dots(squeeze(F.coalesce(F.get(lines, F.lit(0)), c)), n)
