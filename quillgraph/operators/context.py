@@ -32,9 +32,12 @@ def evidence_spans(docs: DataFrame, terms: list[str], id_col: str = "doc_id", te
 def within_budget(rows: DataFrame, budget: int, order: list, text_col: str = "text", group: list[str] | None = None) -> DataFrame:
     """The longest run of rows in ``order`` whose words plus 8 for each row stay within ``budget``, one row at least; adds ``cost`` and ``truncated``.
 
-    With ``group`` each group has a budget of its own; without, the rows are
-    one ranking and meet in one task, as their order is global.
+    With ``group`` each group has a budget of its own.  Without, the rows are
+    one ranking; as every row costs OVERHEAD at least, only as many of the
+    first ones are looked at as the budget can hold, and one more.
     """
+    if not group:
+        rows = rows.orderBy(*order).limit(budget // OVERHEAD + 1)
     words = F.size(F.filter(F.split(F.col(text_col), r"\s+"), lambda w: w != ""))
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order)
     r = rows.withColumn("cost", (words + OVERHEAD).cast("long")).withColumn("_sum", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
@@ -44,6 +47,17 @@ def within_budget(rows: DataFrame, budget: int, order: list, text_col: str = "te
 
 
 def adjacent_distinct(rows: DataFrame, key: str, order: list, limit: int) -> DataFrame:
-    """Rows in ``order`` without those whose key is that of the row before; the first ``limit``."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    return rows.withColumn("_before", F.lag(key).over(w)).where(~F.col(key).eqNullSafe(F.col("_before"))).drop("_before").orderBy(*order).limit(limit)
+    """Rows in ``order`` without those whose key is that of the row before; the first ``limit``.
+
+    Only the first rows are looked at, ten times as many until they give
+    enough, so what meets in one task is little more than the answer needs.
+    A null key in the first row counts as one.
+    """
+    w, n = Window.partitionBy(F.lit(0)).orderBy(*order), 16 * limit
+    while True:
+        first = rows.orderBy(*order).limit(n)
+        n_before = F.row_number().over(w) - 1
+        kept = first.withColumn("_n", n_before).withColumn("_before", F.lag(key).over(w)).where((F.col("_n") == 0) | ~F.col(key).eqNullSafe(F.col("_before"))).drop("_before", "_n")
+        if kept.limit(limit).count() == limit or first.count() < n:
+            return kept.orderBy(*order).limit(limit)
+        n *= 10

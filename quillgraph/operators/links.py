@@ -2,12 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-
 LEAST_COSINE = 0.80
+#: Rows of either side that meet in a block of vectors.
+BLOCK = 2048
+# Endings of file names that count as paths in a text, and least lengths of names.
+PATH = r"([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+[.](?:rs|py|sh|md|qmd|toml|yml|yaml|json|jsonl))"
+LEAST_SYMBOL, LEAST_NAME, MOST_NAMED = 6, 4, 3
+# Scores of links by strategy.
+PATH_SCORE, SYMBOL_SCORE, NAME_SCORE, MENTION_SCORE = 1.0, 0.95, 0.98, 0.9
+
+
+def path_links(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """``source, target, strategy, score, evidence``: texts (id, text) with files (id, path, relative_path) that they name.
+
+    A path in a text fits a file whose path ends with it or whose relative
+    path it is.  Both meet on the last part of the path, which is whole in a
+    text, so few pairs are compared; ``path`` may go on to the left of it.
+    """
+    last = lambda c: F.substring_index(c, "/", -1)
+    refs = texts.select(F.col("id").alias("source"), F.explode(F.regexp_extract_all("text", F.lit(PATH), 1)).alias("ref"))
+    refs = refs.select("source", F.regexp_replace("ref", "^[./]+", "").alias("evidence")).distinct().withColumn("last", last("evidence"))
+    f = files.select(F.col("id").alias("target"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("relative_path", F.lit("")).alias("relative_path"))
+    f = f.withColumn("last", F.explode(F.array_distinct(F.array(last("path"), last("relative_path")))))
+    hit = refs.join(f, "last").where(F.endswith("path", F.col("evidence")) | (F.col("relative_path") == F.col("evidence")))
+    return hit.select("source", "target", F.lit("path").alias("strategy"), F.lit(PATH_SCORE).alias("score"), "evidence").distinct()
+
+
+def symbol_links(texts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``source, target, strategy, score, evidence``: texts (id, text) with symbols (id, name) whose name, theirs alone and of six characters at least, is a word of the text, whatever the case."""
+    names = named_once(symbols.where(F.length("name") >= LEAST_SYMBOL).select(F.lower("name").alias("name"), "id")).where("target is not null")
+    words = texts.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("name"))
+    return words.join(names, "name").select("source", "target", F.lit("exact_symbol").alias("strategy"), F.lit(SYMBOL_SCORE).alias("score"), F.col("name").alias("evidence"))
+
+
+def name_links(entities: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``source, target, strategy, score, evidence``: entities (id, name) with the symbols (id, name) of equal name, whatever the case, if it has four characters at least and names three at most."""
+    key = F.lower("name").alias("key")
+    n = symbols.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MOST_NAMED)
+    few = symbols.select(F.col("id").alias("target"), key).join(n, "key", "left_semi")
+    e = entities.where(F.length("name") >= LEAST_NAME).select(F.col("id").alias("source"), key, F.col("name").alias("evidence"))
+    return e.join(few, "key").select("source", "target", F.lit("exact_symbol").alias("strategy"), F.lit(NAME_SCORE).alias("score"), "evidence")
+
+
+def mention_links(mentions: DataFrame, paths: DataFrame) -> DataFrame:
+    """``source, target, strategy, score``: entities with the files that an episode which mentions them names (mentions: episode, entity; paths: those of path_links)."""
+    hops = mentions.join(paths.select(F.col("source").alias("episode"), "target"), "episode")
+    return hops.select(F.col("entity").alias("source"), "target", F.lit("path").alias("strategy"), F.lit(MENTION_SCORE).alias("score")).distinct()
+
+
+def mentions_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``episode, entity`` of MENTIONS edges from episodic nodes to entities."""
+    kind = lambda name, column: nodes.where(F.array_contains("labels", name)).select(F.col("id").alias(column))
+    e = edges.where("rel_type = 'MENTIONS'").select(F.col("source").alias("episode"), F.col("target").alias("entity"))
+    return e.join(kind("Episodic", "episode"), "episode", "left_semi").join(kind("Entity", "entity"), "entity", "left_semi").distinct()
 
 
 def containments(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -28,14 +80,68 @@ def containments(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return likely.join(p, "item").join(t, "id").where(F.contains("text", F.col("phrase"))).select("id", "item").distinct()
 
 
-def vector_links(left: DataFrame, right: DataFrame, least: float = LEAST_COSINE, top: int = 1, same: Column | None = None) -> DataFrame:
-    """``source, target, score``: for each left row (id, vec, key) the ``top`` right rows of equal ``key`` by cosine, above ``least``.
+def vector_links(left: DataFrame, right: DataFrame, least: float = LEAST_COSINE, top: int = 1, known: DataFrame | None = None) -> DataFrame:
+    """``source, target, score``: for each left row (id, vec, key) the ``top`` right rows of equal ``key`` by cosine, from ``least`` on, ties by id.
 
-    ``key`` bounds the comparison: rows meet only where it is equal.
+    Where both sides have ``tokens``, a pair must share one; pairs of ``known``
+    (source, target) don't count.  ``key`` bounds the comparison: rows meet
+    only where it is equal, in blocks of at most about BLOCK rows of either
+    side, as products of unit vectors; a block gives its best alone.  Vectors
+    without length, of another length than most, or null are linked with
+    nothing.
     """
-    a = left.select(F.col("id").alias("source"), F.col("vec").alias("va"), "key")
-    b = right.select(F.col("id").alias("target"), F.col("vec").alias("vb"), "key")
-    pairs = a.join(b, "key").where("source <> target").withColumn("score", F.round(text.cosine("va", "vb"), 6)).where(F.col("score") >= least)
+    by_tokens = "tokens" in left.columns and "tokens" in right.columns
+    none = F.array().cast("array<string>")
+
+    def side(df: DataFrame, own: str, other: str, sizes: dict[str, DataFrame]) -> DataFrame:
+        d = df.where("vec is not null").select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), "key", (F.coalesce("tokens", none) if by_tokens else none).alias("tokens"))
+        d = d.join(sizes[own], "key").join(sizes[other], "key")
+        return d.withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1))).drop("n_i", "n_j")
+
+    sizes = {c: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"n_{c}")) for c, df in (("i", left), ("j", right))}
+    a, b = side(left, "i", "j", sizes), side(right, "j", "i", sizes)
+    # both sides may be one table: names of their own tell its columns apart
+    b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
+    if known is None:
+        a = a.withColumn("seen", F.array().cast(f"array<{right.schema['id'].dataType.simpleString()}>"))
+    else:
+        a = a.join(known.groupBy(F.col("source").alias("id")).agg(F.collect_set("target").alias("seen")), "id", "left")
+
+    def unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        vectors = table.column("vec").combine_chunks()
+        size = np.asarray(vectors.value_lengths())
+        width = int(np.bincount(size).argmax())
+        rows = np.flatnonzero(size == width)
+        x = np.stack([np.asarray(vectors[int(k)].values, float) for k in rows]) if width else np.zeros((len(rows), 1))
+        length = np.sqrt((x * x).sum(1))
+        keep = length > 0
+        return rows[keep], x[keep] / length[keep, None]
+
+    def block(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        kinds = {"source": l.schema.field("id").type, "target": r.schema.field("r_id").type, "score": pa.float64()}
+        out: dict[str, list] = {c: [] for c in kinds}
+        if l.num_rows and r.num_rows:
+            r = r.rename_columns([c.removeprefix("r_") for c in r.column_names]).sort_by("id")
+            (rows_l, x), (rows_r, y) = unit(l), unit(r)
+            ids_l, ids_r = l.column("id").to_pylist(), r.column("id").to_pylist()
+            seen_l, tokens_l, tokens_r = l.column("seen").to_pylist(), l.column("tokens").to_pylist(), [set(t) for t in r.column("tokens").to_pylist()]
+            if len(rows_l) and len(rows_r) and x.shape[1] == y.shape[1]:
+                scores = np.round(x @ y.T, 6)
+                for k, row in zip(rows_l.tolist(), scores):
+                    likely = np.flatnonzero(row >= least)
+                    found = 0
+                    for m in likely[np.argsort(-row[likely], kind="stable")].tolist():
+                        other = int(rows_r[m])
+                        if ids_r[other] == ids_l[k] or ids_r[other] in (seen_l[k] or ()) or (by_tokens and tokens_r[other].isdisjoint(tokens_l[k])):
+                            continue
+                        for c, v in zip(out, (ids_l[k], ids_r[other], float(row[m]))):
+                            out[c].append(v)
+                        if (found := found + 1) == top:
+                            break
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    pairs = a.groupBy("key", "i", "j").cogroup(b.groupBy("r_key", "r_i", "r_j")).applyInArrow(block, f"source {kind(left)}, target {kind(right)}, score double")
     best = Window.partitionBy("source").orderBy(F.desc("score"), "target")
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("source", "target", "score")
 

@@ -35,11 +35,13 @@ def merge_sources(manifest: DataFrame, bib: DataFrame) -> DataFrame:
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         c = g[g.m_id.notna()].sort_values("m_id")
         free_from = {i: (None if pd.isna(s) else int(s)) for i, s in zip(c.m_id, c.since)}
-        used, out = set(), []
+        # a row that is used or taken once never comes back, so one pass over them is enough
+        ids, at, out = c.m_id.tolist(), 0, []
         for pos in sorted(int(p) for p in g.pos.dropna()):
-            pick = next((i for i in c.m_id if i not in used and not (free_from[i] is not None and free_from[i] < pos)), c.m_id.iloc[0])
-            used.add(pick)
-            out.append((pos, pick))
+            while at < len(ids) and free_from[ids[at]] is not None and free_from[ids[at]] < pos:
+                at += 1
+            out.append((pos, ids[at] if at < len(ids) else ids[0]))
+            at += 1
         return pd.DataFrame(out, columns=["pos", "m_id"])
 
     chosen = rows.unionByName(cands).groupBy("key").applyInPandas(choose, "pos long, m_id string")
