@@ -98,3 +98,43 @@ def one_integration_each(benchmarks: DataFrame, integrations: DataFrame) -> Data
     j = benchmarks.select("benchmark_id", F.lit(1).alias("known")).join(n, "benchmark_id", "full")
     violation = F.when(F.col("known").isNull(), "unknown_benchmark").when(F.col("n").isNull(), "no_integration").when(F.col("n") > 1, "several_integrations")
     return j.select(violation.alias("violation"), F.col("benchmark_id").alias("key"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).where("violation is not null")
+
+
+def _blank(rows: DataFrame, column: str, key: Column, may_be_null: bool = False) -> DataFrame:
+    empty = F.trim(F.col(column)) == ""
+    return rows.where(empty if may_be_null else empty | F.col(column).isNull()).select(F.lit(f"blank_{column}").alias("violation"), key.cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+
+
+def result_violations(runs: DataFrame, scores: DataFrame, benchmarks: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``violation, key, n`` of runs (run_id, benchmark_id, status, summary) and scores (run_id, benchmark_id, metric, unit).
+
+    Run ids are unique, benchmarks known, status and summary filled; a score's
+    metric is one of its benchmark's (benchmark_id, metric), stands once in a
+    run and has a unit.
+    """
+    run, score = F.col("run_id"), F.concat_ws(":", "run_id", "metric")
+    known = scores.join(benchmarks.select("benchmark_id").distinct(), "benchmark_id", "left_semi")
+    strange = known.join(metrics.select("benchmark_id", "metric").distinct(), ["benchmark_id", "metric"], "left_anti")
+    return (
+        duplicate_keys(runs, ["run_id"], "run")
+        .unionByName(missing_references(runs, "benchmark_id", benchmarks, "benchmark_id", "benchmark"))
+        .unionByName(_blank(runs, "status", run))
+        .unionByName(_blank(runs, "summary", run))
+        .unionByName(strange.select(F.lit("unknown_metric").alias("violation"), score.alias("key")).groupBy("violation", "key").agg(F.count(F.lit(1)).alias("n")))
+        .unionByName(duplicate_keys(scores, ["run_id", "metric"], "metric"))
+        .unionByName(_blank(scores, "unit", score))
+    )
+
+
+def plan_violations(plan: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """``violation, key, n`` of requested runs (run_id, benchmark_id, command, workdir, env): benchmarks known, run ids filled and unique, commands filled, no blank folder (null: none), no blank name or value in the environment."""
+    run = F.col("run_id")
+    env = plan.select("run_id", F.explode("env").alias("name", "value")).where((F.trim("name") == "") | F.col("value").isNull() | (F.trim("value") == ""))
+    return (
+        missing_references(plan, "benchmark_id", benchmarks, "benchmark_id", "benchmark")
+        .unionByName(_blank(plan, "run_id", F.col("benchmark_id")))
+        .unionByName(duplicate_keys(plan.where("trim(run_id) <> ''"), ["run_id"], "run"))
+        .unionByName(_blank(plan, "command", run))
+        .unionByName(_blank(plan, "workdir", run, may_be_null=True))
+        .unionByName(env.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("blank_env").alias("violation"), F.col("run_id").cast("string").alias("key"), "n"))
+    )

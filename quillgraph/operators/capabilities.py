@@ -45,3 +45,41 @@ def missing_tools(required: DataFrame, available: list[str]) -> DataFrame:
     """Required tools (id, tools) less those there are."""
     have = F.array(*map(F.lit, available)) if available else F.array().cast("array<string>")
     return required.select("id", F.array_sort(F.array_except("tools", have)).alias("missing")).where(F.size("missing") > 0)
+
+
+def part_states(found: DataFrame) -> DataFrame:
+    """``part, state`` from one row that says what is there.
+
+    It has records, local_tex, local_pdf, expected_pdfs, parsed, enriched
+    (counts) and manifest, bib, registry, download_pdfs, docs_configured,
+    docs_generated, graph_configured, graph_generated, service_configured,
+    service_key, memory_configured, memory_present (truth values).
+    """
+    c = F.col
+    states = {
+        "literature_registry": F.when(c("registry"), "generated").when(c("manifest") & c("bib"), "ready").otherwise("missing"),
+        "downloads": F.when(c("records") == 0, "missing").when((c("local_tex") == c("records")) & (~c("download_pdfs") | (c("local_pdf") == c("expected_pdfs"))), "ready").otherwise("configured"),
+        "parsing": F.when(c("parsed") > 0, "generated").when(c("local_tex") > 0, "configured").otherwise("missing"),
+        "docs": F.when(c("docs_generated"), "generated").when(c("docs_configured"), "configured").otherwise("unavailable"),
+        "graph": F.when(c("graph_generated"), "generated").when(c("graph_configured"), "configured").otherwise("unavailable"),
+        "viewer": F.when(c("graph_generated"), "ready").otherwise("missing"),
+        "metadata_service": F.when(~c("service_configured"), "unavailable").when(c("enriched") > 0, "generated").when(c("service_key"), "ready").otherwise("configured"),
+        "project_memory": F.when(c("memory_present"), "ready").when(c("memory_configured"), "configured").otherwise("unavailable"),
+    }
+    return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("state")) for k, v in states.items()])).alias("x")).select("x.*")
+
+
+def benchmark_readiness(support: DataFrame, catalog_present: bool, integrations_present: bool) -> DataFrame:
+    """One row from support entries (missing_binaries, missing_env_vars): ``state, support_entries, ready_entries, missing_binaries, missing_env_vars``, the last two sorted and joined."""
+    ready = (F.size("missing_binaries") == 0) & (F.size("missing_env_vars") == 0)
+    every = lambda column: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))), ",").alias(column)
+    found = support.agg(F.count(F.lit(1)).alias("support_entries"), F.count_if(ready).alias("ready_entries"), every("missing_binaries"), every("missing_env_vars"))
+    state = F.lit("missing") if not catalog_present else F.lit("configured") if not integrations_present else F.when(F.col("ready_entries") > 0, "ready").otherwise("generated")
+    return found.select(state.alias("state"), *found.columns)
+
+
+def source_descriptors(sources: DataFrame) -> DataFrame:
+    """``name, kind, state, recommendation, repair_command`` of configured sources (name, kind, configured, present, fresh, repair_command)."""
+    state = F.when(~F.col("configured"), "unavailable").when(~F.col("present"), "missing").when(F.col("fresh"), "ready").otherwise("stale")
+    s = sources.withColumn("state", state)
+    return s.select("name", "kind", "state", recommendation(F.col("state")).alias("recommendation"), F.when(F.col("state").isin("missing", "stale"), F.col("repair_command")).alias("repair_command"))

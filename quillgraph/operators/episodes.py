@@ -21,9 +21,14 @@ EDGE_ALIASES = {
 ENTITY_ALIASES = {"name": ("name", "entity_value", "entity_name", "entity", "subject"), "entity_type_id": ("entity_type_id", "type_id")}
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def without_chunks(body: Column) -> Column:
     """Text without executable fences (those that open with a brace)."""
-    return F.trim(F.regexp_replace(body, r"(?ms)^[ \t]*(```|~~~)\{.*?(^[ \t]*\1[^\n]*$\n?|\z)", ""))
+    return _stripped(F.regexp_replace(body, r"(?ms)^[ \t]*(```|~~~)\{.*?(^[ \t]*\1[^\n]*$\n?|\z)", ""))
 
 
 def episodes(files: DataFrame, limit: int = EPISODE_CHARS) -> DataFrame:
@@ -40,7 +45,7 @@ def episodes(files: DataFrame, limit: int = EPISODE_CHARS) -> DataFrame:
     title = F.coalesce(F.nullif(named, F.lit("")), F.nullif(heading, F.lit("")), stem)
     kind = F.regexp_extract("path", r"[^/.][^/]*\.([^./]+)$", 1)
     body = F.concat(F.lit("Source Path: "), "path", F.lit("\nDocument Title: "), title, F.lit("\nDocument Kind: "), F.when(kind == "", "markdown").otherwise(kind), F.lit("\n\n"), "_body")
-    return f.select("path", title.alias("title"), F.trim(body).alias("body"), F.col("mtime").alias("reference_time"))
+    return f.select("path", title.alias("title"), _stripped(body).alias("body"), F.col("mtime").alias("reference_time"))
 
 
 def code_text(labels: Column, props: Column) -> Column:

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, text
+from .episodes import line_hit_score
+
+# Line hits of a file, bytes of a file that is searched, folders that aren't, characters of a hit's line.
+HITS, FILE_BYTES, UNSEARCHED, LINE_CHARS = 5, 2 << 20, (".git/", "target/", ".venv/", ".data/"), 240
+# What starts a definition, and what it defines; symbols that are looked at, taken in any case, and returned.
+DEFINITIONS = (("pub struct ", "struct"), ("struct ", "struct"), ("pub enum ", "enum"), ("enum ", "enum"), ("pub fn ", "function"), ("fn ", "function"), ("class ", "class"), ("def ", "function"))
+LOOKED_AT, IN_ANY_CASE, RETURNED = 24, 3, 12
 
 
 def search_documents(docs: DataFrame, query: str, scalars: dict[str, str], lists: dict[str, str], limit: int = 20, id_col: str = "doc_id") -> DataFrame:
@@ -63,3 +70,49 @@ def best_nodes_for_lines(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     span = F.coalesce(F.col("line_end") - F.col("line_start"), F.lit(2**62))
     best = F.min_by(F.struct("id", "title"), F.struct(F.when(inside, 0).otherwise(1), span, "title", "id")).alias("node")
     return j.groupBy("hit_path", "line").agg(best).select(F.col("hit_path").alias("path"), "line", F.col("node.id").alias("id"), F.col("node.title").alias("title"))
+
+
+def text_hits(files: DataFrame, pattern: str, nodes: DataFrame, per_file: int = HITS, most_bytes: int = FILE_BYTES) -> DataFrame:
+    """``path, line, snippet, id, title, score``: the first lines of each file (path, text) that a regular expression matches, with the node each belongs to.
+
+    Larger files, and those in folders of tools, aren't searched; a line whose
+    path has no node is no hit.  Lines are looked for within the scan; only
+    hits leave it.
+    """
+    f = files.withColumn("path", text.plain_path("path")).where(F.octet_length("text") <= most_bytes)
+    for folder in UNSEARCHED:
+        f = f.where(~F.startswith("path", F.lit(folder)))
+    lines = F.split("text", "\n")
+    f = f.select("path", lines.alias("lines"))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.regexp_like(F.element_at("lines", i), F.lit(pattern)))
+    hits = f.select("path", "lines", F.explode(F.slice(at, 1, per_file)).alias("line"))
+    hits = hits.select("path", F.col("line").cast("long").alias("line"), text.clip_ellipsis(F.trim(F.element_at("lines", F.col("line"))), LINE_CHARS).alias("snippet"))
+    best = best_nodes_for_lines(hits.select("path", "line"), nodes).where("id is not null")
+    score = line_hit_score(F.col("title"), F.col("id").cast("string"), pattern).cast("long")
+    return hits.join(best, ["path", "line"]).select("path", "line", "snippet", "id", "title", score.alias("score"))
+
+
+def symbol_lines(files: DataFrame, terms: list[str]) -> DataFrame:
+    """``name, kind, path, reason``: definitions in Rust and Python files (path, text) whose path or name has a term, and the first three in any case.
+
+    Files go by path and lines as they stand; of the first 24 so taken, twelve
+    by path and name.  Each part is a sorted limit, so no order of all
+    definitions is made.
+    """
+    f = files.where(F.regexp_like("path", F.lit("[.](rs|py)$"))).select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    start, kind, name = F.ltrim("raw"), F.lit(None).cast("string"), F.lit("")
+    for prefix, what in reversed(DEFINITIONS):
+        here = F.startswith(start, F.lit(prefix))
+        kind = F.when(here, what).otherwise(kind)
+        name = F.when(here, F.regexp_extract(F.substring(start, F.lit(len(prefix) + 1), F.length(start)), "^[A-Za-z0-9_]*", 0)).otherwise(name)
+    s = f.select("path", "line", kind.alias("kind"), name.alias("name")).where("kind is not null and name <> ''")
+    hay = text.ascii_lower(F.concat_ws(" ", "path", "name"))
+    matched = F.lit(False)
+    for t in terms:
+        matched = matched | F.contains(hay, F.lit(t))
+    s = s.withColumn("matched", matched)
+    place = ["path", "line", "name"]
+    first = s.orderBy(*place).limit(IN_ANY_CASE)
+    taken = first.unionByName(s.where("matched").orderBy(*place).limit(LOOKED_AT)).distinct().orderBy(*place).limit(LOOKED_AT)
+    reason = F.when(F.col("matched"), "matched task terms").otherwise("profile entrypoint")
+    return taken.select("name", "kind", "path", reason.alias("reason")).orderBy("path", "name").limit(RETURNED)

@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+# Properties that a node is searched by, and how many characters of the long ones.
+SEARCHED = (
+    "title", "name", "label", "paper_id", "citation_key", "qualified_name", "signature", "doc_summary", "summary", "definition_short", "definition_long",
+    "source_path", "repo_path", "file", "module", "text", "content", "aliases", "kg_tags",
+)
+SEARCHED_CHARS = 1200
+# Labels of a document's and of its sections' nodes by kind.
+DOCUMENT_LABELS = {"literature": ("Paper", "PaperSection"), "documentation": ("Document", "DocSection"), "transcript": ("Transcript", "TranscriptSection"), "research_note": ("ResearchNote", "ResearchNoteSection")}
+
+
+def document_label(kind: Column | str, section: bool = False) -> Column:
+    """Label of the node of a document of some kind, or of its sections'."""
+    kind, out = text.col(kind), F.lit(None).cast("string")
+    for name, labels in DOCUMENT_LABELS.items():
+        out = F.when(kind == name, labels[section]).otherwise(out)
+    return out
+
 
 def bundle(papers: DataFrame, notebooks: DataFrame, inferred: DataFrame | None = None) -> dict[str, DataFrame]:
     """Six tables from papers (paper_id, title, abstract, sections, figures, tables, citations) and notebooks (notebook_id, paper_id, cells).
@@ -43,6 +60,53 @@ def graph_of(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paper.unionByName(section).unionByName(cite), edges
 
 
+def _json(*columns: Column | str) -> Column:
+    """Properties as JSON, nulls written out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("properties")
+
+
+def _named(*parts: Column | str) -> Column:
+    return F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def code_graph(code: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the tables of read_code(): files, modules and symbols; containment, resolved imports and calls."""
+    labels = lambda name: F.array(F.lit(name)).alias("labels")
+    s, source = code["symbols"], F.lit("python_ast").alias("source")
+    files = code["files"].select(_named("code_file", F.col("path")).alias("id"), labels("CodeFile"), _json(F.col("path").alias("repo_path"), F.col("lines").alias("line_count"), source))
+    modules = s.select("module", "path").distinct()
+    modules = modules.select(_named("code_module", F.col("module")).alias("id"), labels("CodeModule"), _json(F.col("module").alias("name"), F.col("path").alias("repo_path"), source))
+    own = ("qualified_name", "name", F.col("kind").alias("symbol_kind"), "module", F.col("path").alias("repo_path"), "line_start", "line_end", "signature", "doc_summary", source)
+    symbols = s.select(_named("code_symbol", F.col("qualified_name")).alias("id"), labels("CodeSymbol"), _json(*own))
+    symbol = lambda c: F.when(F.col(c).isNotNull(), _named("code_symbol", F.col(c)))
+    parent = F.when(F.col("parent") == F.col("module"), _named("code_module", F.col("module"))).otherwise(symbol("parent"))
+    held = s.select(parent.alias("source"), F.lit("CONTAINS").alias("rel_type"), symbol("qualified_name").alias("target"))
+    files_hold = s.select("module", "path").distinct().select(_named("code_file", F.col("path")).alias("source"), F.lit("CONTAINS").alias("rel_type"), _named("code_module", F.col("module")).alias("target"))
+    used = code["imports"].select(_named("code_module", F.col("module")).alias("source"), F.lit("IMPORTS").alias("rel_type"), F.coalesce(symbol("resolved"), _named("code_reference", F.col("target"))).alias("target"))
+    called = code["calls"].where("resolved is not null").select(F.when(F.col("caller") == F.col("module"), _named("code_module", F.col("module"))).otherwise(symbol("caller")).alias("source"), F.lit("CALLS").alias("rel_type"), symbol("resolved").alias("target"))
+    outside = used.where(F.startswith("target", F.lit("code_reference:"))).select(F.col("target").alias("id")).distinct().select("id", labels("CodeReference"), _json(F.substring_index("id", ":", -1).alias("name")))
+    return files.unionByName(modules).unionByName(symbols).unionByName(outside), held.unionByName(files_hold).unionByName(used).unionByName(called).distinct()
+
+
+def memory_graph(nodes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of memory nodes (node_id, kind, title, text) and their relations (source, target, relation, target_kind, evidence); a target that is no paper is a surface."""
+    own = nodes.select(F.col("node_id").alias("id"), F.array(F.lit("ProjectMemory")).alias("labels"), _json("kind", "title", "text"))
+    label = F.when(F.col("target_kind") == "paper_surface", "PaperSurface").when(F.col("target_kind") == "doc_surface", "DocSurface").otherwise("RepoSurface")
+    surfaces = relations.where("target_kind <> 'paper'").select(F.col("target").alias("id"), "target_kind").distinct()
+    surfaces = surfaces.select("id", F.array(label).alias("labels"), _json(F.col("target_kind").alias("surface_kind"), F.substring_index("id", ":", -1).alias("name")))
+    edges = relations.select("source", F.col("relation").alias("rel_type"), "target")
+    return own.unionByName(surfaces), edges
+
+
+def backlog_graph(rows: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of backlog rows (kind, id, title, status, priority, summary) and of what they refer to, and the edges of backlog_edges()."""
+    label = F.when(F.col("kind") == "issue", "AgentBacklogIssue").otherwise("AgentBacklogTodo")
+    own = rows.select(_named("backlog", F.col("kind"), F.col("id")).alias("id"), F.array(label).alias("labels"), _json("title", "status", "priority", "summary"))
+    refs = edges.where("rel_type = 'REFERENCES'").select(F.col("target").alias("id")).distinct()
+    refs = refs.select("id", F.array(F.lit("BacklogReference")).alias("labels"), _json(F.substring_index("id", ":", -1).alias("name")))
+    return own.unionByName(refs), edges
+
+
 def node_view(nodes: DataFrame) -> DataFrame:
     """Search rows of nodes (id, labels, properties JSON): ``id, kind, title, subtitle, description, path, search_text``."""
     n = nodes.withColumn("p", text.string_map("properties")).withColumn("kind", F.coalesce(F.get("labels", F.lit(0)), F.lit("")))
@@ -67,7 +131,7 @@ def node_view(nodes: DataFrame) -> DataFrame:
     )
     description = text.clip_ellipsis(F.trim(F.coalesce(*[text.blank_to_null(g(k)) for k in ("doc_summary", "summary", "definition_short", "definition_long", "text", "abstract", "content")], F.lit(""))), 700)
     path = F.trim(F.coalesce(*[text.blank_to_null(g(k)) for k in ("repo_path", "source_path", "file", "path")]))
-    rest = F.array_join(F.transform(F.map_entries("p"), lambda e: F.when(e.key.isin("content", "text"), F.left(e.value, F.lit(1200))).otherwise(e.value)), " ")
+    rest = F.concat_ws(" ", *[text.clip_ellipsis(g(k), SEARCHED_CHARS) if k in ("content", "text") else g(k) for k in SEARCHED])
     title = F.coalesce(filled(by_kind), F.col("id"))
-    search = F.lower(F.concat_ws(" ", "id", "kind", F.array_join("labels", " "), description, rest))
+    search = F.lower(F.concat_ws(" ", "id", "kind", F.array_join("labels", " "), description, F.nullif(rest, F.lit(""))))
     return n.select("id", "labels", F.col("p").alias("properties"), "kind", title.alias("title"), F.coalesce(subtitle, F.lit("")).alias("subtitle"), description.alias("description"), path.alias("path"), search.alias("search_text"))

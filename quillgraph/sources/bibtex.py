@@ -66,8 +66,8 @@ def entries(body: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         at = j + 1
 
 
-def read_bibtex(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """Entries of all ``.bib`` files under ``path``; with ``lenient`` a file that can't be read gives none."""
+def entries_of(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """Entries of files (path, text), numbered; with ``lenient`` a file that can't be read gives none."""
 
     def parse(name: str, body: str) -> Iterator[tuple]:
         try:
@@ -78,4 +78,9 @@ def read_bibtex(spark: SparkSession, path: str, lenient: bool = False) -> DataFr
             found = []
         yield from ((name, k, *e) for k, e in enumerate(found))
 
-    return parsed(whole_texts(spark, path, "*.bib"), parse, schemas.BIB)
+    return parsed(files, parse, schemas.BIB)
+
+
+def read_bibtex(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """Entries of all ``.bib`` files under ``path``."""
+    return entries_of(whole_texts(spark, path, "*.bib"), lenient)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tarfile
 import tomllib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -52,14 +55,18 @@ def _struct(schema: str):
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest lines with derived addresses; a bad line is an error, blank lines are skipped."""
-    m = spark.read.schema(schemas.MANIFEST).option("mode", "FAILFAST").json(path)
+def manifest_urls(m: DataFrame) -> DataFrame:
+    """Manifest rows with the addresses that they lack, derived from their arXiv ids."""
     source = F.coalesce("source_url", F.concat(F.lit("https://arxiv.org/e-print/"), "arxiv_id"))
     pdf = F.coalesce("pdf_url", F.when(F.col("pdf_file").isNotNull(), F.concat(F.lit("https://arxiv.org/pdf/"), "arxiv_id", F.lit(".pdf"))))
     return m.withColumn("source_url", source).withColumn("pdf_url", pdf)
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest lines with derived addresses; a bad line is an error, blank lines are skipped."""
+    return manifest_urls(spark.read.schema(schemas.MANIFEST).option("mode", "FAILFAST").json(path))
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REGISTRY).json(path)
 
@@ -88,6 +95,19 @@ def backlog(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, id string, title string, status string, priority string, summary string, references array<string>, issue_ids array<string>")
 
 
+def run_plan(spark: SparkSession, path: str) -> DataFrame:
+    """Requested runs of a run-plan TOML."""
+    rows = [(str(r.get("run_id", "")), str(r.get("benchmark_id", "")), str(r.get("command", "")), r.get("workdir"), {str(k): str(v) for k, v in r.get("env", {}).items()}) for r in toml(spark, path).get("runs", [])]
+    return spark.createDataFrame(rows, "run_id string, benchmark_id string, command string, workdir string, env map<string,string>")
+
+
+def integrations(spark: SparkSession, path: str) -> DataFrame:
+    """Integrations of a TOML with the tools and environment variables that they need."""
+    listed = lambda r, k: [str(x) for x in r.get(k, [])]
+    rows = [(str(r.get("benchmark_id", "")), listed(r, "required_binaries"), listed(r, "required_env_vars")) for r in toml(spark, path).get("integrations", [])]
+    return spark.createDataFrame(rows, "benchmark_id string, tools array<string>, env_vars array<string>")
+
+
 def catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A benchmark catalog: benchmarks, metrics, components and targets as tables of (id, title, body)."""
     d = toml(spark, path)
@@ -106,6 +126,36 @@ def safe_member(path: Column | str) -> Column:
     return (p != "") & ~F.startswith(p, F.lit("/")) & ~F.array_contains(F.split(p, "/"), "..")
 
 
+def unpacked(archive: bytes, folder: str, overwrite: bool = False) -> list[str]:
+    """Unpack a tar archive, plain or compressed, into ``folder``: the members that were written; one that would leave the folder is an error, files that are there stay unless ``overwrite``."""
+    out = []
+    with tarfile.open(fileobj=io.BytesIO(archive), mode="r:*") as tar:
+        for m in tar.getmembers():
+            parts = m.name.replace("\\", "/").split("/")
+            if m.name.startswith("/") or ".." in parts or m.issym() or m.islnk():
+                raise ValueError(f"unsafe member {m.name!r}")
+            place = Path(folder, *[p for p in parts if p not in ("", ".")])
+            if m.isfile() and (overwrite or not place.exists()):
+                place.parent.mkdir(parents=True, exist_ok=True)
+                place.write_bytes(tar.extractfile(m).read())
+                out.append(str(place))
+    return out
+
+
+def graph_records(nodes: DataFrame, labels: list[str], group: str | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """Nodes (id, labels, properties JSON) of some label, of a group and below path prefixes, by id; adds ``kind``, the first of the wanted labels, and ``props``."""
+    n = nodes.withColumn("props", text.string_map("properties")).where(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
+    if group is not None:
+        n = n.where(F.col("props")["group_id"] == group)
+    if prefixes:
+        below = F.lit(False)
+        for p in prefixes:
+            for c in ("path", "relative_path"):
+                below = below | F.coalesce(F.startswith(F.col("props")[c], F.lit(p)), F.lit(False))
+        n = n.where(below)
+    return n.withColumn("kind", F.get(F.filter("labels", lambda x: x.isin(labels)), F.lit(0))).orderBy("id")
+
+
 def request_key(method: Column, url: Column, body: Column) -> Column:
     """Key of a request in a table of cached answers."""
     return F.sha2(F.concat_ws("\n", method, url, F.coalesce(body, F.lit(""))), 256)

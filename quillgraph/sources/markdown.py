@@ -113,7 +113,7 @@ def reference_candidates(nodes: DataFrame) -> DataFrame:
 
 def contract_sections(path: str, body: str) -> Iterator[tuple]:
     """(path, title, summary, first line, last line) of ``##`` sections; the summary is the first line that is no bullet and no directive."""
-    lines = body.split("\n")
+    lines = body.removesuffix("\n").split("\n")
     starts = [k for k, x in enumerate(lines) if x.startswith("## ")]
     for a, b in zip(starts, starts[1:] + [len(lines)]):
         summary = next((x.strip() for x in lines[a + 1 : b] if x.strip() and not x.strip().startswith(("-", "*", ":"))), "")

@@ -92,7 +92,11 @@ def calls(path: str, body: str) -> Iterator[tuple]:
 
 def read_code(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``files, symbols, imports, calls, containment`` of the Python files under ``path``; a file that can't be parsed is an error."""
-    files = whole_texts(spark, path, "*.py").withColumn("path", relative_to(F.col("path"), path))
+    return code_tables(whole_texts(spark, path, "*.py").withColumn("path", relative_to(F.col("path"), path)))
+
+
+def code_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """As read_code(), of files (path, text)."""
     s = parsed(files, symbols, schemas.SYMBOL)
     lines = files.select("path", text.line_count("text").cast("long").alias("lines"))
     containment = s.select(F.col("parent").alias("source"), F.col("qualified_name").alias("target")).dropDuplicates()

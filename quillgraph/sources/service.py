@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import SERVICE_PAPER
@@ -65,3 +65,60 @@ def fetch(requests: DataFrame, transport: Transport, pause: float = PAUSE) -> Da
 
     raw = requests.where("external_id is not null").select("pos", "external_id").mapInPandas(run, "pos long, body string")
     return raw.select("pos", F.from_json("body", SERVICE_PAPER).alias("service"))
+
+
+#: One page of a search: (query, token of the page or None) to (status, headers, body of {"data": [...], "token": ...}).
+Pages = Callable[[str, str | None], tuple[int, dict[str, str], str]]
+
+
+def pages(transport: Pages, query: str, limit: int, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
+    """Papers of a bulk search, page by page as long as the service gives a token, ``limit`` at most."""
+    token, left = None, limit
+    while left > 0:
+        found = request(lambda _: transport(query, token), [], sleep)
+        for paper in found.get("data", [])[:left]:
+            left -= 1
+            yield paper
+        token = found.get("token")
+        if not token or not found.get("data"):
+            return
+
+
+def bulk_search(spark: SparkSession, transport: Pages, queries: list[str], limit: int, pause: float = PAUSE) -> DataFrame:
+    """``query, pos, service``: the first ``limit`` papers of each search; a search is asked page by page in one task."""
+    wanted = spark.createDataFrame([(q,) for q in queries], "query string")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def paced(query: str, token: str | None) -> tuple[int, dict[str, str], str]:
+            time.sleep(pause if token else 0.0)
+            return transport(query, token)
+
+        for part in parts:
+            for q in part["query"]:
+                rows = [(q, k, json.dumps(plain_paper(p))) for k, p in enumerate(pages(paced, q, limit))]
+                yield pd.DataFrame(rows, columns=["query", "pos", "body"])
+
+    raw = wanted.repartition(max(1, len(queries)), "query").mapInPandas(run, "query string, pos long, body string")
+    return raw.select("query", "pos", F.from_json("body", SERVICE_PAPER).alias("service"))
+
+
+#: Texts of one request to an embedding service.
+EMBEDDED = 32
+
+#: (texts) to vectors, in their order.
+Embed = Callable[[list[str]], list[list[float]]]
+
+
+def embeddings(rows: DataFrame, embed: Embed, dim: int) -> DataFrame:
+    """``id, vec`` of rows (id, text), EMBEDDED texts a request; an answer of another number or length of vectors is an error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for lo in range(0, len(part), EMBEDDED):
+                some = part.iloc[lo : lo + EMBEDDED]
+                found = embed(some["text"].fillna("").tolist())
+                if len(found) != len(some) or any(len(v) != dim for v in found):
+                    raise ValueError(f"the service gave {len(found)} vectors of lengths {sorted({len(v) for v in found})} for {len(some)} texts of dimension {dim}")
+                yield pd.DataFrame({"id": some["id"], "vec": found})
+
+    return rows.select("id", "text").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<float>")

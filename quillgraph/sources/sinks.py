@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -53,3 +56,46 @@ def corpus_index(docs: DataFrame, id_col: str = "paper_id", title_col: str = "ti
 def deterministic_json(df: DataFrame) -> list[str]:
     """A small table as sorted JSON texts, for comparison."""
     return sorted(df.toJSON().collect())
+
+
+def toml_value(value: object) -> str:
+    """A text, number, truth value or list of them as TOML."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(toml_value, value)) + "]"
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, str) else repr(value)
+
+
+def results_toml(runs: list[dict]) -> str:
+    """Benchmark runs (run_id, benchmark_id, status, summary, scores of metric_id, value, unit) as a results file."""
+    parts = []
+    for run in runs:
+        parts.append("[[runs]]\n" + "".join(f"{k} = {toml_value(v)}\n" for k, v in run.items() if k != "scores" and v is not None))
+        parts += ["[[runs.scores]]\n" + "".join(f"{k} = {toml_value(v)}\n" for k, v in s.items() if v is not None) for s in run.get("scores", [])]
+    return "\n".join(parts)
+
+
+def write_results(runs: list[dict], df: DataFrame, path: str) -> None:
+    """A results file through Spark's file systems; ``df`` gives the session."""
+    df.sparkSession.createDataFrame([(results_toml(runs),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_graph(mode: str, docs: Callable[[], None], graph: Callable[[], None]) -> list[str]:
+    """Write what a sink mode asks for: ``docs``, ``graph`` or ``both``; gives what was written."""
+    wanted = {"docs": ["docs"], "graph": ["graph"], "both": ["docs", "graph"]}
+    if mode not in wanted:
+        raise ValueError(f"unknown sink {mode!r}; expected one of: {', '.join(wanted)}")
+    for name in wanted[mode]:
+        {"docs": docs, "graph": graph}[name]()
+    return wanted[mode]
+
+
+def structured(df: DataFrame, form: str, rows: int = 1000) -> str:
+    """The first rows of a result as ``json`` (a list of objects) or ``text`` (a table)."""
+    if form == "json":
+        return "[" + ",".join(df.limit(rows).toJSON().collect()) + "]"
+    if form == "text":
+        shown = df.limit(rows).collect()
+        return "\n".join([" | ".join(df.columns), *(" | ".join("" if v is None else str(v) for v in r) for r in shown)])
+    raise ValueError(f"unknown form {form!r}; expected json or text")

@@ -111,12 +111,16 @@ def paper(body: str) -> tuple:
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each folder under ``path`` that has a main TeX file; a paper's files meet in one task."""
+    """One row for each folder under ``path`` that has a main TeX file."""
     files = whole_texts(spark, path, "*.tex")
     root = F.lit("/" + path.split(":", 1)[-1].strip("/") + "/")
     bare = F.regexp_replace("path", "^[a-z]+:/*", "/")
     below = F.substring(bare, F.length(root) + 1, F.length(bare))
-    files = files.select(F.substring_index(below, "/", 1).alias("folder"), below.alias("path"), "text")
+    return papers_of(files.select(F.substring_index(below, "/", 1).alias("folder"), below.alias("path"), "text"))
+
+
+def papers_of(files: DataFrame) -> DataFrame:
+    """One row for each folder of files (folder, path, text) that has a main TeX file; a paper's files meet in one task."""
 
     def parse(g: pd.DataFrame) -> pd.DataFrame:
         names = ["path", "title", "abstract", "sections", "figures", "tables", "citations"]
