@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import bench, capabilities, context, enrich, graph, identity, layout, links, memory, qa, registry, search, stats, tabular
+from ..sources import markdown
 from ..streaming import pipelines
 from .hosts import ASCII_LOWER, EDGES_SQL, LINES_SQL, NODES_SQL, graph_edges, graph_nodes, papers, table
 from .registry import register
@@ -14,7 +15,7 @@ from .registry import register
 QUERY = "license"
 TERMS = ("license", "idiot", "secret")
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
-_TOKENS_SQL = f"""(SELECT doc_id AS id, t AS token FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array({ASCII_LOWER.format("left(coalesce(text, ''), 200)")}, '[^A-Za-z0-9]+'))) AS t FROM documents)
+_TOKENS_SQL = f"""(SELECT doc_id AS id, t AS token FROM (SELECT doc_id, unnest(list_distinct(regexp_split_to_array({ASCII_LOWER.format("coalesce(text, '')")}, '[^A-Za-z0-9]+'))) AS t FROM documents)
   WHERE length(t) >= 4 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({_STOP}))"""
 
 
@@ -46,14 +47,17 @@ def doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODE_TEXT = "lower(coalesce({0}, ''))"
 
 
+_TIERS = {"Brand#1*": 1.5, "*3": 1.2, "Brand#2*": 0.5}
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("path"), F.col("p_type").alias("description"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("search_text"), (F.col("p_partkey") % 90).alias("age_days"), F.when(F.col("p_partkey") % 7 == 0, 1.5).otherwise(1.0).alias("authority"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("path"), F.col("p_type").alias("description"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("search_text"), (F.col("p_partkey") % 90).alias("age_days"), ranking.authority("p_brand", _TIERS).alias("authority"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("path"), F.lit("").alias("description"), F.col("s_name").alias("search_text"), (F.col("s_suppkey") % 90).alias("age_days"), F.lit(1.0).alias("authority"))
     return p.unionByName(s)
 
 
 _NODE_QUERY = "brand steel"
-_NODES_SEARCH_SQL = """(SELECT 'part:' || p_partkey AS id, p_name AS title, p_brand AS path, p_type AS description, concat_ws(' ', p_name, p_brand, p_type) AS search_text, p_partkey % 90 AS age_days, CASE WHEN p_partkey % 7 = 0 THEN 1.5 ELSE 1.0 END AS authority FROM part
+_NODES_SEARCH_SQL = """(SELECT 'part:' || p_partkey AS id, p_name AS title, p_brand AS path, p_type AS description, concat_ws(' ', p_name, p_brand, p_type) AS search_text, p_partkey % 90 AS age_days, CASE WHEN p_brand LIKE 'Brand#1%' THEN 1.5 WHEN p_brand LIKE '%3' THEN 1.2 WHEN p_brand LIKE 'Brand#2%' THEN 0.5 ELSE 1.0 END AS authority FROM part
   UNION ALL SELECT 'supplier:' || s_suppkey, s_name, NULL, '', s_name, s_suppkey % 90, 1.0 FROM supplier)"""
 
 
@@ -117,8 +121,7 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("head", F.left(F.coalesce("text", F.lit("")), F.lit(200)))
-    return enrich.document_tokens(d, "head")
+    return enrich.document_tokens(table(spark, sf_dir, "documents"), "text")
 
 
 _PAIRS_SQL = f"""
@@ -141,9 +144,9 @@ def topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEY_SQL = "lower(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
 _TARGETS_SQL = f"""
-tg AS (SELECT doc_id AS id, unnest(['key', 'doi', 'arxiv', 'title']) AS level_, unnest([nullif({_KEY_SQL.format("left(text, 40)")}, ''), nullif(md5(left(text, 120)), ''), CAST(n_chars AS VARCHAR), nullif({_KEY_SQL.format("string_split(text, chr(10))[1]")}, '')]) AS value FROM documents),
+tg AS (SELECT doc_id AS id, unnest(['key', 'doi', 'arxiv', 'title']) AS level_, unnest([nullif({_KEY_SQL.format("text")}, ''), nullif(md5(text), ''), CAST(n_chars AS VARCHAR), nullif({_KEY_SQL.format("string_split(text, chr(10))[1]")}, '')]) AS value FROM documents),
 u AS (SELECT level_, value, min(id) AS target FROM tg WHERE value IS NOT NULL AND value <> '' GROUP BY 1, 2 HAVING min(id) = max(id)),
-ci AS (SELECT doc_id + 1 AS source, doc_id AS pos, unnest([1, 2, 3, 4]) AS rank_, unnest(['key', 'doi', 'arxiv', 'title']) AS level_, unnest([nullif({_KEY_SQL.format("left(text, 40)")}, ''), md5(left(text, 120)), CAST(n_chars AS VARCHAR), nullif({_KEY_SQL.format("string_split(text, chr(10))[1]")}, '')]) AS value FROM documents)"""
+ci AS (SELECT doc_id + 1 AS source, doc_id AS pos, unnest([1, 2, 3, 4]) AS rank_, unnest(['key', 'doi', 'arxiv', 'title']) AS level_, unnest([nullif({_KEY_SQL.format("text")}, ''), md5(text), CAST(n_chars AS VARCHAR), nullif({_KEY_SQL.format("string_split(text, chr(10))[1]")}, '')]) AS value FROM documents)"""
 
 
 @register(
@@ -154,7 +157,7 @@ SELECT source, target, arg_min(strategy, pos) AS strategy, min(pos) AS pos FROM
 def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     first = F.split("text", "\n")[0]
-    keys = {"key": F.nullif(text.letters_key(F.left("text", F.lit(40))), F.lit("")), "doi": F.md5(F.left("text", F.lit(120))), "arxiv": F.col("n_chars").cast("string"), "title": F.nullif(text.letters_key(first), F.lit(""))}
+    keys = {"key": F.nullif(text.letters_key("text"), F.lit("")), "doi": F.md5("text"), "arxiv": F.col("n_chars").cast("string"), "title": F.nullif(text.letters_key(first), F.lit(""))}
     cites = d.select((F.col("doc_id") + 1).alias("source"), F.col("doc_id").alias("pos"), *[v.alias(k) for k, v in keys.items()])
     targets = d.select(F.col("doc_id").alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("level"), v.alias("value")) for k, v in keys.items()])).alias("x")).select("id", "x.*")
     return enrich.resolve_citations(cites, targets)
@@ -162,7 +165,7 @@ def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "identity_components",
-    f"""WITH RECURSIVE c AS (SELECT doc_id AS idx, md5(text) AS doi, left({_KEY_SQL.format("text")}, 60) AS arxiv FROM documents),
+    f"""WITH RECURSIVE c AS (SELECT doc_id AS idx, md5(text) AS doi, {_KEY_SQL.format("text")} AS arxiv FROM documents),
 k AS (SELECT idx, unnest(['d' || doi, 'a' || nullif(arxiv, '')]) AS key FROM c), m AS (SELECT key, min(idx) AS b FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
 e AS (SELECT DISTINCT k.idx AS a, m.b FROM k JOIN m USING (key) WHERE k.idx <> m.b), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT idx AS a, idx AS b FROM c UNION SELECT r.a, both_.b FROM r JOIN both_ ON r.b = both_.a),
@@ -175,12 +178,12 @@ def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("idx"), F.md5("text").alias("doi"), F.nullif(F.left(text.letters_key("text"), F.lit(60)), F.lit("")).alias("arxiv"), F.lit(None).cast("string").alias("s2"))
+    return d.select(F.col("doc_id").alias("idx"), F.md5("text").alias("doi"), F.nullif(F.md5(text.letters_key("text")), F.md5(F.lit(""))).alias("arxiv"), F.lit(None).cast("string").alias("s2"))
 
 
 @register(
     "identity_conflicts",
-    f"""WITH RECURSIVE c AS (SELECT doc_id AS idx, md5(text) AS doi, left({_KEY_SQL.format("text")}, 60) AS arxiv, {_KEY_SQL.format("string_split(text, chr(10))[-1]")} AS title_key FROM documents),
+    f"""WITH RECURSIVE c AS (SELECT doc_id AS idx, md5(text) AS doi, {_KEY_SQL.format("text")} AS arxiv, {_KEY_SQL.format("string_split(text, chr(10))[-1]")} AS title_key FROM documents),
 k AS (SELECT idx, unnest(['d' || doi, 'a' || nullif(arxiv, '')]) AS key FROM c), m AS (SELECT key, min(idx) AS b FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
 e AS (SELECT DISTINCT k.idx AS a, m.b FROM k JOIN m USING (key) WHERE k.idx <> m.b), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT idx AS a, idx AS b FROM c UNION SELECT r.a, both_.b FROM r JOIN both_ ON r.b = both_.a), l AS (SELECT a AS idx, min(b) AS component FROM r GROUP BY a),
@@ -261,9 +264,12 @@ def _with_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.crossJoin(F.broadcast(n)).withColumn("_place", F.pmod("doc_id", "_items")).join(ranked, "_place").drop("_place", "_items")
 
 
+_ITEMS_SQL = "items AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark)"
+
+
 @register(
     "qa_scores",
-    """WITH a AS (SELECT b.item_id, d.doc_id, contains(trim(string_split(trim(d.text), chr(10))[1]), trim(string_split(trim(b.text), chr(10))[1])) AS ok FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)
+    f"""WITH {_ITEMS_SQL}, a AS (SELECT b.item_id, d.doc_id, contains(trim(string_split(trim(d.text), chr(10))[1]), trim(string_split(trim(b.text), chr(10))[1])) AS ok FROM documents d JOIN items b ON d.doc_id % b.n = b.place)
 SELECT item_id, count(*) AS questions, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS exact_match FROM a GROUP BY item_id""",
 )
 def qa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,9 +338,9 @@ def modality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy(ranking.modality("labels", "props").alias("modality")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("dangling_edges", "SELECT 'order:' || l_orderkey AS source, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1")
+@register("dangling_edges", "SELECT 'order:' || l_orderkey AS source, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source"))
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source"))
     known = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("source"))
     return e.join(known, "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
@@ -358,18 +364,29 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(graph_edges(spark, sf_dir), graph.union_nodes(graph_nodes(spark, sf_dir)), "order:1").select("id", "rel_type", "direction", "title")
 
 
+_SPAN = 5
+
+
 @register(
     "span_lookup",
-    f"""WITH h AS (SELECT CAST(doc_id % 20 AS VARCHAR) AS path, line_no AS line FROM {LINES_SQL} WHERE contains(lower(line), '{QUERY}') GROUP BY ALL),
-n AS (SELECT doc_id AS id, left(text, 20) AS title, CAST(doc_id % 20 AS VARCHAR) AS path, 1 AS a, len(string_split(text, chr(10))) AS b FROM documents WHERE doc_id % 3 = 0),
-j AS (SELECT h.path, line, id, title, row_number() OVER (PARTITION BY h.path, line ORDER BY CASE WHEN line BETWEEN a AND b THEN 0 ELSE 1 END, b - a, title, id) AS r FROM h LEFT JOIN n ON h.path = n.path)
-SELECT path, line, id, title FROM j WHERE r = 1""",
+    f"""WITH h AS (SELECT 'docs/' || doc_id || '.md' AS path, doc_id, line_no AS line FROM {LINES_SQL} WHERE contains(lower(line), '{QUERY}')),
+n AS (SELECT DISTINCT doc_id, (line_no - 1) // {_SPAN} AS k FROM {LINES_SQL}),
+c AS (SELECT doc_id, max(line_no) AS lines FROM {LINES_SQL} GROUP BY doc_id)
+SELECT path, line, CASE WHEN lines <= {_SPAN} THEN 'file:' || doc_id ELSE 'span:' || doc_id || ':' || k END AS id, CASE WHEN lines <= {_SPAN} THEN 'file' ELSE 'part ' || k END AS title
+FROM h JOIN n USING (doc_id) JOIN c USING (doc_id) WHERE (line - 1) // {_SPAN} = k""",
 )
 def span_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line that has the query, and the narrowest node of its file: files have a node, and so have every five lines."""
     d = table(spark, sf_dir, "documents")
-    hits = stats.lines_of(d).where(F.contains(F.lower("line"), F.lit(QUERY))).select((F.col("doc_id") % 20).cast("string").alias("path"), F.col("line_no").alias("line")).distinct()
-    nodes = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("title"), (F.col("doc_id") % 20).cast("string").alias("path"), F.lit(1).cast("long").alias("line_start"), F.size(F.split("text", "\n")).cast("long").alias("line_end"))
-    return search.best_nodes_for_lines(hits, nodes)
+    path, n = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")), F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    hits = stats.lines_of(d).where(F.contains(F.lower("line"), F.lit(QUERY))).select(path.alias("path"), F.col("line_no").alias("line"))
+    whole = d.select(F.concat(F.lit("file:"), F.col("doc_id").cast("string")).alias("id"), F.lit("file").alias("title"), path.alias("path"), F.lit(1).cast("long").alias("line_start"), n.cast("long").alias("line_end"))
+    k = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / _SPAN).cast("int"))).alias("k")
+    spans = d.select("doc_id", path.alias("path"), n.alias("n"), k).select(
+        F.concat(F.lit("span:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("part "), F.col("k").cast("string")).alias("title"), "path",
+        (F.col("k") * _SPAN + 1).cast("long").alias("line_start"), F.least(F.col("n"), F.col("k") * _SPAN + _SPAN).cast("long").alias("line_end"),
+    )
+    return search.best_nodes_for_lines(hits, whole.unionByName(spans))
 
 
 @register(
@@ -413,22 +430,34 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.named_once(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id")))
 
 
-@register("relation_evidence", "SELECT source, lang, string_agg(DISTINCT left(text, 12), '|' ORDER BY left(text, 12)) AS evidence FROM documents WHERE doc_id % 5 = 0 GROUP BY source, lang")
+@register(
+    "relation_evidence",
+    """WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9:_-]+)', 1))) AS raw, true AS is_key FROM documents
+  UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b(\\d{4}\\.\\d{4,5}(?:v\\d+)?)\\b', 1))), false FROM documents),
+p AS (SELECT min(s_suppkey) AS k, 'example' || (s_suppkey % 7) AS citation_key FROM supplier GROUP BY 2),
+r AS (SELECT doc_id, CASE WHEN is_key THEN '@' || raw ELSE raw END AS shown, CASE WHEN k IS NOT NULL THEN 'paper:s' || k ELSE 'paper_surface:ref:' || CASE WHEN is_key THEN '@' || raw ELSE raw END END AS target, k IS NOT NULL AS is_paper FROM c LEFT JOIN p ON is_key AND raw = citation_key)
+SELECT 'doc:' || doc_id AS source, target, 'RELATES_TO' AS relation, CASE WHEN is_paper THEN 'paper' ELSE 'paper_surface' END AS target_kind, string_agg(DISTINCT shown, '|' ORDER BY shown) AS evidence FROM r GROUP BY ALL""".replace("\\\\", "\\"),
+)
 def relation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 = 0")
-    return d.groupBy("source", "lang").agg(F.array_join(F.array_sort(F.collect_set(F.left("text", F.lit(12)))), "|").alias("evidence"))
+    """Relations of all documents as notes, with what their whole texts refer to (the tables' texts have no links and code spans)."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node_id"), "text")
+    found = markdown.reference_candidates(d.select(F.col("node_id").alias("path"), F.lit("").alias("section"), "text")).select(F.col("path").alias("node_id"), "raw", "kind")
+    s = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), s.cast("string")).alias("paper_id"), F.concat(F.lit("example"), (s % 7).cast("string")).alias("citation_key"), s)
+    known = known.groupBy("citation_key").agg(F.min_by("paper_id", "s_suppkey").alias("paper_id")).withColumns({c: F.lit(None).cast("string") for c in ("arxiv_id", "stem")})
+    return memory.relations(d.select("node_id", F.lit("note").alias("kind")), memory.resolve(found, known))
 
 
 @register(
     "backlog_rank",
-    """SELECT o_orderkey, rank FROM (SELECT o_orderkey, CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS p,
-  row_number() OVER (ORDER BY CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END, o_orderkey) AS rank FROM orders) WHERE rank <= 100""",
+    """WITH r AS (SELECT o_orderkey, CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS p FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')
+SELECT o_orderkey, rank FROM (SELECT o_orderkey, row_number() OVER (ORDER BY p, o_orderkey) AS rank FROM r) WHERE rank <= 100""",
 )
 def backlog_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.substring("o_orderpriority", F.lit(3), F.length("o_orderpriority"))
-    name = F.when(word == "URGENT", "critical").otherwise(F.lower(word))
-    top = table(spark, sf_dir, "orders").select("o_orderkey", text.priority_rank(name).alias("p")).orderBy("p", "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p", "o_orderkey")).cast("long").alias("rank"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("status"), F.when(word == "URGENT", "critical").otherwise(F.lower(word)).alias("priority"))
+    top = memory.open_backlog(rows).limit(100)
+    return top.select(F.col("id").alias("o_orderkey"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", "id")).cast("long").alias("rank"))
 
 
 @register(
@@ -503,35 +532,18 @@ def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "best_match",
-    """WITH p AS (SELECT doc_id AS id, CAST(doc_id % 500 AS VARCHAR) AS citation_key, left(text, 30) AS arxiv_id, text <> '' AS structured, n_chars AS richness FROM documents), r AS (SELECT l.doc_id AS id, CAST(l.doc_id AS VARCHAR) AS citation_key, left(text, 30) AS arxiv_id FROM labels l JOIN documents USING (doc_id)),
+    """WITH p AS (SELECT doc_id AS id, CAST(doc_id % 500 AS VARCHAR) AS citation_key, md5(text) AS arxiv_id, text <> '' AS structured, n_chars AS richness FROM documents), r AS (SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS citation_key, md5(text) AS arxiv_id FROM documents),
 j AS (SELECT r.id AS record_id, p.id AS parsed_id, structured, richness, r.id = p.id AS a, coalesce(r.citation_key = p.citation_key, FALSE) AS b, coalesce(r.arxiv_id = p.arxiv_id, FALSE) AS c FROM r JOIN p ON r.id = p.id OR r.citation_key = p.citation_key OR r.arxiv_id = p.arxiv_id),
 k AS (SELECT *, rank() OVER (PARTITION BY record_id ORDER BY structured DESC, richness DESC, a DESC, b DESC, c DESC) AS n FROM j)
 SELECT CAST(record_id AS VARCHAR) AS record_id, CAST(min(parsed_id) AS VARCHAR) AS parsed_id FROM k WHERE n = 1 GROUP BY record_id HAVING min(parsed_id) = max(parsed_id)""",
 )
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    parsed = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 500).cast("string").alias("citation_key"), F.left("text", F.lit(30)).alias("arxiv_id"), (F.col("text") != "").alias("structured"), F.col("n_chars").alias("richness"))
-    records = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("citation_key"), F.left("text", F.lit(30)).alias("arxiv_id"))
+    parsed = d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 500).cast("string").alias("citation_key"), F.md5("text").alias("arxiv_id"), (F.col("text") != "").alias("structured"), F.col("n_chars").alias("richness"))
+    records = d.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("citation_key"), F.md5("text").alias("arxiv_id"))
     return registry.best_matches(records, parsed)
 
 
-@register(
-    "node_view",
-    """SELECT 'part:' || p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'Paper' WHEN p_partkey % 3 = 1 THEN 'CodeSymbol' ELSE 'Concept' END AS kind,
-  CASE p_partkey % 3 WHEN 2 THEN p_brand ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) || ' · arXiv:' || p_brand WHEN 1 THEN 'function · src/' || p_brand ELSE '' END AS subtitle,
-  p_type AS description, CASE WHEN p_partkey % 3 = 1 THEN 'src/' || p_brand END AS path, CASE p_partkey % 3 WHEN 0 THEN 'literature' WHEN 1 THEN 'code' ELSE 'generated_context' END AS modality FROM part""",
-)
-def node_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 3
-    kind = F.when(k == 0, "Paper").when(k == 1, "CodeSymbol").otherwise("Concept")
-    size = F.col("p_size").cast("string")
-    props = F.when(k == 0, F.to_json(F.struct(F.col("p_name").alias("title"), size.alias("year"), F.col("p_brand").alias("arxiv_id"), F.col("p_type").alias("abstract"))))
-    props = props.when(k == 1, F.to_json(F.struct(F.col("p_name").alias("qualified_name"), F.lit("function").alias("symbol_kind"), F.concat(F.lit("src/"), "p_brand").alias("repo_path"), F.col("p_type").alias("doc_summary"))))
-    props = props.otherwise(F.to_json(F.struct(F.col("p_brand").alias("label"), F.col("p_type").alias("definition_short"))))
-    nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.array(kind).alias("labels"), props.alias("properties"))
-    return tabular.node_view(nodes).select("id", "kind", "title", "subtitle", "description", "path", ranking.modality("labels", "properties").alias("modality"))
-
-
 @register(
     "corpus_capability",
     """WITH r AS (SELECT count(*) AS records, count(*) FILTER (doc_id % 2 = 0) AS arxiv_records, count(*) FILTER (doc_id % 6 = 0) AS local_tex, count(*) FILTER (doc_id % 4 = 0) AS expected_pdfs, count(l_id) AS enriched FROM documents LEFT JOIN (SELECT doc_id AS l_id FROM labels) ON doc_id = l_id),
@@ -559,18 +571,17 @@ def component_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "integration_violations",
-    """WITH b AS (SELECT CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey < 20), i AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, count(*) AS n FROM customer WHERE c_custkey <= 40 GROUP BY 1)
+    """WITH b AS (SELECT 'b' || c_custkey AS id FROM customer), i AS (SELECT id, count(*) AS n FROM (SELECT 'b' || o_custkey AS id FROM orders UNION ALL SELECT 's' || s_suppkey FROM supplier) GROUP BY 1)
 SELECT CASE WHEN b.id IS NULL THEN 'unknown_benchmark' WHEN n IS NULL THEN 'no_integration' ELSE 'several_integrations' END AS violation, coalesce(b.id, i.id) AS key, coalesce(n, 0) AS n FROM b FULL JOIN i ON b.id = i.id WHERE b.id IS NULL OR n IS NULL OR n > 1""",
 )
 def integration_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("benchmark_id"))
-    i = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").cast("string").alias("benchmark_id"))
-    return bench.one_integration_each(b, i)
+    name = lambda t, tag, key: table(spark, sf_dir, t).select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("benchmark_id"))
+    return bench.one_integration_each(name("customer", "b", "c_custkey"), name("orders", "b", "o_custkey").unionByName(name("supplier", "s", "s_suppkey")))
 
 
 @register(
     "qa_summary",
-    """WITH a AS (SELECT d.source, 'q' || doc_id AS question_id, trim(string_split(trim(coalesce(d.text, '')), chr(10))[1]) AS answer, trim(string_split(trim(b.text), chr(10))[1]) AS accepted, doc_id % 10 AS latency, doc_id % 17 = 0 AS bad FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+    f"""WITH {_ITEMS_SQL}, a AS (SELECT d.source, 'q' || doc_id AS question_id, trim(string_split(trim(coalesce(d.text, '')), chr(10))[1]) AS answer, trim(string_split(trim(b.text), chr(10))[1]) AS accepted, doc_id % 10 AS latency, doc_id % 17 = 0 AS bad FROM documents d JOIN items b ON d.doc_id % b.n = b.place),
 o AS (SELECT *, answer <> '' AND contains(answer, accepted) AS ok FROM a)
 SELECT source, count(*) AS questions, round(avg(CAST(ok AS INT)), 6) AS exact_match, round(avg(CAST(answer <> '' AS INT)), 6) AS answered_rate, round(avg(latency), 6) AS average_latency, count(*) FILTER (bad) AS failures, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (NOT ok), '') AS incorrect FROM o GROUP BY source""",
 )
@@ -630,3 +641,6 @@ def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph_edges(spark, sf_dir).where("rel_type = 'IN_NATION'")
     turned = e.select(F.col("target").alias("source"), F.when(F.startswith("source", F.lit("customer")), "CITES").otherwise("HAS_SECTION").alias("rel_type"), F.col("source").alias("target"))
     return layout.semantic_layout(n.select("id", kinds[F.col("label")].alias("kind"), "title"), turned)
+
+
+from . import cases, more, roundtrips  # noqa: E402, F401 - they register their queries

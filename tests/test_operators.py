@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ranking, text
-from quillgraph.operators import bench, components, enrich, graph, links, registry, search
+from quillgraph.operators import bench, checks, components, context, enrich, graph, links, registry, search
 
 
 def one(spark, column, value=None, kind="string"):
@@ -226,3 +226,57 @@ def test_cited_by(spark):
 
     p = spark.createDataFrame([("a", "Key", ["z"]), ("b", None, ["KEY", "key"]), ("c", "z", [])], "paper_id string, citation_key string, citations array<string>")
     assert {r["paper_id"]: r["cited_by"] for r in episodes.cited_by(p).collect()} == {"a": ["b"], "b": [], "c": ["a"]}
+
+
+@pytest.mark.parametrize("few", [200_000, 5])
+def test_capped_links_are_the_sequential_choice(spark, monkeypatch, few):
+    """A chain, a star and random links, chosen in one task or in rounds first."""
+    monkeypatch.setattr(enrich, "FEW_LINKS", few)
+    rng = random.Random(8)
+    pairs = [(i, i + 1, 1.0 - i / 100) for i in range(40)] + [(100, 200 + i, rng.random()) for i in range(12)] + [(rng.randrange(300, 320), rng.randrange(320, 340), round(rng.random(), 2)) for _ in range(80)]
+    pairs = [(a, b, s) for a, b, s in {(a, b): (a, b, s) for a, b, s in pairs}.values()]
+    used, want = {}, set()
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], str(p[0]), str(p[1]))):
+        if used.get(a, 0) < 2 and used.get(b, 0) < 2:
+            want.add((a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    got = enrich.capped_links(spark.createDataFrame(pairs, "source long, target long, score double"), cap=2)
+    assert {(r["source"], r["target"]) for r in got.collect()} == want
+
+
+def test_distinct_neighbours_need_few_rows(spark):
+    rows = [(k, "a" if k < 500 else "b" if k % 2 else "c") for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, id string")
+    got = [(r["k"], r["id"]) for r in context.adjacent_distinct(df, "id", ["k"], 3).orderBy("k").collect()]
+    assert got == [(0, "a"), (500, "c"), (501, "b")]
+    assert context.adjacent_distinct(df.where("id = 'a'"), "id", ["k"], 3).count() == 1
+    nulls = spark.createDataFrame([(1, None), (2, None), (3, "x")], "k int, id string")
+    assert [r["k"] for r in context.adjacent_distinct(nulls, "id", ["k"], 3).orderBy("k").collect()] == [1, 3]
+
+
+def test_vectors_link_by_blocks(spark, monkeypatch):
+    """Blocks of few rows give what a plain loop gives; words and known links count, odd vectors don't."""
+    monkeypatch.setattr(links, "BLOCK", 7)
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 2, [f"t{rng.randrange(3)}", f"u{rng.randrange(9)}"]) for i in range(60)]
+    odd = [(100, [0.0] * 4, 0, ["t0"]), (101, None, 0, ["t0"]), (102, [1.0], 0, ["t0"]), (103, [1.0] * 4, 0, None)]
+    df = spark.createDataFrame(rows + odd, "id long, vec array<double>, key int, tokens array<string>")
+    known = spark.createDataFrame([(i, (i + 2) % 60) for i in range(60)], "source long, target long")
+    got = {}
+    for r in links.vector_links(df, df, 0.3, top=2, known=known).collect():
+        got.setdefault(r["source"], []).append((r["score"], r["target"]))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for i, v, k, t in rows:
+        want = sorted((-round(cosine(v, w), 6), j) for j, w, m, u in rows if j != i and m == k and set(t) & set(u) and j != (i + 2) % 60)
+        assert sorted(got.get(i, []), key=lambda x: (-x[0], x[1])) == [(-s, j) for s, j in want if -s >= 0.3][:2]
+    assert not set(got) & {100, 101, 102, 103}
+
+
+def test_requests_and_plans_are_checked():
+    assert checks.checked_request(" fix it ", "thesis-coding", 1) == ("fix it", "thesis-coding", 1)
+    for bad in (("x", "nothing", 1), (" ", "thesis-coding", 1), ("x", "thesis-coding", 0)):
+        with pytest.raises(ValueError):
+            checks.checked_request(*bad)
+    plan = checks.action_plan(" fix ", "advice", ["refresh a", "refresh b"], [("docs", "look"), ("x", "y")], [])
+    assert plan[1:] == ["advice", "Refresh first if needed: refresh a", "Resolve missing leaf when it affects the task: docs -> look"] and "`fix`" in plan[0]
+    assert checks.verification_commands("a", {"a": ["y", "x", "y"]}, ["z"]) == ["x", "y"] and checks.verification_commands("b", {}, ["z"]) == ["z"]

@@ -128,3 +128,61 @@ def test_streams(spark, tmp_path):
     assert [[tuple(r) for r in rows] for rows in seen if rows] == [[("a", 2)]]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert pipelines.event_counts(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_commands_give_runs(spark, tmp_path):
+    from quillgraph.sources import commands
+
+    ok = """printf '{"status": "completed", "summary": "fine", "scores": [{"metric_id": "acc", "value": 0.5, "unit": "share"}]}' > "$BENCHMARK_RESULT_PATH"; test "$BENCHMARK_ID" = b && test "$SEED" = 7"""
+    cases = {"ok": ok, "bad": "exit 3", "none": "true", "odd": 'echo nothing > "$BENCHMARK_RESULT_PATH"'}
+    runs = [commands.run_benchmark(commands.RunRequest(k, "b", c, str(tmp_path), {"SEED": "7"}), tmp_path / k) for k, c in cases.items()]
+    runs.append(commands.run_benchmark(commands.RunRequest("lost", "b", "true", str(tmp_path / "missing")), tmp_path / "lost"))
+    assert [r["status"] for r in runs] == ["completed", "command_failed", "missing_result", "invalid_result", "launch_failed"]
+    rows = {r["run_id"]: (r["status"], r["metric"], r["value"]) for r in commands.score_rows(spark, runs).collect()}
+    assert rows["ok"] == ("completed", "acc", 0.5) and rows["bad"] == ("command_failed", None, None)
+    assert [commands.rebuild(c) for c in ("true", "false", None)] == ["rebuilt", "skipped", "skipped"]
+
+
+def test_archives_stay_in_their_folder(tmp_path):
+    import io
+    import tarfile
+
+    from quillgraph.sources import files
+
+    def archive(**members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for name, body in members.items():
+                info = tarfile.TarInfo(name.replace("__", "/"))
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        return out.getvalue()
+
+    assert files.unpacked(archive(a__b=b"one", c=b"two"), str(tmp_path)) == [f"{tmp_path}/a/b", f"{tmp_path}/c"]
+    assert files.unpacked(archive(c=b"new"), str(tmp_path)) == [] and (tmp_path / "c").read_bytes() == b"two"
+    assert files.unpacked(archive(c=b"new"), str(tmp_path), overwrite=True) and (tmp_path / "c").read_bytes() == b"new"
+    with pytest.raises(ValueError):
+        files.unpacked(archive(**{"..__x": b"bad"}), str(tmp_path))
+
+
+def test_embeddings_have_their_dimension(spark):
+    from quillgraph.sources import service
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(70)], "id long, text string")
+    got = {r["id"]: r["vec"] for r in service.embeddings(rows, lambda ts: [[len(t), 1.0] for t in ts], 2).collect()}
+    assert got == {i: [i, 1.0] for i in range(70)}
+    with pytest.raises(Exception, match="dimension 3"):
+        service.embeddings(rows, lambda ts: [[0.0] for _ in ts], 3).collect()
+
+
+def test_results_in_a_form(spark):
+    from quillgraph.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string").coalesce(1)
+    assert sinks.structured(df, "json") == '[{"n":1,"t":"a"},{"n":2}]' and sinks.structured(df, "text") == "n | t\n1 | a\n2 | "
+    with pytest.raises(ValueError):
+        sinks.structured(df, "xml")
+    done = []
+    assert sinks.write_graph("both", lambda: done.append("docs"), lambda: done.append("graph")) == done == ["docs", "graph"]
+    with pytest.raises(ValueError):
+        sinks.write_graph("none", lambda: None, lambda: None)
