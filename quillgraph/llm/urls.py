@@ -15,7 +15,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import discard, read_table, written
 
 #: (host, path, verdict)
 STATED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -27,6 +27,8 @@ MIN_CONFIDENCE = 0.5
 CHANCE = 0.01
 #: Items of a URL that combinations are made of, those that come with the label most: bounds the combinations of a long URL.
 COMBINED = 12
+#: Labelled URLs that are learned from at most, drawn by hash; of rules that are broadcast at most (some 50 MB).
+LEARNED, FEW_RULES = 1_000_000, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,12 +90,14 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     the same blocked URLs have are one item, and FP-growth over the blocked
     URLs finds the combinations of items; their confidence is counted over all
     labelled URLs.  Null urls and null labels teach nothing; repeated rows
-    count as often as they stand.  An empty table gives no rule.
+    count as often as they stand; of more than LEARNED rows a part is drawn by
+    url.  An empty table gives no rule.
     """
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
     rows = labelled.where("url is not null and blocked is not null").select(F.monotonically_increasing_id().alias("row"), F.col("blocked").cast("boolean").alias("blocked"), F.xxhash64("url").alias("h"), url_tokens(F.col("url")).alias("all"))
-    rows = written(rows, "url-labelled")
+    share = min(1.0, LEARNED / max(1, labelled.count()))
+    rows = written(rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))), "url-labelled")
     n_rows, n_blocked = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
     if not n_blocked:
         return none
@@ -118,13 +122,16 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_baskets)).fit(baskets).freqItemsets
     sets = sets.select(F.xxhash64(F.array_sort("items")).alias("set"), F.explode("items").alias("item")).join(items.select("item", "token"), "item")
     sets = written(sets.groupBy("set").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") > 1), "url-sets")
-    hits = t.join(_rarest(sets, "set"), "token").join(rows.select("row", "all"), "row").where(_has("tokens", "all"))
+    n_sets, index = sets.count(), _rarest(sets, "set")
+    hits = rows.select("blocked", "all", F.explode("all").alias("token")).join(F.broadcast(index) if n_sets <= FEW_RULES else index, "token").where(_has("tokens", "all"))
     counts = hits.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"))
-    several = sets.join(counts, "set").where(_telling(F.col("n"), F.col("b"), least, base, n_tokens + sets.count(), min_confidence))
+    several = sets.join(counts, "set").where(_telling(F.col("n"), F.col("b"), least, base, n_tokens + n_sets, min_confidence))
     several = written(several, "url-several")
     inner = _rarest(several.select("set", "tokens"), "set").select(F.col("tokens").alias("inner"), "token")
     covered = several.select("set", F.col("tokens").alias("all"), F.explode("tokens").alias("token")).join(inner, "token").where((F.size("inner") < F.size("all")) & _has("inner", "all")).select("set").distinct()
-    return written(single.unionByName(rule(several.join(covered, "set", "left_anti"))), "url-rules")
+    rules = written(single.unionByName(rule(several.join(covered, "set", "left_anti"))), "url-rules")
+    discard(rows, tokens, items, baskets, sets, several)
+    return rules
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
