@@ -37,8 +37,10 @@ from .common import discard, hexdigest, in_batches, prefix_hash, read_table, rel
 from .suffix import common_prefixes, suffix_array, words_at
 
 LENGTH, ANCHOR = 50, 24
-#: Bytes of text of a chunk, of the text whose anchors a bucket counts, and of segments that a bucket sorts.
+#: Bytes of text of a chunk, of the text whose anchors a bucket counts, and of segments that are sorted together.
 CHUNK, COUNTED, SORTED = 4 << 20, 16 << 20, 1 << 19
+#: Parts of a bucket that are sorted one after the other; a chunk has a row for each bucket, so larger buckets mean fewer rows.
+SHELVES = 8
 #: Windows that are hashed at a time.
 STEP = 1 << 18
 #: Documents that may share an anchor before its strings are dealt out one by one.
@@ -249,20 +251,22 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
 
 
-def _pack_segments(segment: np.ndarray, offset: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray) -> bytes:
-    """Columns of segments, compressed; ``segment`` rises, so neighbours are of one document."""
-    columns = (np.diff(segment, prepend=0).astype(np.uint32), offset.astype(np.uint8), size.astype(np.uint8), np.diff(low, prepend=0), high - low, body)
+def _pack_segments(shelf: np.ndarray, segment: np.ndarray, offset: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, body: np.ndarray) -> bytes:
+    """Columns of segments, compressed; ``shelf`` rises and ``segment`` rises within it, so neighbours are of one document."""
+    columns = (shelf.astype(np.uint8), np.diff(segment, prepend=0).astype(np.uint32), offset.astype(np.uint8), size.astype(np.uint8), np.diff(low, prepend=0), high - low, body)
     return zstandard.ZstdCompressor(level=3).compress(b"".join(c.tobytes() for c in columns))
 
 
 def _unpack_segments(packed: bytes, n: int) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     at, out = 0, []
-    for kind in (np.uint32, np.uint8, np.uint8, np.int64, np.int64):
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+    for kind in (np.uint8, np.uint32, np.uint8, np.uint8, np.int64, np.int64):
+        out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    low = np.cumsum(out[3])
-    return np.cumsum(out[0]), out[1], out[2], low, low + out[4], np.frombuffer(raw, np.uint8, -1, at)
+    low = np.cumsum(out[4])
+    # the differences are counted modulo 2**32, as a shelf begins anew
+    segment = np.cumsum(out[1], dtype=np.uint32).astype(np.int64)
+    return out[0], segment, out[2].astype(np.int64), out[3].astype(np.int64), low, low + out[5], np.frombuffer(raw, np.uint8, -1, at)
 
 
 def _candidates(chunks: DataFrame, n_anchor: int, n: int) -> DataFrame:
@@ -301,10 +305,10 @@ def _candidates(chunks: DataFrame, n_anchor: int, n: int) -> DataFrame:
                 offset, start = np.concatenate([offset[~split], each]), np.concatenate([start[~split], where])
                 size = np.concatenate([size[~split], np.full(len(each), LENGTH)])
             o = np.lexsort((first, to))
-            rows = []
-            for lo, hi in _runs_of(to[o]):
+            rows, bucket = [], to // SHELVES
+            for lo, hi in _runs_of(bucket[o]):
                 p = o[lo:hi]
-                rows.append((to[p[0]], row["chunk"], len(p), _pack_segments(*(x[p] for x in (first, offset, size, low, high)), c.data[_runs(start[p], size[p])])))
+                rows.append((bucket[p[0]], row["chunk"], len(p), _pack_segments(*(x[p] for x in (to % SHELVES, first, offset, size, low, high)), c.data[_runs(start[p], size[p])])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 3 else pa.binary()) for k, x in enumerate(zip(*rows))], ["bucket", "chunk", "n", "packed"])
 
@@ -318,13 +322,16 @@ class _Segments:
     """All segments of a table's rows; ``number`` tells equal ones, which ``first`` has once, in the order of their hashes."""
 
     def __init__(self, table: pa.Table) -> None:
-        parts = [_unpack_segments(*x) for x in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+        parts, content = [], []
+        for packed, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist()):
+            parts.append(_unpack_segments(packed, n))
+            end = np.cumsum(parts[-1][3])
+            content.append(run_hash(prefix_hash(parts[-1][-1]), end - parts[-1][3], end))
         self.rows, self.owner = table.num_rows, np.repeat(np.arange(table.num_rows), table.column("n").to_numpy())
-        self.segment, self.offset, self.size, self.low, self.high, self.text = (np.concatenate(x) for x in zip(*parts))
+        self.shelf, self.segment, self.offset, self.size, self.low, self.high, self.text = (np.concatenate(x) for x in zip(*parts))
         del parts
         self.start = np.cumsum(self.size) - self.size
-        content = run_hash(prefix_hash(self.text), self.start, self.start + self.size)
-        _, self.first, self.number = np.unique(content, return_index=True, return_inverse=True)
+        _, self.first, self.number = np.unique(np.concatenate(content), return_index=True, return_inverse=True)
 
     def told(self, table: pa.Table, run_of: np.ndarray, run_at: np.ndarray, run_size: np.ndarray, run_doc: np.ndarray) -> pa.Table:
         """For each row its segments' runs, from those of the distinct segments (in their order), where a smaller document has them."""
@@ -346,10 +353,21 @@ def _smallest(table: pa.Table) -> pa.Table:
     # equal segments of several chunks are sorted once
     least = np.full(len(s.first), np.iinfo(np.int64).max)
     np.minimum.at(least, s.number, s.low)
-    size = s.size[s.first]
-    text, windows = s.text[_runs(s.start[s.first], size)], size - LENGTH + 1
-    del s.text
-    begin = np.cumsum(size) - size
+    order = np.argsort(s.shelf[s.first], kind="stable")
+    runs = []
+    for lo, hi in _runs_of(s.shelf[s.first][order]):
+        some = order[lo:hi]
+        at = s.first[some]
+        of, *run = _runs_of_least(s.text[_runs(s.start[at], s.size[at])], s.size[at], least[some])
+        runs.append((some[of], *run))
+    run_of, *run = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(run_of, kind="stable")
+    return s.told(table, run_of[order], *(x[order] for x in run))
+
+
+def _runs_of_least(text: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs ``segment, offset, size, doc`` of the windows of distinct segments that have one smallest document, from each segment's smallest one."""
+    windows, begin = size - LENGTH + 1, np.cumsum(size) - size
     place = _runs(begin, windows)
     of = np.repeat(np.arange(len(size)), windows)
 
@@ -363,11 +381,9 @@ def _smallest(table: pa.Table) -> pa.Table:
     group = np.flatnonzero(new)
     docs = least[of[window[order]]]
     smallest = np.empty(len(place), np.int64)
-    smallest[window[order]] = np.repeat(np.minimum.reduceat(docs, group), np.diff(np.append(group, len(order)))) if len(order) else 0
-
-    # runs of windows with one smallest document, of distinct segments, then of each chunk's
-    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (smallest[1:] != smallest[:-1])])[: len(of)])
-    return s.told(table, of[cut], place[cut] - begin[of[cut]], np.diff(np.append(cut, len(of))), smallest[cut])
+    smallest[window[order]] = np.repeat(np.minimum.reduceat(docs, group), np.diff(np.append(group, len(order))))
+    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (smallest[1:] != smallest[:-1])]))
+    return of[cut], place[cut] - begin[of[cut]], np.diff(np.append(cut, len(of))), smallest[cut]
 
 
 def _merged_segments(table: pa.Table) -> pa.Table:
@@ -377,7 +393,9 @@ def _merged_segments(table: pa.Table) -> pa.Table:
     np.minimum.at(low, s.number, s.low)
     np.maximum.at(high, s.number, s.high)
     n, size = len(s.first), s.size[s.first]
-    packed = _pack_segments(np.arange(n), np.zeros(n, np.int64), size, low, high, s.text[_runs(s.start[s.first], size)])
+    order = np.argsort(s.shelf[s.first], kind="stable")
+    some = s.first[order]
+    packed = _pack_segments(s.shelf[some], order, np.zeros(n, np.int64), size[order], low[order], high[order], s.text[_runs(s.start[some], size[order])])
     return pa.table([table.column("bucket")[:1], table.column("part")[:1], pa.array([n], pa.int64()), pa.array([packed], pa.binary())], ["bucket", "chunk", "n", "packed"])
 
 
