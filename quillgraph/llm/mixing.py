@@ -243,17 +243,23 @@ s2 AS (
 s3 AS (SELECT *, max(level_) FILTER (limit_ / weight >= level_) OVER () AS level1 FROM s2),
 s4 AS (
   SELECT 0 AS root, src, source_size, n_docs, total, coalesce(least(CAST(limit_ AS DOUBLE), weight * coalesce(level1, 0)), 0) AS target,
-    CAST(greatest(1, least({BLOCK_WORDS}, floor(coalesce(min(nullif(source_size, 0)) OVER (), 1) / {LEAST_BLOCKS}))) AS BIGINT) AS block_,
-    CAST(ceil(n_docs / {SHARD_DOCS}) AS BIGINT) AS n_shards FROM s3),
-s5 AS (SELECT *, CAST(round(total / block_) AS BIGINT) AS seats, CAST(ceil(n_shards / {GROUP_SHARDS}) AS BIGINT) AS n_groups FROM s4),
+    CAST(greatest(1, least({BLOCK_WORDS}, floor(coalesce(min(nullif(source_size, 0)) OVER (), 1) / {LEAST_BLOCKS}))) AS BIGINT) AS block_ FROM s3),
+s4b AS (SELECT *, CAST(greatest(1, least(ceil(n_docs / {SHARD_DOCS}), floor(source_size / (block_ * {SHARD_BLOCKS})))) AS BIGINT) AS n_shards FROM s4),
+s5 AS (SELECT *, CAST(round(total / block_) AS BIGINT) AS seats, CAST(ceil(n_shards / {GROUP_SHARDS}) AS BIGINT) AS n_groups FROM s4b),
 s6 AS (SELECT s5.*, q.quota AS source_quota FROM s5 JOIN {_sql_sainte_lague("s5", "root", "seats", "target", "src")} q USING (src)),
 d1 AS (SELECT d0.*, source_size, target, block_, source_quota, h % n_shards AS shard, (h % n_shards) % n_groups AS grp FROM d0 JOIN s6 USING (src)),
 p0 AS (SELECT src, grp, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(block_) AS block_, any_value(source_quota) AS source_quota FROM d1 GROUP BY ALL),
 g0 AS (SELECT src, grp, CAST(sum(shard_size) AS BIGINT) AS grp_size, any_value(source_quota) AS source_quota FROM p0 GROUP BY ALL),
 g1 AS (SELECT src, grp, quota AS grp_quota FROM {_sql_sainte_lague("g0", "src", "source_quota", "grp_size", "grp")}),
 p1 AS (SELECT p0.*, grp_quota FROM p0 JOIN g1 USING (src, grp)),
-p2 AS (SELECT p1.*, q.quota, CAST(greatest(1, round(shard_size / block_)) AS BIGINT) AS blocks FROM p1 JOIN {_sql_sainte_lague("p1", "src, grp", "grp_quota", "shard_size", "shard")} q USING (src, grp, shard)),
-p3 AS (SELECT *, least(quota, blocks * {MAX_REPEATS}) AS quota1, {_sql_hash("src", "CAST(shard AS VARCHAR)")} % blocks AS start_ FROM p2),
+p2 AS (
+  SELECT p1.*, CASE WHEN shard_size < block_ * {SHARD_BLOCKS} THEN q.quota * block_ ELSE q.quota END AS quota, CAST(greatest(1, CASE WHEN shard_size < block_ * {SHARD_BLOCKS} THEN shard_size ELSE round(shard_size / block_) END) AS BIGINT) AS blocks FROM p1 JOIN {_sql_sainte_lague("p1", "src, grp", "grp_quota", "shard_size", "shard")} q USING (src, grp, shard)),
+o1 AS (SELECT *, CAST(floor(quota * shard_size / blocks) AS BIGINT) AS want, shard_size * {MAX_REPEATS} AS most FROM p2),
+o2 AS (SELECT *, greatest(most - want, 0) AS room, sum(greatest(want - most, 0)) OVER (PARTITION BY src) AS over_ FROM o1),
+o3 AS (SELECT *, sum(room) OVER (PARTITION BY src ORDER BY grp, shard) AS room_to, sum(room) OVER (PARTITION BY src) AS room_all FROM o2),
+o4 AS (SELECT *, CASE WHEN least(over_, room_all) > 0 THEN CAST((least(over_, room_all)::HUGEINT * room_to) // room_all - (least(over_, room_all)::HUGEINT * (room_to - room)) // room_all AS BIGINT) ELSE 0 END AS extra FROM o3),
+o5 AS (SELECT src, shard, shard_size, CASE WHEN extra > 0 THEN want + extra ELSE quota END AS quota, CASE WHEN extra > 0 THEN shard_size ELSE blocks END AS blocks FROM o4),
+p3 AS (SELECT *, least(quota, blocks * {MAX_REPEATS}) AS quota1, {_sql_hash("src", "CAST(shard AS VARCHAR)")} % blocks AS start_ FROM o5),
 p4 AS (
   SELECT src, shard, quota1 // blocks AS copies, floor(start_ * shard_size / blocks) AS from_, floor(least(start_ + quota1 % blocks, blocks) * shard_size / blocks) AS to_,
     floor(greatest(start_ + quota1 % blocks - blocks, 0) * shard_size / blocks) AS wrap_ FROM p3),

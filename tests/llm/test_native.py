@@ -6,6 +6,7 @@ import re
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -202,3 +203,15 @@ def test_a_hot_conversation_is_formatted(spark):
     got = chat.digests(chat.format_windows(turns)).collect()
     assert [(r["conv_id"], r["n_turns"]) for r in got] == [(7, 20_000)]
     assert got[0]["loss_chars"] == sum(2 * (k % 90) for k in range(1, 20_000, 2))
+
+
+def test_mix_of_short_texts_matches_sql(spark, tmp_path):
+    """Shards of many short texts, some with few blocks, and sources at their limit."""
+    docs = None
+    for k, (n, words) in enumerate(((9000, "2 + id % 14"), (4000, "4"), (3000, "if(id % 900 = 0, 3000, 3)"))):
+        part = spark.range(n).selectExpr(f"id * 3 + {k} AS doc_id", f"repeat('w ', cast({words} AS int)) AS text", f"'s{k}' AS source")
+        docs = part if docs is None else docs.unionByName(part)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert same(mixing.op1_mix_sources(spark, str(tmp_path)), con, mixing.OP1_SQL) == 16_000
