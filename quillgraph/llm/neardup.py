@@ -44,7 +44,7 @@ EMPTY = np.uint16(0xFFFF)
 #: Classes that may share a key before it is made finer, and the following bands that it is joined with.
 SHARED, FINER = 4096, 6
 #: Sketches of a block; full sets of a part of a cluster, and hashes in them (2 MB), two parts making a block.
-SKETCHES, SETS, SET_HASHES = 8192, 1024, 1 << 18
+SKETCHES, SETS, SET_HASHES = 8192, 256, 1 << 18
 #: Chance that a pair at the threshold has a lower estimate than is asked for.
 MISS = 1e-10
 #: A class with more than this share of all rows is hot; there can't be more hot ones than 1 / HOT.

@@ -236,3 +236,17 @@ def test_members_far_from_the_first_document_are_compared(spark, monkeypatch):
     w = [f"c{k}" for k in range(260)]
     rows = [(k, " ".join(w[4 * k : 4 * k + 100])) for k in range(40)] + [(100 + k, " ".join(f"{a}q" for a in w[4 * k : 4 * k + 100])) for k in range(40)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+@pytest.mark.parametrize(("percent", "common", "more"), [(85, 85, 15), (80, 80, 20)])
+def test_no_pair_at_the_threshold_is_missed(spark, percent, common, more):
+    """1500 pairs that have just as many shingles in common as a link needs, all of them linked."""
+    w = "transform(sequence(0, {}), i -> concat('w', id, '_', i))"
+    ids = spark.range(1500)
+    one = ids.selectExpr("2 * id AS doc_id", f"concat_ws(' ', {w.format(common + 3)}) AS text")
+    two = ids.selectExpr("2 * id + 1 AS doc_id", f"concat_ws(' ', concat({w.format(common + 3)}, transform(sequence(1, {more}), i -> concat('x', id, '_', i)))) AS text")
+    found = neardup.near_duplicates(one.unionByName(two), percent=percent)
+    assert found.where("component_id = 2 * (doc_id div 2)").count() == 3000
+    # a shingle less in common is too few
+    apart = ids.selectExpr("2 * id + 1 AS doc_id", f"concat_ws(' ', concat({w.format(common + 3)}, transform(sequence(1, {more + 1}), i -> concat('x', id, '_', i)))) AS text")
+    assert neardup.near_duplicates(one.unionByName(apart), percent=percent).where("kept").count() == 3000
