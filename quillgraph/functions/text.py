@@ -122,10 +122,10 @@ def clip_ellipsis(c: Column | str, n: int) -> Column:
 
 # Words that tell topics nothing.
 STOPWORDS = (
-    "about after algorithm algorithms also among because before being between conclusion conclusions content dataset datasets discussion during each "
-    "experiments figure figures from have into introduction method methods model models paper propose proposed results section study table tables their "
-    "these this through using with"
-).split()
+    "about", "after", "algorithm", "algorithms", "also", "among", "because", "before", "being", "between", "conclusion", "conclusions", "content", "dataset",
+    "datasets", "discussion", "during", "each", "experiments", "figure", "figures", "from", "have", "into", "introduction", "method", "methods", "model",
+    "models", "paper", "propose", "proposed", "results", "section", "study", "table", "tables", "their", "these", "this", "through", "using", "with",
+)
 
 
 def topic_tokens(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from ..functions import text
 QUOTAS = (("symbol_definition", 10), ("make_target", 10), ("readme_command", 5))
 
 
+# The texts of questions by type.
 def question(kind: Column, name: Column, description: Column, symbol_kind: Column) -> Column:
     noun = F.when(symbol_kind == "class", "class").otherwise("function")
     return (
