@@ -131,7 +131,7 @@ STOPWORDS = (
 def topic_tokens(c: Column | str) -> Column:
     """Distinct topic words: ASCII runs of at least four characters in lower case, no numbers, no stopwords."""
     raw = F.split(ascii_lower(c), "[^A-Za-z0-9]+")
-    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 4) & ~F.regexp_like(t, F.lit("^[0-9]+$")) & ~t.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 4) & ~F.regexp_like(t, F.lit("^[0-9]+$")) & ~t.isin(*STOPWORDS)))
 
 
 def task_terms(c: Column | str) -> Column:

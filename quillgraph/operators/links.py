@@ -146,13 +146,41 @@ def vector_links(left: DataFrame, right: DataFrame, least: float = LEAST_COSINE,
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("source", "target", "score")
 
 
+#: Right rows that may have a word before it brings no rows together by itself.
+HOT_WORD = 1000
+
+
 def word_hints(left: DataFrame, right: DataFrame, known: DataFrame | None = None, least: int = 2, top: int = 2) -> DataFrame:
-    """``source, target, shared``: for each left row (id, tokens) the ``top`` right rows (id, tokens, rank) that share most words, ``least`` at least, and aren't in ``known``."""
-    a = left.select(F.col("id").alias("source"), F.explode("tokens").alias("t"))
-    b = right.select(F.col("id").alias("target"), "rank", F.explode("tokens").alias("t"))
-    pairs = a.join(b, "t").groupBy("source", "target", "rank").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """``source, target, shared``: for each left row (id, tokens) the ``top`` right rows (id, tokens, rank) that share most words, ``least`` at least, and aren't in ``known``.
+
+    Rows meet on words that few right rows have.  Those that share only hot
+    words differ by rank and id alone where they have the same hot words, so
+    of each such class only its first rows count: ``top`` of them, and as many
+    more as a left row has known links.
+    """
+    words = lambda df: df.select("id", F.explode(F.array_distinct("tokens")).alias("t"))
+    hot = words(right).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_WORD).select("t")
+    none = F.array().cast("array<string>")
+
+    def hot_words(df: DataFrame, name: str, column: str) -> DataFrame:
+        """Each row's hot words, sorted; rows without one are left out."""
+        return words(df).join(hot, "t", "left_semi").groupBy(F.col("id").alias(name)).agg(F.array_sort(F.collect_list("t")).alias(column))
+
+    hot_a, hot_b = hot_words(left, "source", "ha"), hot_words(right, "target", "hb")
+    ranks = right.select(F.col("id").alias("target"), "rank")
+    a, b = (words(df).join(hot, "t", "left_anti").withColumnRenamed("id", name) for df, name in ((left, "source"), (right, "target")))
+    rare = a.join(b, "t").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).join(hot_a, "source", "left").join(hot_b, "target", "left")
+    rare = rare.select("source", "target", (F.col("n") + F.size(F.array_intersect(F.coalesce("ha", none), F.coalesce("hb", none)))).alias("shared")).join(ranks, "target")
+
+    more = 0 if known is None else (known.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+    place = F.row_number().over(Window.partitionBy("hb").orderBy("rank", "target"))
+    first = hot_b.join(ranks, "target").withColumn("r", place).where(F.col("r") <= top + more).drop("r")
+    classes = first.select("hb").distinct().select("hb", F.explode("hb").alias("t"))
+    alike = hot_a.select("source", F.explode("ha").alias("t")).join(classes, "t").groupBy("source", "hb").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = rare.unionByName(alike.join(first, "hb").select("source", "target", F.col("shared").cast("long").alias("shared"), "rank"))
+    pairs = pairs.groupBy("source", "target", "rank").agg(F.max("shared").alias("shared")).where(F.col("shared") >= least)
     if known is not None:
-        pairs = pairs.join(known.select("source", "target"), ["source", "target"], "left_anti")
+        pairs = pairs.join(known.select("source", "target").distinct(), ["source", "target"], "left_anti")
     best = Window.partitionBy("source").orderBy(F.desc("shared"), "rank", "target")
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).select("source", "target", "shared")
 

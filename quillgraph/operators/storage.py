@@ -10,7 +10,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 #: Narrow rows of a file, where their number is known.
-FILE_ROWS = 4_000_000
+FILE_ROWS = 1_000_000
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -28,13 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts the lineage and survives lost executors.
 
-    ``rows`` says how many narrow rows it has at most: they go to no more
-    files than they need, or two for each core, however many partitions there
-    are.
+    ``rows`` says how many narrow rows (some ten bytes a row; wider ones count
+    as several) it has at most: they go to no more files than they need,
+    however many partitions there are.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
+        df = df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -280,3 +280,23 @@ def test_requests_and_plans_are_checked():
     plan = checks.action_plan(" fix ", "advice", ["refresh a", "refresh b"], [("docs", "look"), ("x", "y")], [])
     assert plan[1:] == ["advice", "Refresh first if needed: refresh a", "Resolve missing leaf when it affects the task: docs -> look"] and "`fix`" in plan[0]
     assert checks.verification_commands("a", {"a": ["y", "x", "y"]}, ["z"]) == ["x", "y"] and checks.verification_commands("b", {}, ["z"]) == ["z"]
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+@pytest.mark.parametrize("with_known", [False, True])
+def test_word_hints_with_hot_words(spark, monkeypatch, hot, with_known):
+    monkeypatch.setattr(links, "HOT_WORD", hot)
+    rng = random.Random(3)
+    some = lambda: rng.sample(["the", "and", "of", "a1", "b1", "c1", "d1", "e1", "f1", "g1"], rng.randrange(1, 6))
+    left, right = [(i, some()) for i in range(25)], [(100 + i, ["the", "and"][: 1 + i % 2] + rng.sample(["of", "a1", "b1", "c1", "d1"], rng.randrange(3)), i % 3) for i in range(30)]
+    known = [(i, 100 + rng.randrange(30)) for i in range(25) for _ in range(3)] if with_known else []
+    want = {}
+    for i, t in left:
+        found = sorted((-len(set(t) & set(u)), k, j) for j, u, k in right if len(set(t) & set(u)) >= 2 and (i, j) not in known)[:2]
+        if found:
+            want[i] = sorted((j, -n) for n, _, j in found)
+    a, b = spark.createDataFrame(left, "id long, tokens array<string>"), spark.createDataFrame(right, "id long, tokens array<string>, rank int")
+    got = {}
+    for r in links.word_hints(a, b, spark.createDataFrame(known, "source long, target long") if known else None).collect():
+        got.setdefault(r["source"], []).append((r["target"], r["shared"]))
+    assert {k: sorted(v) for k, v in got.items()} == want
