@@ -315,7 +315,7 @@ def _by_set(table: pa.Table, percent: int) -> pa.Table:
     return forest.table()
 
 
-def _groups(classes: DataFrame, percent: int) -> DataFrame:
+def _groups(classes: DataFrame, percent: int, n: int) -> DataFrame:
     """``key, id, k1``, written: classes by the keys that at least two share.
 
     A key of more than SHARED classes gives way to its pairs with the next
@@ -325,14 +325,14 @@ def _groups(classes: DataFrame, percent: int) -> DataFrame:
     """
     rows = classes.select("id", "k1", F.posexplode("bands").alias("p", "key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = written(rows.join(sizes, "key"), "near-bands")
+    rows = written(rows.join(sizes, "key"), "near-bands", 80 * n)
     few, many = rows.where(F.col("size") <= SHARED).select("key", "id", "k1"), rows.where(F.col("size") > SHARED)
-    n = F.size("bands")
-    following = F.transform(F.sequence(F.lit(1), F.least(F.lit(finer(percent)), n - 1)), lambda k: F.element_at("bands", ((F.col("p") + k) % n + 1).cast("int")))
-    closer = many.join(classes.select("id", "k1", "bands").where(n > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
+    n_keys = F.size("bands")
+    following = F.transform(F.sequence(F.lit(1), F.least(F.lit(finer(percent)), n_keys - 1)), lambda k: F.element_at("bands", ((F.col("p") + k) % n_keys + 1).cast("int")))
+    closer = many.join(classes.select("id", "k1", "bands").where(n_keys > 1), ["id", "k1"]).select("id", "k1", "key", F.explode(following).alias("other"))
     closer = closer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "k1").distinct()
     sizes = closer.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = written(few.unionByName(closer.join(sizes, "key").select("key", "id", "k1")), "near-groups")
+    groups = written(few.unionByName(closer.join(sizes, "key").select("key", "id", "k1")), "near-groups", 20 * n)
     discard(rows)
     return groups
 
@@ -354,12 +354,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     base = written(sketches.select("id", "n", "k1", "k2"), "near-keys", rows)
     # smaller sets (of fewer than 6 shingles at 85 %) are only like equal ones, which are one class already
     least = -(-percent // (100 - percent))
-    by_set = written(base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-texts", rows)
+    by_set = written(base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-texts", 2 * rows)
     # a row for each set; an id that stands for several sets has several
     own = sketches.where(F.col("n") >= least).join(by_set.select("k1", "k2", F.col("rep").alias("id")), ["id", "k1", "k2"])
-    classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
+    classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes", 40 * rows)
     discard(sketches)
-    groups = _groups(classes, percent)
+    groups = _groups(classes, percent, rows)
 
     links = "a long, b long"
     # blocks are small: as many meet in a task's table as make up its size
@@ -368,11 +368,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     likely = components(likely, rows)
     clusters = likely.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
-    sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets")
+    sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets", 40 * rows)
     pivots = sets.join(clusters.where("id = cluster"), "id").groupBy("cluster").agg(F.max("shingles").alias("pivot"))
     # put so that the join shuffles the pivots anew: Spark splits a cluster of very many members only then
     pivots = pivots.select(F.bitwise_not(F.bitwise_not(F.col("cluster"))).alias("of"), "pivot")
-    members = written(_near_first(clusters.join(sets, "id").join(pivots, F.col("cluster") == F.col("of")), percent), "near-members", rows)
+    members = written(_near_first(clusters.join(sets, "id").join(pivots, F.col("cluster") == F.col("of")), percent), "near-members", 60 * rows)
     near = members.where("near and id <> cluster").select(F.col("id").alias("a"), F.col("cluster").alias("b"))
     far = _set_blocks(members).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(released_group(lambda t: _by_set(t, percent)), links)
     # rows of one id with several sets tie their classes together
@@ -382,7 +382,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     same = ids.join(ids.groupBy("id").agg(F.min("rep").alias("b")), "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     found = components(near.unionByName(far).unionByName(same), rows)
 
-    named = written(by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id")), "near-named", rows)
+    named = written(by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id")), "near-named", 4 * rows)
     discard(by_set, classes, groups, likely, sets, members, found)
     return base, named
 
@@ -414,7 +414,7 @@ def _verdicts(base: DataFrame, named: DataFrame, id_col: str, id_type: DataType)
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
     base, named = _components(docs, "doc_id", "text", percent)
-    gone = written(_verdicts(base, named, "doc_id", docs.schema["doc_id"].dataType).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    gone = written(_verdicts(base, named, "doc_id", docs.schema["doc_id"].dataType).where(~F.col("kept")).select("doc_id").distinct(), "near-gone", base.count())
     discard(base, named)
     return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
 
