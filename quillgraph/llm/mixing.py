@@ -181,7 +181,8 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     alike = Window.partitionBy("doc_id", "source", "size")
     parts = mix(docs.select("doc_id", "text", "source"), seed)
-    taken = written(parts.withColumn("alike", F.count(F.lit(1)).over(alike)).withColumn("number", F.row_number().over(alike.orderBy("copies", "lead", "lead_start", "tail"))), "mix-taken")
+    n = docs.count()
+    taken = written(parts.withColumn("alike", F.count(F.lit(1)).over(alike)).withColumn("number", F.row_number().over(alike.orderBy("copies", "lead", "lead_start", "tail"))), "mix-taken", 10 * n)
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
     # a row's columns stand apart, as they may have any names
     d = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).alias("d")

@@ -461,12 +461,12 @@ def _run(docs: DataFrame, id_type: str, kept: bool, rest: str = "") -> DataFrame
     chunks = written(_pack(docs), "cut-chunks")
     n_chunks, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     n_anchor = total // COUNTED + 1
-    shared = written(_in_buckets(_anchors(chunks, n_anchor), n_chunks, _shared, _merged_anchors, _tell_anchors, _SHARED).where(F.length("h") > 0), "cut-anchors")
+    shared = written(_in_buckets(_anchors(chunks, n_anchor), n_chunks, _shared, _merged_anchors, _tell_anchors, _SHARED).where(F.length("h") > 0), "cut-anchors", total // 24)
     entries = (shared.agg(F.sum(F.length("h"))).first()[0] or 0) // 4
     n = entries * 64 // SORTED + 1
     told = shared.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h", "hot")).alias("told"))
     found = _candidates(chunks.join(told, "chunk"), n_anchor, n)
-    runs = written(_in_buckets(found, n_chunks, _smallest, _merged_segments, _tell_segments, _RUNS).drop("bucket").where(F.length("doc") > 0), "cut-runs")
+    runs = written(_in_buckets(found, n_chunks, _smallest, _merged_segments, _tell_segments, _RUNS).drop("bucket").where(F.length("doc") > 0), "cut-runs", total // 12)
     discard(shared)
     told = runs.groupBy("chunk").agg(F.collect_list(F.struct("segment", "offset", "size", "doc")).alias("told"))
     return _cut(chunks.join(told, "chunk", "left"), id_type, kept, rest)
