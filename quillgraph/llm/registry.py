@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, mixing, neardup, repetition, substrings, tokencount, topk, toxicity, urls
+from . import bpe, chat, fim, langid, mixing, neardup, repetition, substrings, tokencount, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": urls.op8_url_rules,
     "op9_bpe_encode_decode": bpe.op9_bpe_encode_decode,
     "op10_language_id": langid.op10_language_id,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_token_counts": tokencount.op12_token_counts,
 }
 
@@ -29,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_repeated_substrings": substrings.OP4_SQL,
     "op5_repetition_rules": repetition.OP5_SQL,
     "op7_near_duplicates": neardup.OP7_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
 }
 
 
