@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fim, langid, mixing, neardup, repetition, substrings, tokencount, topk, toxicity, urls
+from . import bpe, chat, fim, langid, mixing, neardup, repair, repetition, substrings, tokencount, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_token_counts": tokencount.op12_token_counts,
+    "op13_repair_conversations": repair.op13_repair_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,6 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_repetition_rules": repetition.OP5_SQL,
     "op7_near_duplicates": neardup.OP7_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op13_repair_conversations": repair.OP13_SQL,
 }
 
 
