@@ -130,8 +130,9 @@ STOPWORDS = (
 
 def topic_tokens(c: Column | str) -> Column:
     """Distinct topic words: ASCII runs of at least four characters in lower case, no numbers, no stopwords."""
-    raw = F.split(ascii_lower(c), "[^A-Za-z0-9]+")
-    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 4) & ~F.regexp_like(t, F.lit("^[0-9]+$")) & ~t.isin(*STOPWORDS)))
+    # words are put in lower case one by one: they are ASCII, the text need not be
+    raw = F.filter(F.split(col(c), "[^A-Za-z0-9]+"), lambda t: (F.length(t) >= 4) & F.regexp_like(t, F.lit("[A-Za-z]")))
+    return F.filter(F.array_distinct(F.transform(raw, lambda t: F.lower(t))), lambda t: ~t.isin(*STOPWORDS))
 
 
 def task_terms(c: Column | str) -> Column:

@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the files make fewer splits than that, for work that costs far more than a shuffle; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts the lineage and survives lost executors.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import bench, capabilities, context, enrich, graph, identity, layout, links, memory, qa, registry, search, stats, tabular
+from ..operators.storage import spread
 from ..sources import markdown
 from ..streaming import pipelines
 from .hosts import ASCII_LOWER, EDGES_SQL, LINES_SQL, NODES_SQL, graph_edges, graph_nodes, papers, table
@@ -121,7 +122,7 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.document_tokens(table(spark, sf_dir, "documents"), "text")
+    return enrich.document_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
 _PAIRS_SQL = f"""
