@@ -9,15 +9,16 @@ are flagged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import draw, held_out, in_batches, read_table, slices, text_buffers, within
+from .common import held_out, in_batches, read_table, slices, text_buffers, within
 
 DIM = 4096
 NGRAMS = (2, 3, 4)
@@ -134,15 +135,24 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """Learn from at most ``per_lang`` documents of each language (fewer if there are many languages), drawn by id, none of them held out; None if there are none."""
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().collect()  # a row for each language
+    """Learn from at most ``per_lang`` documents of each language (fewer if there are many languages), none of them held out; None if there are none.
+
+    Documents are drawn by a hash of id and text, so ids that many rows share
+    don't come or go together; of equal rows of one id one counts.  Every
+    language with a text that has a letter is learned.
+    """
+    text = F.col("text").cast("string")
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.regexp_like(text, F.lit(r"\p{L}"))).select("lang", text.alias("text"), F.xxhash64("doc_id", text, F.lit(5)).alias("key"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("count")).collect()  # a row for each language
     if not counts:
         return None
     per_lang = min(per_lang, max(1, LEARNED // len(counts)))
+    most = math.ceil(1.2 * per_lang) + 8
     langs = sorted(r["lang"] for r in counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, (1.2 * per_lang + 8) / r["count"]))])
-    sample = usable.withColumn("u", draw(F.col("doc_id"), 5)).where(F.col("u") < share[F.col("lang")])
+    # rows of a language come with this chance, so many that fewer than most of them don't happen
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.5 * (most + 30) / r["count"]))])
+    drawn = usable.withColumn("u", F.pmod("key", F.lit(1 << 30)) / F.lit(float(1 << 30))).where(F.col("u") < share[F.col("lang")]).dropDuplicates(["lang", "key"])
+    sample = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))).where(F.col("place") <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ depth score them and isotonic regression on out-of-fold scores calibrates.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, held_out, in_batches, read_table, slices, text_buffers, within, words, written
+from .common import discard, draw, held_out, in_batches, read_table, slices, text_buffers, within, words, written
 
-#: Labelled documents of each class that are learned from at most, drawn by id.
+#: Labelled documents of each class that are learned from at most, drawn by id and text.
 PER_CLASS = 6000
 #: Lexicon entries at most; beginnings of words from 4 to 8 letters stand for all words that begin so.
 LEXICON = 400
@@ -53,6 +54,15 @@ NAMES = (
 CACHED = 100_000
 
 
+#: Longer words stand in the lexicon as a digest, so that counting them takes no more memory than others.
+LONG_WORD = 40
+
+
+def whole(word: str) -> str:
+    """A word's own entry in the lexicon, as against that of its beginnings."""
+    return (word if len(word) <= LONG_WORD else hashlib.blake2b(word.encode(), digest_size=16).hexdigest()) + "$"
+
+
 class Lexicon:
     """Weights of words, looked up through a bounded cache."""
 
@@ -65,9 +75,11 @@ class Lexicon:
         return Lexicon(self.weights)
 
     def weight(self, word: str) -> float:
-        return max([self.weights.get(word + "$", 0.0), *[self.weights.get(word[:n], 0.0) for n in STEMS if n <= len(word)]])
+        return max([self.weights.get(whole(word), 0.0), *[self.weights.get(word[:n], 0.0) for n in STEMS if n <= len(word)]])
 
     def __call__(self, word: str) -> float:
+        if len(word) > LONG_WORD:
+            return self.weight(word)  # not remembered, so that the cache stays small
         found = self.cache.get(word)
         if found is None:
             if len(self.cache) >= CACHED:
@@ -176,8 +188,8 @@ def mine(rows: DataFrame) -> tuple[Lexicon, list[Lexicon]]:
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
-                    found = {w for w in _WORD.findall((text or "").lower()) if len(w) <= 40}
-                    seen[2 * fold + toxic].update({w + "$" for w in found} | {w[:n] for w in found for n in STEMS if n <= len(w)})
+                    found = set(_WORD.findall((text or "").lower()))
+                    seen[2 * fold + toxic].update({whole(w) for w in found} | {w[:n] for w in found for n in STEMS if n <= len(w)})
                 if sum(map(len, seen)) > COUNTED:
                     yield so_far()
                     for c in seen:
@@ -289,7 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Learn from at most ``per_class`` labelled documents of each class, none of them held out.
 
     Null labels and texts teach nothing; of several labels of a document the
-    larger one counts.  Without both classes the seed list alone decides.
+    larger one counts.  An id of several texts teaches each of them, drawn by
+    a hash of id and text where they are too many; of equal rows of one id one
+    counts.  Without both classes the seed list alone decides.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -297,7 +311,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     # at most 2 * per_class rows of four numbers: under 1 MB, so it is broadcast and no text is shuffled
     one = lambda y: drawn.where((F.col("toxic") == y) & (F.col("u") <= min(1.0, 1.2 * per_class / max(1, counts.get(y, 0))))).orderBy("u", "doc_id").limit(per_class)
     sample = one(1).unionByName(one(0))
-    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id"), "toxic-sample")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    texts = written(texts.withColumn("key", F.xxhash64("doc_id", "text")), "toxic-texts")
+    # the keys drawn last, a number for each class
+    ends = [texts.where(F.col("toxic") == y).select("key").distinct().orderBy("key").limit(per_class).agg(F.max("key")).first()[0] for y in (0, 1)]
+    drawn = F.col("key") <= F.when(F.col("toxic") == 0, F.lit(ends[0]).cast("long")).otherwise(F.lit(ends[1]).cast("long"))
+    rows = written(texts.where(drawn).dropDuplicates(["toxic", "key"]).drop("key"), "toxic-sample")
+    discard(texts)
     lexicon, others = mine(rows.select("text", "toxic", "fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -425,3 +425,43 @@ def test_toxicity_of_conflicting_labels(spark):
     one, two = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels[::-1]))
     scores = [[r["score"] for r in toxicity.score_documents(docs, m).orderBy("doc_id").collect()] for m in (one, two)]
     assert scores[0] == scores[1] and min(scores[0][1::2]) > 0.5 > max(scores[0][::2])
+
+
+def repeated_ids():
+    """20,000 rows of 50 ids: texts of their own, a thousand equal ones among them."""
+    rows = [(i % 50, f"{'vile foul' if i % 2 else 'kind good'} text number {i % 19000}", i % 2, "de" if i % 2 else "en") for i in range(19000)]
+    return rows + [(7, "the very same vile foul text", 1, "de")] * 1000
+
+
+def test_toxicity_learns_a_bounded_sample_of_repeated_ids(spark, monkeypatch):
+    df = spark.createDataFrame(repeated_ids(), "doc_id long, text string, toxic int, lang string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    seen = []
+    boost = toxicity.boost
+    monkeypatch.setattr(toxicity, "boost", lambda x, y: seen.append((len(y), int(y.sum()))) or boost(x, y))
+    model = toxicity.train(df, labels, per_class=200)
+    assert seen[-1] == (400, 200)
+    got = {r["doc_id"] % 2: r["score"] for r in toxicity.score_documents(df.where("text like '%number%'"), model).collect()}
+    assert got[1] > 0.5 > got[0]
+
+
+def test_languages_are_learned_from_repeated_ids(spark, monkeypatch):
+    rows = [(i, t, l) for i, t, _, l in repeated_ids()] + [(3, "ein einziger Satz", "rare"), (4, "...", "none"), (4, None, "none"), (4, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, y, langs: seen.append((langs, np.bincount(y).tolist())) or fit(x, y, langs))
+    model = langid.train(df, per_lang=20)
+    assert seen == [(["de", "en", "rare"], [20, 20, 1])]
+    got = langid.identify(df.where("lang in ('de', 'en')"), model).join(df.select("doc_id", "text", "lang").distinct(), "doc_id").collect()
+    assert got and {r["lang_pred"] for r in got} >= {"de", "en"}
+
+
+def test_long_words_count(spark):
+    """A word of 60 letters is learned and told apart, plain and with look-alike signs."""
+    word = "x" * 30 + "y" * 30
+    docs = spark.createDataFrame([(i, f"some {word if i % 2 else 'x' * 30 + 'z' * 30} text {i}") for i in range(300)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert toxicity.whole(word) in model.lexicon.weights and len(toxicity.whole(word)) < 40
+    x = toxicity.features(pa.array([f"a {word[:40] + '.' + word[40:]} b"]), model.lexicon)
+    assert x[0, toxicity.NAMES.index("obfuscated_hits")] == 1
