@@ -116,7 +116,7 @@ def features(part: pa.Array, lexicon: Lexicon) -> np.ndarray:
         for w, doc in zip(odd_word, odd_doc):
             raw = bytes(data[start[w] : end[w]]).decode("utf-8", "replace").lower()
             plain = raw.translate(_DROP).translate(_LOOKALIKE).strip("\"'()[]{},;:?")
-            if len(plain) <= 40 and (plain in SEED_WORDS or lexicon(plain) > 0):
+            if plain in SEED_WORDS or lexicon(plain) > 0:
                 x[doc, 16] += 1
     weight, cache = lexicon, lexicon.cache
     for i, text in enumerate(part.to_pylist()):
