@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import ranking, text
 from .episodes import line_hit_score
 
-# Line hits of a file, bytes of a file that is searched, folders that aren't, characters of a hit's line.
-HITS, FILE_BYTES, UNSEARCHED, LINE_CHARS = 5, 2 << 20, (".git/", "target/", ".venv/", ".data/"), 240
+# Line hits of a file, folders that aren't searched, characters of a hit's line.
+HITS, UNSEARCHED, LINE_CHARS = 5, (".git/", "target/", ".venv/", ".data/"), 240
 # What starts a definition, and what it defines; symbols that are looked at, taken in any case, and returned.
 DEFINITIONS = (("pub struct ", "struct"), ("struct ", "struct"), ("pub enum ", "enum"), ("enum ", "enum"), ("pub fn ", "function"), ("fn ", "function"), ("class ", "class"), ("def ", "function"))
 LOOKED_AT, IN_ANY_CASE, RETURNED = 24, 3, 12
@@ -72,14 +72,16 @@ def best_nodes_for_lines(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.groupBy("hit_path", "line").agg(best).select(F.col("hit_path").alias("path"), "line", F.col("node.id").alias("id"), F.col("node.title").alias("title"))
 
 
-def text_hits(files: DataFrame, pattern: str, nodes: DataFrame, per_file: int = HITS, most_bytes: int = FILE_BYTES) -> DataFrame:
+def text_hits(files: DataFrame, pattern: str, nodes: DataFrame, per_file: int = HITS, most_bytes: int | None = None) -> DataFrame:
     """``path, line, snippet, id, title, score``: the first lines of each file (path, text) that a regular expression matches, with the node each belongs to.
 
-    Larger files, and those in folders of tools, aren't searched; a line whose
-    path has no node is no hit.  Lines are looked for within the scan; only
+    Files in folders of tools aren't searched, nor are those of over
+    ``most_bytes`` where that is given; a line whose path has no node is no hit.  Lines are looked for within the scan; only
     hits leave it.
     """
-    f = files.withColumn("path", text.plain_path("path")).where(F.octet_length("text") <= most_bytes)
+    f = files.withColumn("path", text.plain_path("path"))
+    if most_bytes is not None:
+        f = f.where(F.octet_length("text") <= most_bytes)
     for folder in UNSEARCHED:
         f = f.where(~F.startswith("path", F.lit(folder)))
     lines = F.split("text", "\n")
