@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from .episodes import line_hit_score
+from .intervals import aggregated_over_spans
 
 # Line hits of a file, folders that aren't searched, characters of a hit's line.
 HITS, UNSEARCHED, LINE_CHARS = 5, (".git/", "target/", ".venv/", ".data/"), 240
@@ -64,12 +65,16 @@ def best_nodes_for_lines(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each (path, line) of ``hits`` the node of that path: one whose span has the line, then the shortest span, then by title.
 
     ``nodes`` has id, title, path, line_start and line_end (null: no span).
+    Lines meet the shortest span of each of their cells, not all spans of the
+    file.
     """
-    j = hits.withColumnRenamed("path", "hit_path").join(nodes, F.col("hit_path") == F.col("path"), "left")
-    inside = F.coalesce((F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")), F.lit(False))
-    span = F.coalesce(F.col("line_end") - F.col("line_start"), F.lit(2**62))
-    best = F.min_by(F.struct("id", "title"), F.struct(F.when(inside, 0).otherwise(1), span, "title", "id")).alias("node")
-    return j.groupBy("hit_path", "line").agg(best).select(F.col("hit_path").alias("path"), "line", F.col("node.id").alias("id"), F.col("node.title").alias("title"))
+    best = lambda length: F.min(F.struct(length.alias("span"), "title", "id"))
+    length = F.col("line_end") - F.col("line_start")
+    points = hits.select("path", F.col("line").cast("long").alias("line")).distinct()
+    inside = aggregated_over_spans(points, nodes.where("path is not null"), ["path"], "line", "line_start", "line_end", {"inner": best(length)}, {"inner": F.min})
+    any_ = nodes.groupBy("path").agg(best(F.coalesce(length, F.lit(2**62))).alias("outer_"))
+    node = F.coalesce("inner", "outer_")
+    return points.join(inside, ["path", "line"], "left").join(any_, "path", "left").select("path", "line", node["id"].alias("id"), node["title"].alias("title"))
 
 
 def text_hits(files: DataFrame, pattern: str, nodes: DataFrame, per_file: int = HITS, most_bytes: int | None = None) -> DataFrame:

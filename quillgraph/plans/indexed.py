@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ngrams
+from ..operators import intervals, ngrams
 from .hosts import table
 from .registry import register
 
@@ -49,3 +49,30 @@ def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = ngrams.build_index(docs).groupBy("gram").agg(F.sum("n").alias("documents"))
     gram = F.decode(F.unhex(F.lpad(F.hex(F.col("gram").cast("long")), 6, "0")), "UTF-8")
     return lists.select(gram.alias("gram"), "documents")
+
+
+_SPANS_SQL = """s AS (SELECT o_custkey AS cust, CAST(o_orderdate AS DATE) AS lo, CAST(l_shipdate AS DATE) AS hi, l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT o_orderkey, o_custkey AS cust, CAST(o_orderdate AS DATE) AS day_ FROM orders)"""
+
+
+def _order_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Days on which customers order, and the days from order to shipping of their items."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), day("o_orderdate").alias("day"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", day("l_shipdate").alias("hi"))
+    return orders, items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "cust", F.col("day").alias("lo")), "l_orderkey")
+
+
+@register("open_items", f"WITH {_SPANS_SQL} SELECT cust, date_diff('day', DATE '1970-01-01', day_) AS day, count(*) AS items, sum(l_quantity) AS quantity FROM (SELECT DISTINCT cust, day_ FROM p) JOIN s USING (cust) WHERE day_ BETWEEN lo AND hi GROUP BY ALL")
+def open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each day on which a customer orders, how many of their items are on the way."""
+    orders, spans = _order_days(spark, sf_dir)
+    parts = {"items": F.count(F.lit(1)), "quantity": F.sum("l_quantity")}
+    return intervals.aggregated_over_spans(orders, spans, ["cust"], "day", "lo", "hi", parts, {"items": F.sum, "quantity": F.sum})
+
+
+@register("orders_while_open", f"WITH {_SPANS_SQL} SELECT o_orderkey, l_orderkey, l_linenumber FROM p JOIN s USING (cust) WHERE day_ BETWEEN lo AND hi AND o_orderkey <> l_orderkey")
+def orders_while_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that a customer places while an item of another order is on the way, with that item."""
+    orders, spans = _order_days(spark, sf_dir)
+    return intervals.spans_of_points(orders, spans, ["cust"], "day", "lo", "hi").where("o_orderkey <> l_orderkey").select("o_orderkey", "l_orderkey", "l_linenumber")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import ngrams
+from quillgraph.operators import intervals, ngrams, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,50 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     index = ngrams.build_index(none)
     assert index.count() == 0 and ngrams.containing(index, none, "abc").count() == 0 and ngrams.matching(index, none, "abc").count() == 0
+
+
+def made_spans(rng, n):
+    return [(rng.choice("abc"), lo := rng.randrange(-40, 60), lo + rng.choice([-1, 0, 1, 2, 3, 8, 40]), i) for i in range(n)] + [(None, 0, 9, 900), ("a", None, 5, 901), ("a", 5, None, 902), ("a", -(2**40), 2**40, 903), ("a", 3, 3, 904), ("a", 3, 3, 904)]
+
+
+def test_cells_cover_a_span_once(spark):
+    rng = random.Random(1)
+    rows = [(lo, lo + n) for lo, n in [(rng.randrange(-500, 500), rng.randrange(0, 300)) for _ in range(300)]] + [(0, 0), (-1, -1), (-8, 7), (0, 1023), (5, 4)]
+    got = spark.createDataFrame(rows, "lo long, hi long").select("lo", "hi", intervals.cells(F.col("lo"), F.col("hi")).alias("c")).collect()
+    for r in got:
+        numbers = [x for c in r["c"] for x in range(c["cell"] << c["size"], c["cell"] + 1 << c["size"])]
+        assert sorted(numbers) == list(range(r["lo"], r["hi"] + 1))
+        assert all([c["size"] for c in r["c"]].count(c["size"]) <= 2 for c in r["c"])
+
+
+def test_points_meet_the_spans_that_contain_them(spark):
+    rng = random.Random(3)
+    spans, points = made_spans(rng, 200), [(rng.choice("abcd"), rng.randrange(-50, 120), i) for i in range(150)] + [("a", None, 500), (None, 4, 501), ("a", 3, 502), ("a", 3, 502)]
+    s, p = spark.createDataFrame(spans, "k string, lo long, hi long, id int"), spark.createDataFrame(points, "k string, at long, no int")
+    inside = [(q, x) for q in points for x in spans if None not in (q[0], q[1], x[0], x[1], x[2]) and q[0] == x[0] and x[1] <= q[1] <= x[2]]
+    got = intervals.spans_of_points(p, s, ["k"], "at", "lo", "hi")
+    assert sorted((r["no"], r["id"]) for r in got.collect()) == sorted((q[2], x[3]) for q, x in inside)
+    some = intervals.aggregated_over_spans(p, s, ["k"], "at", "lo", "hi", {"n": F.count(F.lit(1)), "least": F.min("id")}, {"n": F.sum, "least": F.min}).collect()
+    want = {}
+    for k, at in {q[:2] for q, _ in inside}:
+        want[k, at] = [x[3] for x in spans if x[0] == k and None not in x[:3] and x[1] <= at <= x[2]]
+    assert {(r["k"], r["at"]): (r["n"], r["least"]) for r in some} == {k: (len(v), min(v)) for k, v in want.items()}
+    assert intervals.spans_of_points(p, s.limit(0), ["k"], "at", "lo", "hi").count() == 0
+
+
+def test_no_row_is_made_outside_a_span(spark):
+    """A thousand spans of one file that a line isn't in give it no row, nested ones that it is in no more than there are sizes."""
+    spans = spark.range(1000).selectExpr("'f' AS path", "id * 10 AS lo", "id * 10 + 4 AS hi", "id")
+    hits = spark.createDataFrame([("f", 5), ("f", 13)], "path string, line long")
+    assert intervals.spans_of_points(hits, spans, ["path"], "line", "lo", "hi").collect()[0]["id"] == 1
+    nested = spark.range(1000).selectExpr("concat('n', id) AS id", "'t' AS title", "'f' AS path", "1 AS line_start", "id + 20 AS line_end")
+    placed = intervals._placed(hits.withColumnRenamed("line", "at"), "at", intervals._cut(nested, "line_start", "line_end"))
+    assert placed.count() <= 2 * 11
+    assert {r["line"]: r["id"] for r in search.best_nodes_for_lines(hits, nested).collect()} == {5: "n0", 13: "n0"}
+
+
+def test_best_nodes_for_lines(spark):
+    nodes = [("a", "t", "f", 1, 10), ("b", "s", "f", 3, 5), ("c", "s", "f", 3, 5), ("d", "z", "f", None, None), ("e", "q", "g", None, None), ("h", "r", "h", 5, 3), ("i", "r", None, 1, 3)]
+    hits = [("f", 4), ("f", 4), ("f", 9), ("f", 99), ("g", 1), ("h", 4), ("none", 1)]
+    got = search.best_nodes_for_lines(spark.createDataFrame(hits, "path string, line long"), spark.createDataFrame(nodes, "id string, title string, path string, line_start long, line_end long"))
+    assert {(r["path"], r["line"]): r["id"] for r in got.collect()} == {("f", 4): "b", ("f", 9): "a", ("f", 99): "b", ("g", 1): "e", ("h", 4): "h", ("none", 1): None}
