@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, ngrams
+from ..operators import intervals, ngrams, vectors
 from .hosts import table
 from .registry import register
 
@@ -76,3 +76,28 @@ def orders_while_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that a customer places while an item of another order is on the way, with that item."""
     orders, spans = _order_days(spark, sf_dir)
     return intervals.spans_of_points(orders, spans, ["cust"], "day", "lo", "hi").where("o_orderkey <> l_orderkey").select("o_orderkey", "l_orderkey", "l_linenumber")
+
+
+_COSINES_SQL = """a AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+s AS (SELECT q.id AS query_id, a.id, round(list_cosine_similarity(q.v, a.v), 9) AS score FROM a q JOIN a ON q.id <> a.id WHERE q.id % 100 = 0)"""
+NEAREST, WITHIN = 10, 0.35
+
+
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[vectors.VectorIndex, DataFrame]:
+    """The index of all embeddings, and as queries the rows whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.VectorIndex(rows), rows.where("vec_id % 100 = 0")
+
+
+@register("nearest_vectors", f"WITH {_COSINES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, score FROM r WHERE rank <= {NEAREST}")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each query by cosine, exactly, through pivots and bounds."""
+    index, queries = _vector_index(spark, sf_dir)
+    return index.nearest(queries, NEAREST)[0]
+
+
+@register("vectors_within", f"WITH {_COSINES_SQL} SELECT query_id, id, score FROM s WHERE score >= {WITHIN}")
+def vectors_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows within a cosine of each query, through the same index."""
+    index, queries = _vector_index(spark, sf_dir)
+    return index.within(queries, WITHIN)[0]

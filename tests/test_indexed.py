@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import intervals, ngrams, search
+from quillgraph.operators import intervals, ngrams, search, vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,3 +131,50 @@ def test_best_nodes_for_lines(spark):
     hits = [("f", 4), ("f", 4), ("f", 9), ("f", 99), ("g", 1), ("h", 4), ("none", 1)]
     got = search.best_nodes_for_lines(spark.createDataFrame(hits, "path string, line long"), spark.createDataFrame(nodes, "id string, title string, path string, line_start long, line_end long"))
     assert {(r["path"], r["line"]): r["id"] for r in got.collect()} == {("f", 4): "b", ("f", 9): "a", ("f", 99): "b", ("g", 1): "e", ("h", 4): "h", ("none", 1): None}
+
+
+def all_pairs(rows, k=None, least=None):
+    """Answers for the rows whose id is divisible by 10, one pair after the other."""
+    x = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and len(v) == 8 and not any(e is None or e != e for e in v)}
+    score = lambda a, b: 0.0 if not a.any() or not b.any() else round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    out = {}
+    for q in [i for i in x if i % 10 == 0]:
+        found = sorted((-score(x[q], v), i) for i, v in x.items() if i != q)
+        out[q] = [(i, -s + 0.0) for s, i in found if least is None or -s >= least][:k]
+    return out
+
+
+def vector_rows(clustered):
+    rng = np.random.default_rng(6)
+    centres = 5 * rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] * clustered + rng.normal(size=8)).tolist()) for i in range(700)]
+    rows += [(i, centres[0].tolist()) for i in range(1000, 1150)]  # equal vectors
+    return rows + [(2000, [0.0] * 8), (2001, [0.0] * 8), (2010, None), (None, [1.0] * 8), (2020, [1.0] * 7), (2030, [float("nan")] * 8), (2040, [1.0, None] * 4)]
+
+
+@pytest.mark.parametrize("clustered", [0, 1])
+def test_nearest_vectors_are_those_of_all_pairs(spark, monkeypatch, clustered):
+    """One index, read by two searches; on clusters most pairs are ruled out."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    rows = vector_rows(clustered)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, cell string")
+    index, queries = vectors.VectorIndex(df), df.where("vec_id % 10 = 0")
+    found, compared = index.nearest(queries, 7)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    want = all_pairs(rows, k=7)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=2e-9)
+    near, met = index.within(queries, 0.8)
+    assert sorted((r["query_id"], r["id"]) for r in near.collect()) == sorted((q, i) for q, v in all_pairs(rows, least=0.8).items() for i, _ in v)
+    if clustered:
+        assert index.share_compared(met, len(want)) < 0.4 and index.share_compared(compared, len(want)) < 0.5
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    index = vectors.VectorIndex(none)
+    assert index.nearest(none, 3)[0].count() == 0 and index.within(none, 0.5)[0].count() == 0
