@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .matching import first_free
 
 
 def merge_sources(manifest: DataFrame, bib: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def merge_sources(manifest: DataFrame, bib: DataFrame) -> DataFrame:
     key, the first one not taken by an earlier row, else the first.  Of
     manifest rows with one arXiv id the last counts; rows that nobody takes
     follow.  Where several manifest rows have a title, the choice depends on
-    the order of the rows and is made title by title.
+    the order of all its rows; first_free() makes it in parallel.
     """
     last = Window.partitionBy("arxiv_id").orderBy(F.desc("pos"))
     m = manifest.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "pos").withColumn("m_key", text.letters_key(F.coalesce("title", F.lit(""))))
@@ -29,22 +29,8 @@ def merge_sources(manifest: DataFrame, bib: DataFrame) -> DataFrame:
     single = free.join(counts.where("n = 1"), "key").select("pos", F.col("only").alias("m_id"))
     several = counts.where("n > 1").select("key")
     since = taken.groupBy("m_id").agg(F.min("pos").alias("since"))
-    rows = free.join(several, "key").select("key", "pos", F.lit(None).cast("string").alias("m_id"), F.lit(None).cast("long").alias("since"))
-    cands = ids.join(several, ids.m_key == several.key).join(since, "m_id", "left").select("key", F.lit(None).cast("long").alias("pos"), "m_id", F.col("since").cast("long"))
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        c = g[g.m_id.notna()].sort_values("m_id")
-        free_from = {i: (None if pd.isna(s) else int(s)) for i, s in zip(c.m_id, c.since)}
-        # a row that is used or taken once never comes back, so one pass over them is enough
-        ids, at, out = c.m_id.tolist(), 0, []
-        for pos in sorted(int(p) for p in g.pos.dropna()):
-            while at < len(ids) and free_from[ids[at]] is not None and free_from[ids[at]] < pos:
-                at += 1
-            out.append((pos, ids[at] if at < len(ids) else ids[0]))
-            at += 1
-        return pd.DataFrame(out, columns=["pos", "m_id"])
-
-    chosen = rows.unionByName(cands).groupBy("key").applyInPandas(choose, "pos long, m_id string")
+    cands = ids.join(several, ids.m_key == several.key).join(since, "m_id", "left").select("key", F.col("m_id").alias("name"), "since")
+    chosen = first_free(free.join(several, "key").select("key", "pos"), cands).select("pos", F.col("name").alias("m_id"))
     match = taken.select(F.col("pos").cast("long"), "m_id").unionByName(single.select(F.col("pos").cast("long"), "m_id")).unionByName(chosen)
     pairs = bib.join(match, "pos", "left")
     full = pairs.join(m.select(F.col("arxiv_id").alias("m_id"), F.col("title").alias("m_title"), "tex_dir", "pdf_file"), "m_id", "left")

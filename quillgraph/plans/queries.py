@@ -138,7 +138,14 @@ def topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.topic_pairs(_tokens(spark, sf_dir))
 
 
-@register("topic_links")
+_GREEDY_SQL = f"""WITH RECURSIVE {_PAIRS_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS n FROM pairs),
+g(n, ends, fits) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), FALSE
+  UNION ALL SELECT n, CASE WHEN fits THEN list_concat(ends, [source, target]) ELSE ends END, fits FROM (
+    SELECT o.n, source, target, ends, len(list_filter(ends, lambda x: x = source)) < {enrich.MAX_LINKS} AND len(list_filter(ends, lambda x: x = target)) < {enrich.MAX_LINKS} AS fits FROM g JOIN o ON o.n = g.n + 1))
+SELECT source, target, score, shared, evidence FROM o JOIN g USING (n) WHERE fits"""
+
+
+@register("topic_links", _GREEDY_SQL)
 def topic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.capped_links(enrich.topic_pairs(_tokens(spark, sf_dir)))
 
@@ -522,7 +529,26 @@ def context_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.adjacent_distinct(d, "id", [F.desc("score"), F.col("doc_id")], 5)
 
 
-@register("registry_merge")
+_ARXIV_SQL = "'2401.' || lpad(CAST(doc_id AS VARCHAR), 8, '0')"
+_MERGE_SQL = f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title FROM documents),
+m AS (SELECT {_ARXIV_SQL} AS m_id, title AS m_title, 'tex-' || doc_id AS tex_dir, CASE WHEN quality = 1 THEN doc_id || '.pdf' END AS pdf_file, {_KEY_SQL.format("title")} AS k FROM p JOIN labels USING (doc_id)),
+b AS (SELECT doc_id AS pos, 'key' || doc_id AS citation_key, CASE WHEN doc_id % 2 = 0 THEN {_ARXIV_SQL} END AS eprint, title, {_KEY_SQL.format("title")} AS k FROM p WHERE doc_id % 3 <> 0),
+direct AS (SELECT pos, m_id FROM b JOIN m ON eprint = m_id), waits AS (SELECT k, pos, row_number() OVER (PARTITION BY k ORDER BY pos) AS place FROM b WHERE k <> '' AND pos NOT IN (SELECT pos FROM direct)),
+records AS (SELECT k, m_id, since, row_number() OVER (PARTITION BY k ORDER BY m_id) AS j FROM m LEFT JOIN (SELECT m_id, min(pos) AS since FROM direct GROUP BY m_id) USING (m_id) WHERE k <> ''),
+reach AS (SELECT r.k, r.m_id, r.j, count(w.pos) FILTER (r.since IS NULL OR w.pos <= r.since) AS q FROM records r LEFT JOIN waits w ON w.k = r.k GROUP BY r.k, r.m_id, r.j),
+walk(k, j, m_id, place, taken) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM records
+  UNION ALL SELECT w.k, r.j, r.m_id, CASE WHEN taken < q THEN taken + 1 END, taken + CASE WHEN taken < q THEN 1 ELSE 0 END FROM walk w JOIN reach r ON r.k = w.k AND r.j = w.j + 1),
+chosen AS (SELECT w.pos, coalesce(t.m_id, f.m_id) AS m_id FROM waits w JOIN records f ON f.k = w.k AND f.j = 1 LEFT JOIN walk t ON t.k = w.k AND t.place = w.place),
+match_ AS (SELECT * FROM direct UNION ALL SELECT * FROM chosen)
+SELECT citation_key AS paper_id, citation_key, title, coalesce(x.m_id, eprint) AS arxiv_id, CAST(NULL AS VARCHAR) AS doi, 'https://arxiv.org/e-print/' || x.m_id AS url, tex_dir, pdf_file,
+  CASE WHEN x.m_id IS NULL THEN 'bib' ELSE 'manifest_and_bib' END AS source_kind, CASE WHEN x.m_id IS NULL THEN 'metadata_only' WHEN pdf_file IS NOT NULL THEN 'manifest_source_plus_pdf' ELSE 'manifest_source' END AS download_mode,
+  CASE WHEN x.m_id IS NULL THEN 'metadata_only' ELSE 'pending_download' END AS parse_status
+FROM b LEFT JOIN match_ x USING (pos) LEFT JOIN m ON m.m_id = x.m_id
+UNION ALL SELECT 'arxiv-' || replace(m_id, '.', '-'), NULL, m_title, m_id, NULL, CASE WHEN pdf_file IS NULL THEN 'https://arxiv.org/e-print/' || m_id ELSE 'https://arxiv.org/pdf/' || m_id || '.pdf' END, tex_dir, pdf_file, 'manifest',
+  CASE WHEN pdf_file IS NULL THEN 'manifest_source' ELSE 'manifest_source_plus_pdf' END, 'pending_download' FROM m WHERE m_id NOT IN (SELECT m_id FROM match_)"""
+
+
+@register("registry_merge", _MERGE_SQL)
 def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
