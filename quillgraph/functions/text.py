@@ -251,7 +251,7 @@ def inline_list(c: Column | str) -> Column:
 
 
 def line_count(c: Column | str) -> Column:
-    return F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(col(c), r"\n$", ""), "\n")))
+    return F.greatest(F.lit(1), F.size(F.split(F.regexp_replace(col(c), r"\n\z", ""), "\n")))
 
 
 def remote_repo(c: Column | str) -> Column:
