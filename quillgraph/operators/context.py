@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,11 @@ def evidence_spans(docs: DataFrame, terms: list[str], id_col: str = "doc_id", te
     shuffled.
     """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    low = lambda x: text.ascii_lower(x)
-    any_term = lambda x: F.lit(False) if not terms else F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low(x), t))
-    d = docs.select(F.col(id_col), lines.alias("lines"))
-    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: any_term(F.element_at("lines", i)))
+    any_term = lambda x: reduce(or_, [F.contains(x, F.lit(t)) for t in terms], F.lit(False))
+    # the text is put in lower case once, which leaves its line breaks in place
+    low = F.split(text.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "\n")
+    d = docs.select(F.col(id_col), lines.alias("lines"), low.alias("low"))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: any_term(F.element_at("low", i)))
     d = d.withColumn("hits", F.slice(at, 1, SPANS))
     span = lambda lo, hi: F.struct(lo.cast("long").alias("line_start"), hi.cast("long").alias("line_end"), F.array_join(F.slice(F.col("lines"), lo, hi - lo + 1), "\n").alias("text"))
     near = F.transform("hits", lambda i: span(F.greatest(F.lit(1), i - 1), F.least(F.size("lines"), i + 1)))

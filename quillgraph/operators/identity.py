@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -31,6 +31,7 @@ def title_conflicts(resolved: DataFrame) -> DataFrame:
 
     ``resolved`` has component, idx and title_key.
     """
-    w = Window.partitionBy("component").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = resolved.where("title_key <> ''").withColumn("first_key", F.first("title_key").over(w)).withColumn("left_idx", F.first("idx").over(w))
-    return t.where("title_key <> first_key").groupBy("component").agg(F.min("left_idx").alias("left_idx"), F.min("idx").alias("right_idx"))
+    titled = resolved.where("title_key <> ''").select("component", "idx", "title_key")
+    first = titled.groupBy("component").agg(F.min(F.struct("idx", "title_key")).alias("first"))
+    others = titled.join(first, "component").where("title_key <> first.title_key")
+    return others.groupBy("component").agg(F.min("first.idx").alias("left_idx"), F.min("idx").alias("right_idx"))

@@ -12,7 +12,7 @@ from .hosts import table
 from .registry import register
 
 #: Which text of which table is indexed under which number, and what is looked for.
-_SEARCHED = (("documents", "doc_id", "text", "Licensed under"), ("pages", "page_id", "html", "/fr/"), ("conversations", "conv_id", "text", "Thank"))
+_SEARCHED = (("documents", "doc_id", "text", "Licensed under"), ("pages", "page_id", "html", 'Lang="fr"'), ("conversations", "conv_id", "text", "tion the"))
 
 
 @register(

@@ -203,6 +203,22 @@ def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.title_conflicts(identity.resolve_identities(_candidates(spark, sf_dir)).join(d, "idx"))
 
 
+@register(
+    "title_conflicts",
+    f"""WITH RECURSIVE c AS (SELECT doc_id AS idx, md5(text) AS doi, {_KEY_SQL.format("text")} AS arxiv, {_KEY_SQL.format("string_split(text, chr(10))[-1] || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END")} AS title_key FROM documents),
+k AS (SELECT idx, unnest(['d' || doi, 'a' || nullif(arxiv, '')]) AS key FROM c), m AS (SELECT key, min(idx) AS b FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+e AS (SELECT DISTINCT k.idx AS a, m.b FROM k JOIN m USING (key) WHERE k.idx <> m.b), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT idx AS a, idx AS b FROM c UNION SELECT r.a, both_.b FROM r JOIN both_ ON r.b = both_.a), l AS (SELECT a AS idx, min(b) AS component FROM r GROUP BY a),
+t AS (SELECT component, idx, title_key, first(title_key) OVER w AS fk, first(idx) OVER w AS fi FROM l JOIN c USING (idx) WHERE title_key <> '' WINDOW w AS (PARTITION BY component ORDER BY idx))
+SELECT component, min(fi) AS left_idx, min(idx) AS right_idx FROM t WHERE title_key <> fk GROUP BY component""",
+)
+def title_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a text whose titles differ, as every third has a letter more."""
+    title = F.concat(F.element_at(F.split("text", "\n"), -1), F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), text.letters_key(title).alias("title_key"))
+    return identity.title_conflicts(identity.resolve_identities(_candidates(spark, sf_dir)).join(d, "idx"))
+
+
 @register("sections_table", f"SELECT doc_id || ':section:' || (line_no - 1) AS section_id, doc_id, line_no - 1 AS section_index, length(line) AS chars FROM {LINES_SQL}")
 def sections_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = stats.lines_of(table(spark, sf_dir, "documents")).withColumn("section_index", F.col("line_no") - 1)
