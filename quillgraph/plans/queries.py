@@ -686,4 +686,4 @@ def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.semantic_layout(n.select("id", kinds[F.col("label")].alias("kind"), "title"), turned)
 
 
-from . import cases, indexed, more, roundtrips, snapshots, texts  # noqa: E402, F401 - they register their queries
+from . import cases, indexed, more, rest, roundtrips, snapshots, texts  # noqa: E402, F401 - they register their queries
