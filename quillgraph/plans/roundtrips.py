@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bench, capabilities, episodes, graph, memory, registry as papers_registry, tabular
 from ..operators.storage import shared_dir
-from ..sources import bibtex, files, markdown, notebooks, pycode, service, sinks, tex
+from ..sources import bibtex, files, markdown, notebooks, pycode, service, sinks, tex, tomls
 from .hosts import table
 from .registry import register
 
@@ -357,9 +357,12 @@ def benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def results_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as TOML and read again."""
-    rows = [{"run_id": f"r{r['n_nationkey']}", "benchmark_id": f"b{r['n_regionkey']}", "status": "completed", "scores": [{"metric_id": "acc", "value": r["n_nationkey"] / 4, "unit": 'a "b"'}]} for r in table(spark, sf_dir, "nation").collect()]
+    k = F.col("n_nationkey")
+    score = F.struct(F.lit("acc").alias("metric_id"), (k / 4).alias("value"), F.lit('a "b"').alias("unit"))
+    name = lambda start, c: F.concat(F.lit(start), F.col(c).cast("string"))
+    runs = table(spark, sf_dir, "nation").select(name("r", "n_nationkey").alias("run_id"), name("b", "n_regionkey").alias("benchmark_id"), F.lit("completed").alias("status"), F.array(score).alias("scores"))
     path = _folder(spark, "results")
-    sinks.write_results(rows, spark.range(0), path)
+    tomls.write_runs(runs, path)
     return files.results(spark, path)
 
 

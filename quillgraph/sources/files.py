@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranking, text
-from . import schemas
+from . import schemas, tomls
 
 
 def whole_texts(spark: SparkSession, path: str, globs: str = "*", recursive: bool = True) -> DataFrame:
@@ -87,37 +87,41 @@ def toml(spark: SparkSession, path: str) -> dict[str, Any]:
 
 def backlog(spark: SparkSession, path: str) -> DataFrame:
     """Open issues and todos of a backlog TOML: closed or resolved issues, done or resolved todos go."""
-    d, rows = toml(spark, path), []
-    for kind, closed in (("issue", {"closed", "resolved"}), ("todo", {"done", "resolved"})):
-        for item in [*d.get(kind, []), *d.get(f"{kind}s", [])]:
-            if str(item.get("status", "")) not in closed:
-                rows.append((kind, str(item.get("id", "")), str(item.get("title", "")), item.get("status"), item.get("priority"), item.get("summary") or item.get("description"), [str(x) for x in item.get("references", [])], [str(x) for x in item.get("issue_ids", [])]))
-    return spark.createDataFrame(rows, "kind string, id string, title string, status string, priority string, summary string, references array<string>, issue_ids array<string>")
+    one = "id string, title string, status string, priority string, summary string, description string, references array<string>, issue_ids array<string>"
+    rows = tomls.listed(tomls.items(spark, path), ("issue", "issues", "todo", "todos"), one).withColumn("kind", F.rtrim(F.col("name"), F.lit("s")))
+    gone = F.when(F.col("kind") == "issue", F.col("status").isin("closed", "resolved")).otherwise(F.col("status").isin("done", "resolved"))
+    text_ = lambda c: F.coalesce(c, F.lit(""))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    summary = F.coalesce(F.nullif("summary", F.lit("")), "description")
+    return rows.where(~F.coalesce(gone, F.lit(False))).select("kind", text_("id").alias("id"), text_("title").alias("title"), "status", "priority", summary.alias("summary"), listed("references"), listed("issue_ids"))
 
 
 def run_plan(spark: SparkSession, path: str) -> DataFrame:
     """Requested runs of a run-plan TOML."""
-    rows = [(str(r.get("run_id", "")), str(r.get("benchmark_id", "")), str(r.get("command", "")), r.get("workdir"), {str(k): str(v) for k, v in r.get("env", {}).items()}) for r in toml(spark, path).get("runs", [])]
-    return spark.createDataFrame(rows, "run_id string, benchmark_id string, command string, workdir string, env map<string,string>")
+    rows = tomls.listed(tomls.items(spark, path), ("runs",), "run_id string, benchmark_id string, command string, workdir string, env map<string,string>")
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("run_id", "benchmark_id", "command")], "workdir", F.coalesce("env", F.create_map().cast("map<string,string>")).alias("env"))
 
 
 def integrations(spark: SparkSession, path: str) -> DataFrame:
     """Integrations of a TOML with the tools and environment variables that they need."""
-    listed = lambda r, k: [str(x) for x in r.get(k, [])]
-    rows = [(str(r.get("benchmark_id", "")), listed(r, "required_binaries"), listed(r, "required_env_vars")) for r in toml(spark, path).get("integrations", [])]
-    return spark.createDataFrame(rows, "benchmark_id string, tools array<string>, env_vars array<string>")
+    rows = tomls.listed(tomls.items(spark, path), ("integrations",), "benchmark_id string, required_binaries array<string>, required_env_vars array<string>")
+    none = F.array().cast("array<string>")
+    return rows.select(F.coalesce("benchmark_id", F.lit("")).alias("benchmark_id"), F.coalesce("required_binaries", none).alias("tools"), F.coalesce("required_env_vars", none).alias("env_vars"))
 
 
 def catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A benchmark catalog: benchmarks, metrics, components and targets as tables of (id, title, body)."""
-    d = toml(spark, path)
-    return {k: spark.createDataFrame([(str(r.get("id", "")), r.get("title") or r.get("name"), json.dumps(r, sort_keys=True, default=str)) for r in d.get(k, [])], "id string, title string, body string") for k in ("benchmarks", "metrics", "components", "targets")}
+    found = tomls.items(spark, path)
+    table = lambda k: tomls.listed(found, (k,), "id string, title string, name string").toDF("file", "n", "kind", "body", "id", "title", "name")
+    return {k: table(k).select(F.coalesce("id", F.lit("")).alias("id"), F.coalesce(F.nullif("title", F.lit("")), "name").alias("title"), "body") for k in ("benchmarks", "metrics", "components", "targets")}
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Runs of a results TOML, a row for each score."""
-    rows = [(str(r.get("run_id", "")), str(r.get("benchmark_id", "")), str(r.get("status", "")), str(s.get("metric_id", s.get("metric", ""))), float(s.get("value", 0.0)), s.get("unit")) for r in toml(spark, path).get("runs", []) for s in r.get("scores", [])]
-    return spark.createDataFrame(rows, "run_id string, benchmark_id string, status string, metric string, value double, unit string")
+    rows = tomls.listed(tomls.items(spark, path), ("runs",), "run_id string, benchmark_id string, status string, scores array<struct<metric_id: string, metric: string, value: double, unit: string>>")
+    text_ = lambda *c: F.coalesce(*c, F.lit(""))
+    one = rows.select("run_id", "benchmark_id", "status", F.explode("scores").alias("s"))
+    return one.select(text_("run_id").alias("run_id"), text_("benchmark_id").alias("benchmark_id"), text_("status").alias("status"), text_("s.metric_id", "s.metric").alias("metric"), F.coalesce("s.value", F.lit(0.0)).alias("value"), F.col("s.unit").alias("unit"))
 
 
 def safe_member(path: Column | str) -> Column:
