@@ -177,7 +177,8 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     document without a word is in no block; it stays once, as it uses none of
     the budget.  The rows of a repeated doc_id are told apart by size, and
     those of equal size are given their parts in the order of their other
-    columns.
+    columns.  A null id is an id as any other, a null source a source of its
+    own, a null text has no word; an empty table gives no rows.
     """
     alike = Window.partitionBy("doc_id", "source", "size")
     parts = mix(docs.select("doc_id", "text", "source"), seed)

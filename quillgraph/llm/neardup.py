@@ -412,7 +412,13 @@ def _verdicts(base: DataFrame, named: DataFrame, id_col: str, id_type: DataType)
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that near_duplicates() doesn't keep."""
+    """The rows of ``docs`` without those that near_duplicates() doesn't keep, all columns as they are, whatever their names.
+
+    Rows with a null id, and texts that are null or have no word, are linked
+    with nothing and stay; rows of one id are one document and stay or go
+    together; of equal texts that of the smallest id stays; an empty table
+    gives no rows.
+    """
     base, named = _components(docs, "doc_id", "text", percent)
     gone = written(_verdicts(base, named, "doc_id", docs.schema["doc_id"].dataType).where(~F.col("kept")).select("doc_id").distinct(), "near-gone", base.count())
     discard(base, named)

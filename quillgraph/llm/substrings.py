@@ -490,7 +490,9 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with repeats cut out of ``text``; ``n_chars`` of a cut text is counted anew.
 
     A character that loses some of its bytes goes as a whole.  A text of which
-    nothing is left goes; texts that were empty or null stay as they are.
+    nothing is left goes; texts that were empty or null stay as they are, and
+    so do rows with a null id.  Rows of one id aren't cut by each other; columns
+    may have any names; an empty table gives no rows.
     """
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     named = {f.name: f"c{k}" for k, f in enumerate(others)}

@@ -44,7 +44,11 @@ def _flips(radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Tables of all segments of a block of codes."""
+    """Tables of all segments of a block of codes.
+
+    Codes may repeat; ids are whole numbers, and of equal distances the smaller
+    id comes first.  A block may be empty.
+    """
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray) -> None:
         """codes: one row of 16-bit words per id."""

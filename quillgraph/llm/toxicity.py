@@ -366,7 +366,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, all columns as they are."""
+    """The rows of ``docs`` that aren't predicted toxic, all columns as they are, whatever their names.
+
+    Each row is judged by its own text, so ids may be null or repeated; a null
+    text counts as an empty one, and long ones are read as a whole; an empty
+    table gives no rows.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

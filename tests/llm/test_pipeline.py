@@ -1,7 +1,9 @@
 """The corpus pipeline: every stage does its work on what the one before kept."""
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillgraph.llm import mixing, neardup, toxicity
 from quillgraph.llm.common import written
@@ -9,6 +11,30 @@ from quillgraph.llm.common import written
 SF = "/root/testdata/sf0.001"
 
 
+def plain_cut(rows):
+    """(id, text) without the bytes that a 50-byte string of a smaller id's text covers; a character that loses a byte goes, and so does a text of which nothing is left."""
+    first, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(i, first.get(b[p : p + 50], i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        at, left = 0, []
+        for c in t or "":
+            n = len(c.encode())
+            if not any(gone[at : at + n]):
+                left.append(c)
+            at += n
+        if not b or left:
+            out.append((i, t if not any(gone) else "".join(left)))
+    return sorted(out, key=str)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_substrings", "mix_sources", "bpe"]
@@ -29,11 +55,17 @@ def test_stages(spark):
             longer = docs.alias("a").join(before.alias("b"), "doc_id").where("length(a.text) > length(b.text)")
             assert longer.count() == 0
             assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()}
+            got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+            assert got == plain_cut([(r["doc_id"], r["text"]) for r in before.collect()])
         if name == "mix_sources":
             taken = {r["doc_id"]: r["taken"] for r in mixing.mix(before).collect()}
             got = docs.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).collect()
             assert {r["doc_id"]: r["n"] for r in got} == {k: v for k, v in taken.items() if v}
     assert kept["bpe"].count() == kept["mix_sources"].count() > 0
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mixed = [(r["doc_id"], r["text"] or "") for r in kept["mix_sources"].collect()]
+    ids = [e.ids for e in library.encode_batch([t for _, t in mixed], add_special_tokens=False)]
+    assert sorted((r["doc_id"], r["ids"]) for r in kept["bpe"].collect()) == sorted((d, i) for (d, _), i in zip(mixed, ids))
 
 
 ODD = [
