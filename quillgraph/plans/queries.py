@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, text
 from ..operators import bench, capabilities, context, enrich, graph, identity, layout, links, memory, qa, registry, search, stats, tabular
+from ..operators.matching import running_sum
 from ..operators.storage import spread
 from ..sources import markdown
 from ..streaming import pipelines
@@ -283,7 +284,7 @@ def contamination_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Each document with one item of (item_id, ...): documents are dealt by doc_id over the items in the order of their ids."""
-    ranked = items.withColumn("_place", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long"))
+    ranked = running_sum(items, [], ["item_id"], F.lit(1).cast("long"), "_n").withColumn("_place", F.col("_n") - 1).drop("_n")
     n = items.agg(F.count(F.lit(1)).alias("_items")).where("_items > 0")
     return docs.crossJoin(F.broadcast(n)).withColumn("_place", F.pmod("doc_id", "_items")).join(ranked, "_place").drop("_place", "_items")
 
