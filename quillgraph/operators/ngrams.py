@@ -4,7 +4,7 @@ Texts are put in lower case and cut into runs of three bytes.  Segments of
 documents are indexed where they are read: for each trigram a segment has one
 list of document numbers, delta-coded, so a frequent trigram has many short
 lists and none grows with the corpus.  The lists are then sorted by trigram and
-written, so that a search reads the row groups of its trigrams alone.
+written, so that a search skips the row groups that have none of its trigrams.
 
 A search takes the rarest trigrams that a hit must contain, meets their lists
 segment by segment and looks at the texts that are left.  What an index says is
@@ -28,6 +28,8 @@ from .storage import written
 #: Documents and bytes of a segment.
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
 _DOC_BITS = 13
+#: Files that the lists of a gram may go to, as a frequent one has a list for each segment.
+SPLIT = 64
 #: Lists that a search reads for each alternative, the rarest ones.
 READ = 4
 #: Documents that are looked up by their numbers at most; more are joined.
@@ -101,7 +103,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).where("id is not null and text is not null")
     lists = rows.mapInArrow(_segments, SCHEMA)
-    return written(lists.repartitionByRange("gram").sortWithinPartitions("gram", "segment"), name)
+    # ranges of grams would be drawn from a sample, which makes all lists twice; files sorted by gram are skipped as well
+    dealt = lists.repartition("gram", F.pmod(F.xxhash64("segment"), F.lit(SPLIT)))
+    return written(dealt.sortWithinPartitions("gram", "segment"), name)
 
 
 def grams_of(literal: bytes) -> frozenset[int]:
