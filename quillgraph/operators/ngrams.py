@@ -61,14 +61,34 @@ def decoded(first: int, postings: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64)) + first
 
 
-def _segment(number: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    known, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Runs of texts of SEGMENT_BYTES at most, by their places; a longer text is cut into pieces that share two bytes."""
+    places, run, held = [], [], 0
+    for place, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - 2), SEGMENT_BYTES):
+            piece = text[at : at + SEGMENT_BYTES + 2]
+            if run and held + len(piece) > SEGMENT_BYTES:
+                yield places, run
+                places, run, held = [], [], 0
+            places.append(place)
+            run.append(piece)
+            held += len(piece)
+    if run:
+        yield places, run
+
+
+def _pairs(places: list[int], texts: list[bytes], rank: np.ndarray) -> np.ndarray:
+    """Each trigram of texts with the rank of its document, once, as one number."""
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), size)
+    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
     inside = text[:-2] == text[2:]
     gram = (data[:-2] << 16 | data[1:-1] << 8 | data[2:])[inside]
-    pair = np.unique(gram << _DOC_BITS | rank[text[:-2][inside]])
+    return np.unique(gram << _DOC_BITS | rank[np.array(places)[text[:-2][inside]]])
+
+
+def _segment(number: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+    known, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
+    pair = np.unique(np.concatenate([_pairs(places, run, rank) for places, run in _pieces(texts)]))
     gram, doc = pair >> _DOC_BITS, known[pair & (1 << _DOC_BITS) - 1]
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     steps = np.diff(doc, prepend=0)
@@ -83,9 +103,9 @@ def _segment(number: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
     for batch in batches:
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(id_)
-            texts.append(text.encode())
+        for id_, text in zip(batch.column(0), batch.column(1)):
+            ids.append(id_.as_py())
+            texts.append(text.as_py().encode())
             held += len(texts[-1])
             if len(ids) == SEGMENT_DOCS or held >= SEGMENT_BYTES:
                 yield _segment(number, ids, texts)
