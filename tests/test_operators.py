@@ -318,3 +318,10 @@ def test_equal_evidence_spans_are_one(spark):
         (1, 1, 2, "a secret\na secret\nmore secret\nmore secret"), (2, 1, 2, "a secret\nno"), (3, 1, 1, "secret"),
         (4, 1, 2, "secret\nsecret"), (4, 1, 3, "secret\nsecret\nend"), (5, 1, 2, "none\nat all"),
     ]
+
+
+def test_equal_evidence_spans_are_paid_once(spark):
+    docs = spark.createDataFrame([(1, "a secret\nmore secret")], "doc_id long, text string")
+    spans = context.evidence_spans(docs, ["secret"])
+    packed = context.within_budget(spans, 200, ["line_start", "line_end"], group=["doc_id"])
+    assert [(r["line_start"], r["line_end"], r["cost"], r["truncated"]) for r in packed.collect()] == [(1, 2, 16, False)]
