@@ -3,8 +3,10 @@
 A span of whole numbers is cut into the fewest cells whose length is a power of
 two and that start at a multiple of it: two of a size at most.  A point lies in
 one cell of each size, so it meets exactly the spans that contain it, each once,
-by equality of (key, size, cell); no pair outside a span is made.  Where only an
-aggregate over the spans of a point is asked for, spans are first aggregated in
+by equality of (key, size, cell); no pair outside a span is made.  Points and
+spans become several rows each, which Spark's estimates don't count, so these
+joins are sort-merge joins: a broadcast would bring all of them to the driver.
+Where only an aggregate over the spans of a point is asked for, spans are first aggregated in
 their cells, so a point meets no more rows than there are sizes, however many
 spans contain it.
 """
@@ -49,7 +51,7 @@ def spans_of_points(points: DataFrame, spans: DataFrame, keys: Sequence[str], at
     they stand.  Apart from the keys no column may have the same name.
     """
     cut = _cut(spans, lo, hi)
-    return _placed(points, at, cut).join(cut, [*keys, "size", "cell"]).drop("size", "cell")
+    return _placed(points, at, cut).join(cut.hint("merge"), [*keys, "size", "cell"]).drop("size", "cell")
 
 
 def aggregated_over_spans(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, lo: str, hi: str, parts: dict[str, Column], merge: dict[str, Callable[[str], Column]]) -> DataFrame:
@@ -61,4 +63,4 @@ def aggregated_over_spans(points: DataFrame, spans: DataFrame, keys: Sequence[st
     cut = _cut(spans, lo, hi)
     summed = cut.groupBy(*keys, "size", "cell").agg(*[c.alias(name) for name, c in parts.items()])
     distinct = points.select(*keys, at).distinct()
-    return _placed(distinct, at, cut).join(summed, [*keys, "size", "cell"]).groupBy(*keys, at).agg(*[merge[name](name).alias(name) for name in parts])
+    return _placed(distinct, at, cut).join(summed.hint("merge"), [*keys, "size", "cell"]).groupBy(*keys, at).agg(*[merge[name](name).alias(name) for name in parts])

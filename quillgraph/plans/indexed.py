@@ -60,7 +60,8 @@ def _order_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"), day("o_orderdate").alias("day"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", day("l_shipdate").alias("hi"))
-    return orders, items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "cust", F.col("day").alias("lo")), "l_orderkey")
+    # a narrow file of orders is far larger in memory than its estimate: it isn't to be broadcast
+    return orders, items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "cust", F.col("day").alias("lo")).hint("merge"), "l_orderkey")
 
 
 @register("open_items", f"WITH {_SPANS_SQL} SELECT cust, date_diff('day', DATE '1970-01-01', day_) AS day, count(*) AS items, sum(l_quantity) AS quantity FROM (SELECT DISTINCT cust, day_ FROM p) JOIN s USING (cust) WHERE day_ BETWEEN lo AND hi GROUP BY ALL")

@@ -178,3 +178,12 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     index = vectors.VectorIndex(none)
     assert index.nearest(none, 3)[0].count() == 0 and index.within(none, 0.5)[0].count() == 0
+
+
+def test_points_are_not_broadcast(spark):
+    points, spans = spark.range(9).select(F.lit(1).alias("k"), F.col("id").alias("x")), spark.range(9).select(F.lit(1).alias("k"), F.col("id").alias("lo"), (F.col("id") + 3).alias("hi"))
+    found = intervals.spans_of_points(points, spans, ["k"], "x", "lo", "hi")
+    summed = intervals.aggregated_over_spans(points, spans, ["k"], "x", "lo", "hi", {"n": F.count(F.lit(1))}, {"n": F.sum})
+    assert sorted((r["x"], r["n"]) for r in summed.collect()) == [(x, min(x, 3) + 1) for x in range(9)]
+    for df in (found, summed):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
