@@ -223,10 +223,10 @@ class _Forest:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, size: int, n_rows: int = 0) -> DataFrame:
     """Add ``part``, ``i`` and ``j``: every two parts of a key's members, of about ``size`` members each, meet in one block."""
     n = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
-    rows = rows.join(n, key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    rows = rows.join(_by_rows(n, n_rows), key).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
 
@@ -270,17 +270,17 @@ def _near_first(members: DataFrame, percent: int) -> DataFrame:
     return members.select("id", "cluster", "shingles", "pivot").transform(in_batches(run, "id long, cluster long, n long, near boolean"))
 
 
-def _set_blocks(members: DataFrame) -> DataFrame:
+def _set_blocks(members: DataFrame, rows: int = 0) -> DataFrame:
     """``id, cluster, near, i, j, asks, answers``: blocks in which every member that isn't near its pivot meets all members of its cluster.
 
     The former are dealt into parts i, all members into parts j, each of at
     most SETS sets and about SET_HASHES hashes.  Clusters whose members are
-    all near have no block.
+    all near have no block.  ``rows`` says how many members there are.
     """
     far = ~F.col("near")
     parts = lambda some: F.greatest(F.ceil(F.count_if(some) / SETS), F.ceil(F.sum(F.when(some, F.col("n")).otherwise(0)) / SET_HASHES)).cast("int")
     sizes = members.groupBy("cluster").agg(parts(far).alias("pi"), parts(F.lit(True)).alias("pj")).where("pi > 0")
-    m = members.join(sizes, "cluster")
+    m = members.join(_by_rows(sizes, rows), "cluster")
     m = m.withColumn("own_i", F.pmod(F.xxhash64("id", F.lit(4)), F.col("pi")).cast("int")).withColumn("own_j", F.pmod(F.xxhash64("id", F.lit(3)), F.col("pj")).cast("int"))
     block = lambda i, j, asks, answers: F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -337,13 +337,18 @@ def _groups(classes: DataFrame, percent: int, n: int) -> DataFrame:
     return groups
 
 
-#: Ids that may be broadcast, about 100 MB in a hash table; more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Narrow rows that may be broadcast, about 10 MB in a hash table; more of them are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _few(ids: DataFrame) -> DataFrame:
     """Ids for a join with texts, which needn't be shuffled if the ids are few; counted from the written table."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
+def _by_rows(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that isn't broadcast if it has many rows: Spark goes by its compressed files, a tenth of the rows in memory."""
+    return table if rows <= BROADCAST_IDS else table.hint("merge")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -356,25 +361,27 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     least = -(-percent // (100 - percent))
     by_set = written(base.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-texts", 2 * rows)
     # a row for each set; an id that stands for several sets has several
-    own = sketches.where(F.col("n") >= least).join(by_set.select("k1", "k2", F.col("rep").alias("id")), ["id", "k1", "k2"])
+    own = sketches.where(F.col("n") >= least).join(_by_rows(by_set.select("k1", "k2", F.col("rep").alias("id")), rows), ["id", "k1", "k2"])
     classes = written(own.groupBy("id", "k1", "k2").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes", 40 * rows)
     discard(sketches)
     groups = _groups(classes, percent, rows)
 
     links = "a long, b long"
     # blocks are small: as many meet in a task's table as make up its size
-    blocks = _blocks(groups, "key", SKETCHES).withColumn("table", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups.count() // SKETCHES + 1)))
-    likely = blocks.join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("table").applyInArrow(released_group(lambda t: _by_sketch(t, percent)), links)
+    n_groups = groups.count()
+    blocks = _blocks(groups, "key", SKETCHES, n_groups).withColumn("table", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups // SKETCHES + 1)))
+    likely = _by_rows(blocks, n_groups).join(classes.select("id", "k1", "n", "sig"), ["id", "k1"]).groupBy("table").applyInArrow(released_group(lambda t: _by_sketch(t, percent)), links)
     likely = components(likely, rows)
+    n_likely = likely.count()
     clusters = likely.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     texts = docs.join(_few(clusters.select("id")), "id", "left_semi")
     sets = written(_sets(texts).join(classes.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "shingles"), "near-sets", 40 * rows)
-    pivots = sets.join(clusters.where("id = cluster"), "id").groupBy("cluster").agg(F.max("shingles").alias("pivot"))
+    pivots = sets.join(_by_rows(clusters.where("id = cluster"), n_likely), "id").groupBy("cluster").agg(F.max("shingles").alias("pivot"))
     # put so that the join shuffles the pivots anew: Spark splits a cluster of very many members only then
     pivots = pivots.select(F.bitwise_not(F.bitwise_not(F.col("cluster"))).alias("of"), "pivot")
-    members = written(_near_first(clusters.join(sets, "id").join(pivots, F.col("cluster") == F.col("of")), percent), "near-members", 60 * rows)
+    members = written(_near_first(_by_rows(clusters, n_likely).join(sets, "id").join(pivots, F.col("cluster") == F.col("of")), percent), "near-members", 60 * rows)
     near = members.where("near and id <> cluster").select(F.col("id").alias("a"), F.col("cluster").alias("b"))
-    far = _set_blocks(members).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(released_group(lambda t: _by_set(t, percent)), links)
+    far = _set_blocks(members, n_likely).join(_by_rows(sets, n_likely), "id").groupBy("cluster", "i", "j").applyInArrow(released_group(lambda t: _by_set(t, percent)), links)
     # rows of one id with several sets tie their classes together
     keys = F.struct("k1", "k2")
     several = base.where("id is not null and n > 0").groupBy("id").agg(F.min(keys).alias("lo"), F.max(keys).alias("hi")).where("lo <> hi").select("id")
@@ -382,7 +389,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     same = ids.join(ids.groupBy("id").agg(F.min("rep").alias("b")), "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     found = components(near.unionByName(far).unionByName(same), rows)
 
-    named = written(by_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id")), "near-named", 4 * rows)
+    named = written(by_set.join(_by_rows(found.withColumnRenamed("node", "rep"), found.count()), "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("component_id")), "near-named", 4 * rows)
     discard(by_set, classes, groups, likely, sets, members, found)
     return base, named
 
@@ -405,7 +412,7 @@ def _verdicts(base: DataFrame, named: DataFrame, id_col: str, id_type: DataType)
     total = named.agg(F.sum("size")).first()[0] or 0
     hot = F.broadcast(named.where(F.col("size") > HOT * total).drop("size"))
     worded = base.where("n > 0").select("id", "n", "k1", "k2")
-    out = worded.join(hot, ["k1", "k2"]).unionByName(worded.join(hot, ["k1", "k2"], "left_anti").join(named.where(F.col("size") <= HOT * total).drop("size"), ["k1", "k2"], "left"))
+    out = worded.join(hot, ["k1", "k2"]).unionByName(worded.join(hot, ["k1", "k2"], "left_anti").join(_by_rows(named.where(F.col("size") <= HOT * total).drop("size"), total), ["k1", "k2"], "left"))
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.unionByName(base.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(id_type).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -250,3 +250,17 @@ def test_no_pair_at_the_threshold_is_missed(spark, percent, common, more):
     # a shingle less in common is too few
     apart = ids.selectExpr("2 * id + 1 AS doc_id", f"concat_ws(' ', concat({w.format(common + 3)}, transform(sequence(1, {more + 1}), i -> concat('x', id, '_', i)))) AS text")
     assert neardup.near_duplicates(one.unionByName(apart), percent=percent).where("kept").count() == 3000
+
+
+def test_many_ids_are_not_broadcast(spark, monkeypatch):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    plan = lambda ids: docs.join(neardup._few(ids), docs["doc_id"] == ids["id"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(spark.range(5)) and "BroadcastHashJoin" not in plan(spark.range(300_000))
+    # all joins by shuffle give the same rows
+    words = " ".join(f"w{k}" for k in range(60))
+    texts = [(k, f"{words} x{k // 3}" if k % 3 else f"{words} {words[::-1]} {k}") for k in range(24)] + [(30, None), (31, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", -1)
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str) == want
+    assert len({r[2] for r in want}) < len(want)
