@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .matching import first_free
+from .storage import written
 
 
 def merge_sources(manifest: DataFrame, bib: DataFrame) -> DataFrame:
@@ -58,20 +62,30 @@ def best_matches(records: DataFrame, parsed: DataFrame) -> DataFrame:
     """``record_id, parsed_id``: for each record the parsed document that shares id, citation key or arXiv id, the best by (structured, richness, id, key, arXiv); none if the best ones are several.
 
     ``records``: id, citation_key, arxiv_id; ``parsed``: those and structured,
-    richness.  Each key is joined by itself.
+    richness.  Of parsed documents with the same keys only the best rank and
+    the first and last id that have it count, for each set of keys that may be
+    shared; so copies aren't paired.  A document that shares more keys than a
+    set's ranks higher with the larger set, so what a set says of it besides
+    changes nothing.
     """
     keys = ("id", "citation_key", "arxiv_id")
-    r = records.select(*[F.col(k).cast("string").alias(f"r_{k}") for k in keys])
-    p = parsed.select(*[F.col(k).cast("string").alias(k) for k in keys], "structured", "richness")
-    pairs = None
-    for k in keys:
-        one = r.join(p.where(F.col(k).isNotNull()), F.col(f"r_{k}") == F.col(k))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    same = [F.coalesce(F.col(f"r_{k}") == F.col(k), F.lit(False)) for k in keys]
-    rank = F.struct("structured", "richness", *same)
-    pairs = pairs.distinct().select("r_id", "id", rank.alias("rank"))
-    top = pairs.withColumn("best", F.max("rank").over(Window.partitionBy("r_id"))).where("rank = best")
-    return top.groupBy("r_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo = hi").select(F.col("r_id").alias("record_id"), F.col("lo").alias("parsed_id"))
+    # read seven times, so keys are worked out once
+    r = written(records.select(*[F.col(k).cast("string").alias(f"r_{k}") for k in keys]), "match-records")
+    p = written(parsed.select(*[F.col(k).cast("string").alias(k) for k in keys], "structured", "richness"), "match-parsed")
+    found = None
+    for n in range(1, 1 << len(keys)):
+        shared = [k for i, k in enumerate(keys) if n >> i & 1]
+        known = reduce(and_, [F.col(k).isNotNull() for k in shared])
+        by = [F.col(k).alias(f"r_{k}") for k in shared]
+        one = p.where(known).groupBy(*by, "structured", "richness").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        best = one.groupBy(*[f"r_{k}" for k in shared]).agg(F.max(F.struct("structured", "richness", "lo", "hi")).alias("top"))
+        rank = F.struct("top.structured", "top.richness", *[F.lit(k in shared).alias(k) for k in keys])
+        pairs = r.select("r_id", *[f"r_{k}" for k in shared if k != "id"]).distinct().join(best, [f"r_{k}" for k in shared]).select("r_id", rank.alias("rank"), "top.lo", "top.hi")
+        found = pairs if found is None else found.unionByName(pairs)
+    # of equal ranks the ends of all
+    ends = found.groupBy("r_id", "rank").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    top = ends.groupBy("r_id").agg(F.max(F.struct("rank", "lo", "hi")).alias("top")).select("r_id", "top.*")
+    return top.where("lo = hi").select(F.col("r_id").alias("record_id"), F.col("lo").alias("parsed_id"))
 
 
 def fill_from_service(registry: DataFrame, found: DataFrame) -> DataFrame:

@@ -343,3 +343,24 @@ def test_paths_meet_on_more_than_a_name(spark):
     found = links.path_links(t, f)
     assert {(r["source"], r["target"], r["evidence"]) for r in found.collect()} == want
     assert found.count() == len(want) and ("t2", "f13", "3/mod.py") in want
+
+
+def test_copies_are_not_paired_for_the_best_match(spark):
+    rng = random.Random(5)
+    rows = [(k, str(rng.randrange(6)), rng.choice(["a", "b", None]), rng.choice([True, False, None]), rng.randrange(3)) for k in range(60)]
+    records = [(k, str(k % 9), rng.choice(["a", "b", "c", None])) for k in range(70)]
+    p = spark.createDataFrame(rows, "id long, citation_key string, arxiv_id string, structured boolean, richness long")
+    r = spark.createDataFrame(records, "id long, citation_key string, arxiv_id string")
+    want = {}
+    for one in records:
+        ranks = {}
+        for row in rows:
+            same = tuple(x is not None and x == y for x, y in zip(one, row))
+            if any(same):
+                ranks.setdefault(((row[3] is not None, row[3] or False), row[4], same), []).append(row[0])
+        if ranks and len(best := ranks[max(ranks)]) == 1:
+            want[str(one[0])] = str(best[0])
+    assert {x["record_id"]: x["parsed_id"] for x in registry.best_matches(r, p).collect()} == want
+    # many copies: a pair of all of them would be 4 * 10^8
+    many = spark.range(20_000).select("id", F.lit("k").alias("citation_key"), F.lit("x").alias("arxiv_id"), F.lit(True).alias("structured"), F.col("id").alias("richness"))
+    assert registry.best_matches(many.drop("structured", "richness"), many).select("parsed_id").distinct().collect()[0]["parsed_id"] == "19999"
