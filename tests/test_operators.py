@@ -103,6 +103,30 @@ def test_topic_pairs_lose_nothing_to_the_prefix(spark):
     assert {(r["source"], r["target"]) for r in enrich.topic_pairs(tokens).collect()} == want
 
 
+def test_topics_by_blocks_and_components(spark, monkeypatch):
+    """A family of near copies, copies and strangers, in small blocks; links are chosen component by component, not in rounds."""
+    monkeypatch.setattr(enrich, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(enrich, "GROUP_PAIRS", 10)
+    monkeypatch.setattr(enrich, "FEW_LINKS", 5)
+    docs = {i: {"core", "family", "shared", f"own{i // 2}"} for i in range(40)} | {100 + i: {f"x{i % 7}", f"y{i % 5}", f"z{i}"} for i in range(60)} | {500: {"lone"}}
+    df = {}
+    for s in docs.values():
+        for t in s:
+            df[t] = df.get(t, 0) + 1
+    kept = {i: {t for t in s if 2 * df[t] <= len(docs)} for i, s in docs.items()}
+    weight = lambda s: sum(1 / df[t] for t in s)
+    score = lambda a, b: round(weight(kept[a] & kept[b]) / weight(kept[a] | kept[b]), 6)
+    want = {(a, b): (score(a, b), len(kept[a] & kept[b]), ",".join(sorted(kept[a] & kept[b], key=lambda t: (df[t], t))[:5])) for a in docs for b in docs if a < b and len(kept[a] & kept[b]) >= 2 and score(a, b) >= 0.18}
+    tokens = spark.createDataFrame([(i, t) for i, s in docs.items() for t in s], "id long, token string")
+    assert {(r["source"], r["target"]): (r["score"], r["shared"], r["evidence"]) for r in enrich.topic_pairs(tokens).collect()} == want
+    used, chosen = {}, {}
+    for (a, b), found in sorted(want.items(), key=lambda x: (-x[1][0], str(x[0][0]), str(x[0][1]))):
+        if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            chosen[a, b] = found
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    assert {(r["source"], r["target"]): (r["score"], r["shared"], r["evidence"]) for r in enrich.topic_links(tokens).collect()} == chosen
+
+
 def test_registry_prefers_unused_rows(spark):
     manifest = spark.createDataFrame([(1, "2", "Same", "t2", None), (2, "1", "same!", "t1", "x.pdf"), (3, "9", "Alone", "t9", None)], "pos long, arxiv_id string, title string, tex_dir string, pdf_file string")
     bib = spark.createDataFrame([(1, "k1", None, "Same"), (2, "k2", None, "SAME"), (3, "k3", None, "same"), (4, "k4", "77", "Other")], "pos long, citation_key string, eprint string, title string")
