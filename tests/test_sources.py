@@ -186,3 +186,12 @@ def test_results_in_a_form(spark):
     assert sinks.write_graph("both", lambda: done.append("docs"), lambda: done.append("graph")) == done == ["docs", "graph"]
     with pytest.raises(ValueError):
         sinks.write_graph("none", lambda: None, lambda: None)
+
+
+def test_papers_are_parsed_many_at_once(spark):
+    """Papers are rows of batches, not a group each."""
+    files = [(f"p{k}", f"p{k}/main.tex", f"\\title{{T{k}}} \\input{{x}}") for k in range(50)] + [(f"p{k}", f"p{k}/x.tex", f"\\cite{{c{k}}}") for k in range(50)] + [("q", "q/a.tex", "no document")]
+    papers = tex.papers_of(spark.createDataFrame(files, "folder string, path string, text string"))
+    assert {(r["path"], r["title"], tuple(r["citations"]), len(r["sections"]), r["abstract"]) for r in papers.collect()} == {(f"p{k}", f"T{k}", (f"c{k}",), 0, None) for k in range(50)}
+    plan = papers._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
