@@ -114,7 +114,7 @@ def line_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of all documents as an author, a list of authors, an inline list, a key and a reference."""
     lines = stats.lines_of(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.trim("line").alias("line"))
     joined = lambda c: F.array_join(c, "|")
-    return lines.select("doc_id", "line_no", text.author_key("line").alias("author"), joined(text.split_authors("line")).alias("authors"), joined(text.inline_list("line")).alias("items"), text.long_key("line", 3).alias("key"), text.reference_kind("line").alias("kind"))
+    return lines.select("doc_id", "line_no", text.author_key("line").alias("author"), joined(text.split_authors("line")).alias("authors"), joined(text.inline_list("line")).alias("items"), text.long_key("line", 3, text.letters_of_text).alias("key"), text.reference_kind("line").alias("kind"))
 
 
 _ANSWER = r"trim(regexp_replace(c, '(?s)<think>.*?</think>', '', 'g'))"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ranking, text
-from quillgraph.operators import bench, checks, components, context, enrich, graph, links, registry, search
+from quillgraph.operators import bench, checks, components, context, enrich, graph, identity, links, registry, search
 
 
 def one(spark, column, value=None, kind="string"):
@@ -398,3 +398,29 @@ def test_copies_are_not_paired_for_the_best_match(spark):
     # many copies: a pair of all of them would be 4 * 10^8
     many = spark.range(20_000).select("id", F.lit("k").alias("citation_key"), F.lit("x").alias("arxiv_id"), F.lit(True).alias("structured"), F.col("id").alias("richness"))
     assert registry.best_matches(many.drop("structured", "richness"), many).select("parsed_id").distinct().collect()[0]["parsed_id"] == "19999"
+
+
+def test_line_functions_on_odd_lines(spark):
+    lines = ["[a, 'b']\r", "[", "]", "[]", " [x] ", "Doe, Ann, B", ",", "a,", "Ünï-Cødé 9 A", "", "ab", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k long, c string").select(
+        "k", text.inline_list("c").alias("items"), text.author_key("c").alias("author"), text.letters_of_text("c").alias("fast"), text.letters_key("c").alias("key"), text.long_key("c", 3, text.letters_of_text).alias("long")
+    )
+    got = rows.orderBy("k").collect()
+    assert [r["items"] for r in got][:5] == [["a", "b']\r"], [], [], [], ["x"]]
+    assert [r["author"] for r in got][5:8] == ["ann, b doe", "", "a"]
+    assert [r["fast"] for r in got] == [r["key"] for r in got] and got[8]["fast"] == "ncd9a"
+    assert [r["long"] for r in got] == [r["key"] if r["key"] and len(r["key"]) >= 3 else None for r in got]
+
+
+def test_candidates_are_made_once(spark):
+    """Keys of whole texts aren't computed again for each use of an identity's candidates."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, f"d{k // 2}", None, None) for k in range(40)], "idx long, doi string, arxiv string, s2 string")
+    found = identity.resolve_identities(rows.mapInArrow(count, rows.schema)).collect()
+    assert len(found) == 40 and {r["component"] for r in found} == set(range(0, 40, 2)) and made.value == 40
