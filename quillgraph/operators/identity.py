@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .storage import written
 
 
 def resolve_identities(candidates: DataFrame) -> DataFrame:
@@ -13,8 +14,10 @@ def resolve_identities(candidates: DataFrame) -> DataFrame:
 
     Links go through a star for each identifier, so a shared one costs a link
     for each record.  The canonical id is the least DOI of a component, else
-    arXiv id, else service id, else its first index.
+    arXiv id, else service id, else its first index.  Candidates are written
+    once, as what they are made of may be whole texts.
     """
+    candidates = written(candidates, "candidates")
     ids = candidates.select("idx", F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(p), F.col(c))) for c, p in (("doi", "doi:"), ("arxiv", "arxiv:"), ("s2", "s2:"))])).alias("key")).where("key is not null")
     first = ids.groupBy("key").agg(F.min("idx").alias("b"), F.count(F.lit(1)).alias("n"))
     links = ids.join(first.where("n > 1"), "key").select(F.col("idx").alias("a"), "b").where("a <> b").distinct()

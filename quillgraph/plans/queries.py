@@ -187,7 +187,7 @@ def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("idx"), F.md5("text").alias("doi"), F.nullif(F.md5(text.letters_key("text")), F.md5(F.lit(""))).alias("arxiv"), F.lit(None).cast("string").alias("s2"))
+    return d.select(F.col("doc_id").alias("idx"), F.md5("text").alias("doi"), F.nullif(F.md5(text.letters_of_text("text")), F.md5(F.lit(""))).alias("arxiv"), F.lit(None).cast("string").alias("s2"))
 
 
 @register(
