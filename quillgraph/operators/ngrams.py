@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 #: Documents and bytes of a segment.
 SEGMENT_DOCS, SEGMENT_BYTES = 4096, 4 << 20
@@ -34,14 +34,25 @@ SPLIT = 64
 READ = 4
 #: Documents that are looked up by their numbers at most; more are joined.
 LOOKED_UP = 10_000
+#: Numbers up to which Spark may broadcast them; compressed files of more would still look small to it.
+BROADCAST_IDS = 200_000
 
 SCHEMA = "gram int, segment long, n int, first long, postings binary"
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Each number once, in order; ``values`` is put in order in place.
+
+    A sort runs in vector instructions, where np.unique hashes number by number.
+    """
+    values.sort()
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers as bytes of seven bits, the last one without the high bit, and how many bytes each takes."""
     size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
+    for k in range(1, (int(values.max(initial=0)).bit_length() + 6) // 7):
         size += values >= np.uint64(1 << 7 * k)
     start = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint8)
@@ -79,16 +90,22 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
 
 def _pairs(places: list[int], texts: list[bytes], rank: np.ndarray) -> np.ndarray:
     """Each trigram of texts with the rank of its document, once, as one number."""
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
-    inside = text[:-2] == text[2:]
-    gram = (data[:-2] << 16 | data[1:-1] << 8 | data[2:])[inside]
-    return np.unique(gram << _DOC_BITS | rank[np.array(places)[text[:-2][inside]]])
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    pair = (data[:-2] << 16 | data[1:-1] << 8 | data[2:]).astype(np.int64)
+    pair <<= _DOC_BITS
+    pair |= np.repeat(rank[np.array(places)], size)[: len(pair)]
+    # what begins in the last two bytes of a text goes beyond its end
+    end = np.cumsum(size)
+    beyond = np.concatenate([end - 2, end - 1])
+    pair[beyond[(beyond >= 0) & (beyond < len(pair))]] = -1
+    pair = _distinct(pair)
+    return pair[1:] if len(pair) and pair[0] < 0 else pair
 
 
 def _segment(number: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
     known, rank = np.unique(np.array(ids, np.int64), return_inverse=True)
-    pair = np.unique(np.concatenate([_pairs(places, run, rank) for places, run in _pieces(texts)]))
+    pair = _distinct(np.concatenate([_pairs(places, run, rank) for places, run in _pieces(texts)]))
     gram, doc = pair >> _DOC_BITS, known[pair & (1 << _DOC_BITS) - 1]
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
     steps = np.diff(doc, prepend=0)
@@ -103,9 +120,9 @@ def _segment(number: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
     for batch in batches:
-        for id_, text in zip(batch.column(0), batch.column(1)):
-            ids.append(id_.as_py())
-            texts.append(text.as_py().encode())
+        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            ids.append(id_)
+            texts.append(text)
             held += len(texts[-1])
             if len(ids) == SEGMENT_DOCS or held >= SEGMENT_BYTES:
                 yield _segment(number, ids, texts)
@@ -193,10 +210,17 @@ def candidates(index: DataFrame, alternatives: Sequence[frozenset[int]]) -> Data
 
 def _among(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` with the numbers found: few are looked up, so that scans skip what can't have them, more are joined."""
+    found = written(found, "ngrams-found")
     few = [r["id"] for r in found.limit(LOOKED_UP + 1).collect()]
     if len(few) <= LOOKED_UP:
-        return docs.where(F.col(id_col).isin(few)) if few else docs.limit(0)
-    return docs.join(found.withColumnRenamed("id", "found_id"), F.col(id_col) == F.col("found_id"), "left_semi")
+        discard(found)
+        # as text: isin() calls the JVM for each number, which takes seconds for thousands
+        name = id_col if "`" in id_col else f"`{id_col.replace('.', '`.`')}`"
+        return docs.where(f"{name} IN ({', '.join(f'{i}L' for i in few)})") if few else docs.limit(0)
+    found = found.withColumnRenamed("id", "found_id")
+    if found.count() > BROADCAST_IDS:
+        found = found.hint("merge")
+    return docs.join(found, F.col(id_col) == F.col("found_id"), "left_semi")
 
 
 def containing(index: DataFrame, docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,48 @@ def test_no_rows(spark):
     assert index.count() == 0 and ngrams.containing(index, none, "abc").count() == 0 and ngrams.matching(index, none, "abc").count() == 0
 
 
+@pytest.mark.parametrize("size", [4 << 20, 90, 3])
+def test_segments_hold_each_trigram_of_each_text(monkeypatch, size):
+    """Against a plain loop; numbers are sorted, as np.unique hashes them one by one."""
+    rng = random.Random(3)
+    texts = [b"", b"a", b"ab", b"abc", b"", b"\xff\x00\xff\x00", b"aaaa"] + [bytes(rng.choice(b"abc\xc3\xa9 ") for _ in range(rng.randrange(0, 40))) for _ in range(500)] + [b"ab", b"c"]
+    ids = [rng.choice([-(2**63), 2**63 - 1, 0, 127, 128, 16383, 16384]) if rng.random() < 0.2 else rng.randrange(-300, 300) for _ in texts]
+    unique, hashed = np.unique, []
+    monkeypatch.setattr(ngrams, "SEGMENT_BYTES", size)
+    monkeypatch.setattr(np, "unique", lambda x, **more: (hashed.append(len(x)), unique(x, **more))[1])
+    got = ngrams._segment(1, ids, texts).to_pylist()
+    monkeypatch.undo()
+    want = {}
+    for id_, text in zip(ids, texts):
+        for gram in ngrams.grams_of(text):
+            want.setdefault(gram, set()).add(id_)
+    assert {r["gram"]: ngrams.decoded(r["first"], r["postings"]).tolist() for r in got} == {g: sorted(i) for g, i in want.items()}
+    assert [r["gram"] for r in got] == sorted(want) and all(r["n"] == len(want[r["gram"]]) for r in got)
+    assert max(hashed) == len(texts)
+
+
+@pytest.mark.parametrize("looked_up, broadcast", [(10_000, 200_000), (100, 200_000), (100, 100)])
+def test_many_candidates_are_found_once(spark, monkeypatch, looked_up, broadcast):
+    """Thousands of numbers aren't put in one call each, and a join doesn't meet the lists a second time."""
+    column, given = type(F.lit(1)), []
+    isin = column.isin
+    monkeypatch.setattr(ngrams, "LOOKED_UP", looked_up)
+    monkeypatch.setattr(ngrams, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(column, "isin", lambda self, *cols: (given.append(len(cols[0])), isin(self, *cols))[1])
+    docs = spark.range(-1500, 1500).selectExpr("IF(id = 0, -9223372036854775808, id) AS `an id.x`", "IF(id % 3 = 0, 'nothing', 'A needle') AS text")
+    docs = docs.select(F.struct("`an id.x`").alias("key"), "text", "`an id.x`")
+    for id_col in ("`an id.x`", "key.`an id.x`"):
+        index = ngrams.build_index(docs, id_col)
+        got = ngrams.containing(index, docs, "a NEEDLE", id_col)
+        assert got.count() == 2000 and got.where("text <> 'A needle'").count() == 0
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in plan and ("Join" in plan) == (looked_up < 2000) and ("SortMergeJoin" in plan) == (broadcast < 2000)
+        assert ngrams.containing(index, docs, "nothing", id_col).where(F.col(id_col) == -(2**63)).count() == 1
+    plain = docs.select(F.col("`an id.x`").alias("an id"), "text")
+    assert ngrams.containing(ngrams.build_index(plain, "an id"), plain, "needle", "an id").count() == 2000
+    assert max(given) <= 6
+
+
 def made_spans(rng, n):
     return [(rng.choice("abc"), lo := rng.randrange(-40, 60), lo + rng.choice([-1, 0, 1, 2, 3, 8, 40]), i) for i in range(n)] + [(None, 0, 9, 900), ("a", None, 5, 901), ("a", 5, None, 902), ("a", -(2**40), 2**40, 903), ("a", 3, 3, 904), ("a", 3, 3, 904)]
 
