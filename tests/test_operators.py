@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,47 @@ def test_topics_by_blocks_and_components(spark, monkeypatch):
     assert {(r["source"], r["target"]): (r["score"], r["shared"], r["evidence"]) for r in enrich.topic_links(tokens).collect()} == chosen
 
 
+def test_links_of_copies_are_chosen_without_all_their_pairs(spark, monkeypatch):
+    """Copies of two texts that are near to each other: 180,000 pairs, of which the choice looks at few."""
+    written, seen = enrich.written, {}
+
+    def counted(df, name, *rows):
+        out = written(df, name, *rows)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(enrich, "written", counted)
+    docs = {i: {"core", "both", "left" if i % 2 else "right"} for i in range(95, 698)} | {1000 + i: {f"own{i}"} for i in range(700)}
+    tokens = spark.createDataFrame([(i, t) for i, s in docs.items() for t in s], "id long, token string")
+    # classes overlap by two tokens of 603 and differ by one of 302 and one of 301
+    near = round((2 / 603) / (2 / 603 + 1 / 302 + 1 / 301), 6)
+    pairs = [(1.0 if (b - a) % 2 == 0 else near, a, b) for a in range(95, 698) for b in range(a + 1, 698)]
+    used, want = {}, {}
+    for score, a, b in sorted(pairs, key=lambda p: (-p[0], str(p[1]), str(p[2]))):
+        if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+            want[a, b] = score
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    assert {(r["source"], r["target"]): r["score"] for r in enrich.topic_links(tokens).collect()} == want
+    assert near in want.values() and seen["links"] <= 9 and max(seen.values()) < 5000
+
+
+def test_links_of_equal_score_among_tied_classes():
+    rng = random.Random(7)
+    for _ in range(200):
+        of = {x: rng.randrange(5) for x in rng.sample(range(130), rng.randrange(1, 40))}
+        tied = [(a, b) for a in range(5) for b in range(a + 1, 5) if rng.random() < 0.3]
+        used, want = {}, []
+        for a, b in sorted(((a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in tied)), key=lambda p: (str(p[0]), str(p[1]))):
+            if used.get(a, 0) < 3 and used.get(b, 0) < 3:
+                want.append((*sorted((of[a], of[b])), a, b))
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+        rows = enrich._alike_links(pa.table({"class": pa.array(of.values(), pa.int64()), "id": pa.array(of, pa.int64())}), pa.table({"a": pa.array([a for a, _ in tied], pa.int64()), "b": pa.array([b for _, b in tied], pa.int64())}), 3).to_pylist()
+        assert [tuple(r[c] for c in ("a", "b", "source", "target")) for r in rows if r["target"] is not None] == want
+        left = [r for r in rows if r["target"] is None]
+        assert {r["source"]: r["room"] for r in left if r["room"]} == {x: 3 - used.get(x, 0) for x in of if used.get(x, 0) < 3}
+        assert {r["a"] for r in left} == set(of.values()) and all(r["a"] == of[r["source"]] for r in left)
+
+
 def test_registry_prefers_unused_rows(spark):
     manifest = spark.createDataFrame([(1, "2", "Same", "t2", None), (2, "1", "same!", "t1", "x.pdf"), (3, "9", "Alone", "t9", None)], "pos long, arxiv_id string, title string, tex_dir string, pdf_file string")
     bib = spark.createDataFrame([(1, "k1", None, "Same"), (2, "k2", None, "SAME"), (3, "k3", None, "same"), (4, "k4", "77", "Other")], "pos long, citation_key string, eprint string, title string")
