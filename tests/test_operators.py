@@ -152,6 +152,10 @@ def test_links_of_copies_are_chosen_without_all_their_pairs(spark, monkeypatch):
     assert near in want.values() and seen["links"] <= 9 and max(seen.values()) < 5000
 
 
+def test_no_links_where_no_token_is_shared(spark):
+    assert enrich.topic_links(spark.createDataFrame([(1, "alpha"), (2, "beta"), (2, "gamma")], "id long, token string")).collect() == []
+
+
 def test_links_of_equal_score_among_tied_classes():
     rng = random.Random(7)
     for _ in range(200):
